@@ -170,7 +170,7 @@ def _sweep_sql(name: str, table: str, key: str) -> str:
             text = [",".join(map(str, e)) for e in entries]
             columns.append(f"{nth(text, ordinal)} AS {parameter}")
         elif parameter == "l2_weight_decay":
-            columns.append(f"coalesce({nth([None if e is None else float(e) for e in entries], ordinal)}, 0.0) AS {parameter}")
+            columns.append(f"CAST(coalesce({nth(entries, ordinal)}, 0) AS DOUBLE) AS {parameter}")
         else:
             columns.append(f"{nth(entries, ordinal)} AS {parameter}")
         stride *= len(entries)
@@ -209,8 +209,9 @@ def sweep_musicgen(spark, sf):
 
 
 @query("G10", """
-WITH spans AS (SELECT 50 + c_custkey % 40 AS low, 50 + c_custkey % 40 + c_nationkey AS high FROM customer)
-SELECT CAST(unnest(range(low, high + 1)) AS INT) AS bpm, count(*) AS n FROM spans GROUP BY ALL""")
+WITH spans AS (SELECT 50 + c_custkey % 40 AS low, 50 + c_custkey % 40 + c_nationkey AS high FROM customer),
+bpms AS (SELECT CAST(unnest(range(low, high + 1)) AS INT) AS bpm FROM spans)
+SELECT bpm, count(*) AS n FROM bpms GROUP BY bpm""")
 def bpm_domain(spark, sf):
     low = (F.col("c_custkey") % 40 + 50).cast("int")
     spans = reader(spark, sf)("customer").select(F.explode(F.sequence(low, low + F.col("c_nationkey"))).alias("bpm"))

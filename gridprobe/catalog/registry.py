@@ -63,6 +63,8 @@ def lit(value) -> str:
         return "'" + value.replace("'", "''") + "'"
     if isinstance(value, (list, tuple)):
         return "[" + ", ".join(lit(v) for v in value) + "]"
+    if isinstance(value, float):
+        return f"CAST({value!r} AS DOUBLE)"
     return repr(value)
 
 

@@ -182,10 +182,7 @@ def chord_extensions_and_borrowing(spark, sf):
         F.lit("ionian").alias("mode"),
         (F.col("o_orderkey") % 7 + 1).cast("int").alias("degree"),
         F.lit(5).alias("chord_type"),
-        F.element_at(
-            F.array(*[F.lit(e) if e else F.array().cast("array<int>") for e in EXTENSIONS]),
-            (F.col("o_orderkey") % 4 + 1).cast("int"),
-        ).alias("ext"),
+        dims.pick(EXTENSIONS, F.col("o_orderkey") % 4).cast("array<int>").alias("ext"),
         dims.pick(BORROWED, F.col("o_orderkey") % 3).alias("lent"),
     )
     df = theory.add_chord(df, "root", "mode", "degree", "chord_type", extensions="ext", borrowed="lent")
@@ -240,14 +237,13 @@ SELECT key, mode, array_to_string(degs, '-') AS degrees,
 FROM keyed GROUP BY ALL""")
 def progression_chords(spark, sf):
     orders = reader(spark, sf)("orders")
-    entries = [F.struct(F.lit(m).alias("mode"), F.lit(list(d)).alias("degrees")) for m, d in fv.PROGRESSIONS]
     df = orders.select(
         (F.col("o_custkey") % 12).cast("int").alias("key"),
-        F.element_at(F.array(*entries), (F.col("o_orderkey") % 19 + 1).cast("int")).alias("p"),
-    ).select("key", "p.*")
-    built = theory.progression_chords(F.col("key"), pitch.mode_offsets(F.col("mode")), F.col("degrees"))
+        dims.pick_record(fv.PROGRESSIONS, ("mode", "degrees"), F.col("o_orderkey") % 19).alias("p"),
+    ).select("key", "p.mode", F.col("p.degrees").alias("degs"))
+    built = theory.progression_chords(F.col("key"), pitch.mode_offsets(F.col("mode")), F.col("degs"))
     text = F.array_join(F.transform(built, lambda c: csv(c)), "|")
-    return df.groupBy("key", "mode", naming.dashed(F.col("degrees")).alias("degrees"), text.alias("chords")).agg(
+    return df.groupBy("key", "mode", naming.dashed(F.col("degs")).alias("degrees"), text.alias("chords")).agg(
         F.count("*").alias("n")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridprobe.functions import fixed_values as fv
+from gridprobe.functions.literals import literal, literal_records
 
 INSTRUMENT_SCHEMA = "category string, program int, name string"
 
@@ -66,10 +67,9 @@ def excluded_programs(spark: SparkSession) -> DataFrame:
 
 def pick(values, ordinal):
     """The entry of a short literal list at a 0-based ordinal column."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (ordinal + 1).cast("int"))
+    return F.element_at(literal(values), (ordinal + 1).cast("int"))
 
 
 def pick_record(records, fields, ordinal):
     """Like ``pick`` for records: a struct column with the given field names."""
-    rows = [F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, r)]) for r in records]
-    return F.element_at(F.array(*rows), (ordinal + 1).cast("int"))
+    return F.element_at(literal_records(records, fields), (ordinal + 1).cast("int"))

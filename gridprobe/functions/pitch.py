@@ -6,10 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridprobe.functions import fixed_values as fv
-
-
-def literal_map(mapping: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+from gridprobe.functions.literals import literal, literal_map
 
 
 def known(value: Column, key: Column, what: str) -> Column:
@@ -19,12 +16,11 @@ def known(value: Column, key: Column, what: str) -> Column:
 
 
 def sharp_name(pitch_class: Column) -> Column:
-    return F.element_at(F.lit(list(fv.SHARP_NAMES)), (pitch_class + 1).cast("int"))
+    return F.element_at(literal(fv.SHARP_NAMES), (pitch_class + 1).cast("int"))
 
 
 def spellings(pitch_class: Column) -> Column:
-    rows = [F.lit(list(names)) for names in fv.ENHARMONIC_NAMES]
-    return F.element_at(F.array(*rows), (pitch_class + 1).cast("int"))
+    return F.element_at(literal(fv.ENHARMONIC_NAMES), (pitch_class + 1).cast("int"))
 
 
 def pitch_class_of(name: Column) -> Column:
@@ -32,8 +28,7 @@ def pitch_class_of(name: Column) -> Column:
 
 
 def mode_offsets(mode: Column) -> Column:
-    table = F.create_map(*[x for m, o in fv.MODE_OFFSETS.items() for x in (F.lit(m), F.lit(list(o)))])
-    return known(F.try_element_at(table, mode), mode, "mode")
+    return known(F.try_element_at(literal_map(fv.MODE_OFFSETS), mode), mode, "mode")
 
 
 def scale_of(root: Column, offsets: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridprobe.functions.binding import let
+
 
 def widen(values: Column) -> Column:
     return values.cast("array<double>")
@@ -24,8 +26,12 @@ def mean(values: Column) -> Column:
 
 def deviation(values: Column) -> Column:
     """Population standard deviation, in two passes over the row."""
-    centre = mean(values)
-    return F.sqrt(mean(F.transform(values, lambda x: (x - centre) * (x - centre))))
+
+    def spread(v: Column, centre: Column) -> Column:
+        squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - centre) * (x - centre))
+        return F.sqrt(F.try_divide(squares, F.size(v)))
+
+    return let(values, lambda v: let(mean(v), lambda centre: spread(v, centre)))
 
 
 def is_silent(samples: Column) -> Column:
@@ -33,22 +39,33 @@ def is_silent(samples: Column) -> Column:
     return F.forall(samples, lambda x: x == 0)
 
 
+def _mean_rows(matrix: Column) -> Column:
+    """Mean over the outer array of equally long inner arrays."""
+
+    def pooled(m: Column) -> Column:
+        summed = F.aggregate(
+            F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0))),
+            widen(m[0]),
+            lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b),
+        )
+        return F.transform(summed, lambda x: x / F.size(m))
+
+    return let(matrix, pooled)
+
+
 def downmix(channels: Column) -> Column:
     """Mean over channels, from an array of equally long channels."""
-    wide = F.transform(channels, widen)
-    summed = F.aggregate(
-        F.slice(wide, 2, F.greatest(F.size(wide) - 1, F.lit(0))),
-        wide[0],
-        lambda acc, channel: F.zip_with(acc, channel, lambda a, b: a + b),
-    )
-    return F.transform(summed, lambda x: x / F.size(channels))
+    return _mean_rows(channels)
 
 
 def peak_normalised(samples: Column) -> Column:
     """Samples divided by the largest magnitude; silence is left alone."""
-    wide = widen(samples)
-    peak = F.array_max(F.transform(wide, F.abs))
-    return F.when(peak > 0, F.transform(wide, lambda x: x / peak)).otherwise(wide)
+
+    def scaled(wide: Column) -> Column:
+        peak = F.array_max(F.transform(wide, F.abs))
+        return let(peak, lambda p: F.when(p > 0, F.transform(wide, lambda x: x / p)).otherwise(wide))
+
+    return let(widen(samples), scaled)
 
 
 def duration(samples: Column, rate: Column | int) -> Column:
@@ -87,16 +104,18 @@ def random_crop(samples: Column, length: int, unit: Column) -> Column:
 
 def frames_by_feature(values: Column, features: int, frames: int) -> Column:
     """A flat feature-major array as an array of per-feature frame arrays."""
-    wide = widen(values)
     return F.transform(
-        F.sequence(F.lit(0), F.lit(features - 1)), lambda i: F.slice(wide, i * frames + 1, frames)
+        F.sequence(F.lit(0), F.lit(features - 1)), lambda i: widen(F.slice(values, i * frames + 1, frames))
     )
 
 
 def step_difference(values: Column) -> Column:
-    n = F.size(values)
-    rest = F.greatest(n - 1, F.lit(0))
-    return F.zip_with(F.slice(values, 2, rest), F.slice(values, 1, rest), lambda a, b: a - b)
+
+    def stepped(v: Column) -> Column:
+        rest = F.greatest(F.size(v) - 1, F.lit(0))
+        return F.zip_with(F.slice(v, 2, rest), F.slice(v, 1, rest), lambda a, b: a - b)
+
+    return let(values, stepped)
 
 
 def difference(values: Column, order: int) -> Column:
@@ -107,22 +126,17 @@ def difference(values: Column, order: int) -> Column:
 
 def moments(matrix: Column) -> Column:
     """Mean and deviation over time of differences of order 0, 1 and 2, block by block."""
-    blocks = []
+    blocks, rows = [], matrix
     for order in range(3):
-        for pool in (mean, deviation):
-            blocks.append(F.transform(matrix, lambda row, o=order, p=pool: p(difference(row, o))))
+        if order:
+            rows = F.transform(rows, step_difference)
+        blocks += [F.transform(rows, mean), F.transform(rows, deviation)]
     return F.concat(*blocks)
 
 
 def mean_over_time(matrix: Column) -> Column:
     """Column means of an array of equally long frames."""
-    wide = F.transform(matrix, widen)
-    summed = F.aggregate(
-        F.slice(wide, 2, F.greatest(F.size(wide) - 1, F.lit(0))),
-        wide[0],
-        lambda acc, frame: F.zip_with(acc, frame, lambda a, b: a + b),
-    )
-    return F.transform(summed, lambda x: x / F.size(matrix))
+    return _mean_rows(matrix)
 
 
 def mean_over_two_axes(cube: Column) -> Column:

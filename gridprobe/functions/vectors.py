@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridprobe.functions import signal
+from gridprobe.functions.binding import let
 
 
 def argmax(values: Column) -> Column:
@@ -20,10 +21,15 @@ def is_blank(values: Column) -> Column:
 
 def cross_entropy(logits: Column, code: Column) -> Column:
     """Softmax cross-entropy of one row, shifted by the maximum so that it cannot overflow."""
-    wide = signal.widen(logits)
-    top = F.array_max(wide)
-    spread = signal.total(F.transform(wide, lambda x: F.exp(x - top)))
-    return F.log(spread) + top - F.element_at(wide, (code + 1).cast("int"))
+
+    def loss(wide: Column) -> Column:
+        def above(top: Column) -> Column:
+            spread = F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+            return F.log(spread) + top - F.element_at(wide, (code + 1).cast("int"))
+
+        return let(F.array_max(wide), above)
+
+    return let(signal.widen(logits), loss)
 
 
 def one_hot(code: Column, classes: int) -> Column:

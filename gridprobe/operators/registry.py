@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridprobe.functions import dims
 from gridprobe.functions import fixed_values as fv
-from gridprobe.functions.pitch import literal_map
+from gridprobe.functions.literals import literal_map
 
 
 def model_size(model_name: Column) -> Column:
@@ -30,7 +30,7 @@ def family_key(family: Column) -> Column:
 
 def max_layers(model_name: Column) -> Column:
     """Layers of a known model; NULL for models with one vector per sample."""
-    return F.try_element_at(literal_map(dict(fv.MODEL_LAYERS)), model_name)
+    return F.try_element_at(literal_map(fv.MODEL_LAYERS), model_name)
 
 
 def export_hash(file_name: Column) -> Column:

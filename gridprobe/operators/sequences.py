@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridprobe.functions import fixed_values as fv
 from gridprobe.functions import pitch
+from gridprobe.functions.binding import let
 
 
 def event(start: Column, end: Column, notes: Column) -> Column:
@@ -103,7 +104,7 @@ def note_messages(events: Column) -> Column:
     each gap. All notes of an event start together, and the first off message carries the duration.
     """
 
-    def one(e: Column, i: Column) -> Column:
+    def one(events: Column, e: Column, i: Column) -> Column:
         first = F.greatest(_ticks(e["start_beat"] - 1), F.lit(0))
         gap = e["start_beat"] - F.element_at(events, F.greatest(i, F.lit(1)))["end_beat"]
         rest = F.when(i == 0, first).otherwise(F.greatest(_ticks(gap), F.lit(0)))
@@ -115,7 +116,7 @@ def note_messages(events: Column) -> Column:
         )
         return F.concat(_rest(rest), on, off)
 
-    return F.flatten(F.transform(events, one))
+    return let(events, lambda ev: F.flatten(F.transform(ev, lambda e, i: one(ev, e, i))))
 
 
 def click_messages(beats_per_bar: Column, division: Column, total_beats: Column, click: Column, reverb: Column) -> Column:

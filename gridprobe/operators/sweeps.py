@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridprobe.functions import dims
 from gridprobe.functions import fixed_values as fv
+from gridprobe.functions.literals import literal
 from gridprobe.operators import grid
 
 
@@ -30,8 +31,7 @@ def sweep_size(sweep: str) -> int:
 
 def _value(values: tuple, ordinal: Column) -> Column:
     if isinstance(values[0], tuple):
-        lists = [F.lit(list(v)) if v else F.array().cast("array<int>") for v in values]
-        return F.element_at(F.array(*lists), ordinal + 1)
+        return F.element_at(literal(values).cast("array<array<int>>"), ordinal + 1)
     return dims.pick(values, ordinal)
 
 

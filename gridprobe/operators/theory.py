@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from gridprobe.functions import dims
 from gridprobe.functions import fixed_values as fv
 from gridprobe.functions import pitch
+from gridprobe.functions.binding import let
+from gridprobe.functions.literals import literal_map
 
 
 def chord_size(chord_type: Column) -> Column:
-    size = F.try_element_at(pitch.literal_map(fv.CHORD_SIZE), chord_type)
+    size = F.try_element_at(literal_map(fv.CHORD_SIZE), chord_type)
     return pitch.known(size, chord_type, "chord type")
 
 
@@ -30,7 +32,7 @@ def quality_of(pitch_classes: Column) -> Column:
     third = F.pmod(pitch_classes[1] - pitch_classes[0], F.lit(12))
     fifth = F.pmod(pitch_classes[2] - pitch_classes[0], F.lit(12))
     key = F.concat_ws(",", third.cast("string"), fifth.cast("string"))
-    names = pitch.literal_map({f"{t},{f}": name for (t, f), name in fv.CHORD_QUALITY.items()})
+    names = literal_map({f"{t},{f}": name for (t, f), name in fv.CHORD_QUALITY.items()})
     return pitch.known(F.try_element_at(names, key), key, "chord quality")
 
 
@@ -87,7 +89,7 @@ def add_chord(
             inverted(F.col("_notes"), inv, 12), at_places(F.col("_offsets"), added, F.col("_tonic") + 12)
         ),
     })
-    suffix = F.element_at(pitch.literal_map(fv.CHORD_SUFFIX), F.col(chord_type))
+    suffix = F.element_at(literal_map(fv.CHORD_SUFFIX), F.col(chord_type))
     remarks = F.concat(
         F.when(F.size(ext) > 0, F.concat(F.lit("add"), F.array_join(ext.cast("array<string>"), ""))).otherwise(""),
         F.when(lent.isNotNull(), F.concat(F.lit(" ("), lent, F.lit(")"))).otherwise(""),
@@ -125,20 +127,21 @@ def add_named_chord(df: DataFrame, root: str, kind: str, inversion: str | None =
 
 def progression_chords(root: Column, offsets: Column, degrees: Column) -> Column:
     """Root-position triads of a list of degrees, as an array of note arrays."""
-    tonic = pitch.tonic_note(root)
-    return F.transform(
-        degrees,
-        lambda d: F.transform(
-            F.array(F.lit(0), F.lit(2), F.lit(4)),
-            lambda step: (tonic + F.element_at(offsets, ((d - 1 + step) % 7 + 1).cast("int"))).cast("int"),
-        ),
-    )
+
+    def triads(table: Column, tonic: Column) -> Column:
+        thirds = F.array(F.lit(0), F.lit(2), F.lit(4))
+        place = lambda d, step: ((d - 1 + step) % 7 + 1).cast("int")
+        return F.transform(
+            degrees, lambda d: F.transform(thirds, lambda s: (tonic + F.element_at(table, place(d, s))).cast("int"))
+        )
+
+    return let(offsets, lambda table: let(pitch.tonic_note(root), lambda tonic: triads(table, tonic)))
 
 
 def typed_progression_chords(root: Column, offsets: Column, degrees: Column) -> Column:
     """Like ``progression_chords`` for ``array<struct<degree int, chord_type int>>``."""
-    tonic = pitch.tonic_note(root)
-    return F.transform(
-        degrees,
-        lambda d: at_places(offsets, stacked_thirds(d["degree"], d["chord_type"]), tonic),
-    )
+
+    def stacked(table: Column, tonic: Column) -> Column:
+        return F.transform(degrees, lambda d: at_places(table, stacked_thirds(d["degree"], d["chord_type"]), tonic))
+
+    return let(offsets, lambda table: let(pitch.tonic_note(root), lambda tonic: stacked(table, tonic)))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gridprobe import schemas
 from gridprobe.functions import dims, naming, pitch
 from gridprobe.functions import fixed_values as fv
+from gridprobe.functions.literals import literal_records
 from gridprobe.operators import grid, sequences, theory
 
 Instruments = Sequence[tuple[str, int, str]]
@@ -25,6 +26,9 @@ INTERVALS = tuple((b, s) for b in fv.INTERVAL_BASES for s in fv.INTERVAL_SIZES)
 SCALES = tuple((n, m) for n in fv.SHARP_NAMES for m in fv.SCALE_MODES)
 CHORDS = tuple((pc, k) for pc in range(12) for k in fv.CHORD_KINDS)
 KEYS = tuple(range(12))
+CLICK_FIELDS = (
+    "channel", "program", "downbeat_note", "offbeat_note", "name", "downbeat_velocity", "offbeat_velocity",
+)
 BPMS = tuple(range(fv.SLOWEST_BPM, fv.FASTEST_BPM + 1))
 
 
@@ -141,10 +145,7 @@ def check_unique(progressions: Sequence) -> None:
 
 
 def _progression(progressions: Sequence, ordinal: str) -> Column:
-    entries = [
-        F.struct(F.lit(mode).alias("mode"), F.lit(list(degrees)).alias("degrees")) for mode, degrees in progressions
-    ]
-    return F.element_at(F.array(*entries), F.col(ordinal) + 1)
+    return dims.pick_record(progressions, ("mode", "degrees"), F.col(ordinal))
 
 
 def progressions(ids, progressions: Sequence = fv.PROGRESSIONS, keys: Sequence[int] = KEYS,
@@ -168,8 +169,7 @@ def progressions(ids, progressions: Sequence = fv.PROGRESSIONS, keys: Sequence[i
 
 
 def _click(configs: Sequence, ordinal: str) -> Column:
-    fields = ("channel", "program", "downbeat_note", "offbeat_note", "name", "downbeat_velocity", "offbeat_velocity")
-    return dims.pick_record(configs, fields, F.col(ordinal))
+    return dims.pick_record(configs, CLICK_FIELDS, F.col(ordinal))
 
 
 def _with_click_files(df: DataFrame, stem: Column) -> DataFrame:
@@ -276,11 +276,8 @@ def with_events(df: DataFrame, dataset: str) -> DataFrame:
 
 def with_clicks(df: DataFrame, dataset: str) -> DataFrame:
     """Add the click messages of a tempo or time-signature row."""
-    fields = ("channel", "program", "downbeat_note", "offbeat_note", "name", "downbeat_velocity", "offbeat_velocity")
-    click = F.filter(
-        F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, c)]) for c in fv.CLICK_CONFIGS]),
-        lambda c: c["name"] == F.col("click_config_name"),
-    )[0]
+    configs = literal_records(fv.CLICK_CONFIGS, CLICK_FIELDS)
+    click = F.filter(configs, lambda c: c["name"] == F.col("click_config_name"))[0]
     if dataset == "tempos":
         beats, division, reverb = F.lit(4), F.lit(4), F.lit(0)
         total = pitch.tempo_beats(F.col("bpm"))

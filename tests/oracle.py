@@ -61,7 +61,7 @@ if __name__ == "__main__":
         try:
             problem = compare(spark, con, QUERIES[name], folder)
         except Exception as error:  # noqa: BLE001
-            problem = f"{type(error).__name__}: {str(error)[:1500]}"
+            problem = f"{type(error).__name__}: {str(error)[:300]}"
         failed += problem is not None
         print(f"{'FAIL' if problem else 'ok  '} {time.time() - started:6.2f}s {name} {problem or ''}", flush=True)
     print(f"{len(names) - failed} of {len(names)} agree")
