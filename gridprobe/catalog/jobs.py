@@ -1,0 +1,243 @@
+"""Manifests, shards, status logs, run plans and the export registry."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridprobe.catalog.registry import lit, nth, query, reader, rounded
+from gridprobe.catalog.signals import FRAMES, MOMENTS
+from gridprobe.functions import dims
+from gridprobe.functions import fixed_values as fv
+from gridprobe.operators import registry, shards
+from gridprobe.plans import embedding_job as job
+from gridprobe.session import scratch_path
+from gridprobe.sources import sinks, tables
+
+MODELS = list(fv.MODEL_LAYERS)
+CONCEPTS = list(fv.CONCEPT_LABELS)
+PER_SHARD = fv.SAMPLES_PER_SHARD
+STATUSES = ["in progress", "done", "failed"]
+
+
+@query("A11 B1", f"""
+SELECT CAST(o_orderkey // {PER_SHARD} AS INT) AS shard, count(*) AS n FROM orders GROUP BY ALL""")
+def shard_sizes(spark, sf):
+    return shards.shard_counts(reader(spark, sf)("orders"), "o_orderkey")
+
+
+def samples(spark, sf):
+    return reader(spark, sf)("documents").select(
+        F.col("doc_id").alias("row_id"), "lang", "source", "n_chars",
+        F.concat("source", F.lit(".wav")).alias("synth_file_path"),
+        F.when(F.col("lang") == "en", F.concat("source", F.lit("_offset.wav"))).alias("offset_file_path"),
+    )
+
+
+@query("B1 B2 P18 P23 F4", f"""
+SELECT doc_id AS row_id, 'MELSPEC' AS model_name, 'abc' AS model_config_checksum, 'documents' AS dataset_name, CAST(doc_id // {PER_SHARD} AS INT) AS dataset_shard,
+       CASE WHEN lang = 'en' THEN source || '_offset.wav' ELSE source || '.wav' END AS audio_file_path, doc_id AS "details.row_id", lang AS "details.lang",
+       source AS "details.source", n_chars AS "details.n_chars", source || '.wav' AS "details.synth_file_path",
+       CASE WHEN lang = 'en' THEN source || '_offset.wav' END AS "details.offset_file_path"
+FROM documents""")
+def flat_manifest(spark, sf):
+    return job.flat_manifest(job.build_manifest(samples(spark, sf), "documents", "MELSPEC", "abc"))
+
+
+@query("K3 S3 F4", f"""
+SELECT CAST(doc_id // {PER_SHARD} AS INT) AS dataset_shard, count(*) AS n, count(DISTINCT source) AS n_sources
+FROM documents WHERE doc_id // {PER_SHARD} = 0 GROUP BY ALL""")
+def written_manifest_shard(spark, sf):
+    """The manifest is written once; reading one shard of it prunes by file statistics."""
+    path = scratch_path(spark, "manifest")
+    sinks.write_manifest(job.build_manifest(samples(spark, sf), "documents", "MELSPEC", "abc"), path)
+    rows = tables.manifest(spark, path, "documents", "abc", shard=0)
+    return rows.groupBy("dataset_shard").agg(
+        F.count("*").alias("n"), F.count_distinct("details.source").alias("n_sources")
+    )
+
+
+@query("J4 F5 B3", """
+SELECT d.doc_id AS row_id FROM documents d ANTI JOIN labels l ON l.doc_id = d.doc_id""")
+def pending_samples(spark, sf):
+    """Documents without a label stand for samples without a vector."""
+    t = reader(spark, sf)
+    manifest = job.build_manifest(samples(spark, sf), "documents", "MELSPEC", "abc").select("row_id", "dataset_shard")
+    store = t("labels").select(F.col("doc_id").alias("row_id"), F.array(F.lit(1.0)).alias("embedding"))
+    return job.pending(manifest, store).select("row_id")
+
+
+@query("B3 X7 X8", f"""
+WITH {MOMENTS} SELECT vec_id AS row_id, CAST(b * 8 + f AS INT) AS i, round(x, 6) + 0.0 AS x FROM blocks""")
+def extracted_moments(spark, sf):
+    vectors = reader(spark, sf)("embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    made = job.extract(vectors, job.moment_extractor(FRAMES[0]), signal="embedding", element="double")
+    cells = made.select("row_id", F.posexplode("embedding").alias("i", "x"))
+    return cells.select("row_id", "i", rounded(F.col("x")).alias("x"))
+
+
+@query("B3 K4 K6 W7", None)
+def resumed_job(spark, sf):
+    """Two runs over one store: the second finds nothing to do, and every shard ends as done."""
+    vectors = reader(spark, sf)("embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    manifest = job.build_manifest(
+        vectors.select("row_id", F.lit("a.wav").alias("synth_file_path")), "vectors", "MELSPEC", "abc"
+    )
+    signals = vectors.select("row_id", F.col("embedding").alias("samples"))
+    store, log = scratch_path(spark, "store"), scratch_path(spark, "status")
+    load = job.moment_extractor(FRAMES[0])
+    for _ in range(2):
+        job.run_job(manifest, signals, store, log, load, "vectors", "abc")
+    done = spark.read.parquet(log).groupBy("shard").agg(F.max_by("status", "ts").alias("status"))
+    rows = spark.read.parquet(store).groupBy(shards.shard_of(F.col("row_id")).alias("shard")).agg(
+        F.count("*").alias("n"), F.count_distinct("row_id").alias("n_distinct")
+    )
+    return done.join(rows, "shard")
+
+
+@query("K4 S6 E3", """
+SELECT label % 3 AS layer, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS id_sum FROM embeddings WHERE label % 3 = 1 GROUP BY ALL""")
+def stored_layer(spark, sf):
+    """Vectors written under (dataset, model, layer) and read back for one layer."""
+    rows = reader(spark, sf)("embeddings").select(
+        F.lit("vectors").alias("dataset"), F.lit("abc").alias("model_hash"), (F.col("label") % 3).alias("layer"),
+        F.col("vec_id").alias("row_id"), "embedding",
+    )
+    path = scratch_path(spark, "store")
+    sinks.append_embeddings(rows, path)
+    read = tables.embeddings(spark, path, "vectors", "abc", layer=1)
+    return read.groupBy("layer").agg(F.count("*").alias("n"), F.sum("row_id").alias("id_sum"))
+
+
+# Event types as status words: errors failed, purchases are done, everything else is in progress.
+STATUS_SQL = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'in progress' END"
+
+
+def status_log(spark, sf):
+    events = reader(spark, sf)("events")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done")
+    return events.select(
+        F.col("user_id").alias("shard"), "event_id", "ts", status.otherwise("in progress").alias("status"),
+        dims.pick(CONCEPTS, F.col("event_id") % 7).alias("concept"), dims.pick(MODELS, F.col("user_id") % 9).alias("model_name"),
+        F.from_json("props", "k int")["k"].alias("part"),
+    )
+
+
+LATEST = f"""log AS (SELECT user_id AS shard, event_id, ts, {STATUS_SQL} AS status, (SELECT max(ts) FROM events) AS now FROM events),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ts DESC, event_id DESC) AS r FROM log),
+latest AS (SELECT shard, CASE WHEN status = 'in progress' AND (epoch_us(now) - epoch_us(ts)) // 1000000 > 6 * 3600 THEN 'failed' ELSE status END AS status
+           FROM ranked WHERE r = 1)"""
+
+
+@query("W7 S9 E4 P24 J4", f"""
+WITH {LATEST}, ids AS (SELECT unnest(range((SELECT max(shard) + 10 FROM log))) AS shard)
+SELECT i.shard, coalesce(l.status, 'never started') AS status FROM ids i LEFT JOIN latest l USING (shard)""")
+def latest_shard_status(spark, sf):
+    log = status_log(spark, sf)
+    last = log.agg(F.max("shard")).first()[0]
+    now = log.agg(F.max("ts").alias("now")).scalar()
+    every = spark.range(last + 10).withColumnRenamed("id", "shard")
+    return shards.latest_status(log, every, now, ["shard"], tie="event_id")
+
+
+RUN_LOG = f"""log AS (SELECT {nth(CONCEPTS, 'event_id % 7')} AS concept, {nth(MODELS, 'user_id % 9')} AS model_name, CAST(json_extract(props, '$.k') AS INT) AS part,
+         event_id, ts, {STATUS_SQL} AS status, (SELECT max(ts) FROM events) AS now FROM events),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY concept, model_name, part ORDER BY ts DESC, event_id DESC) AS r FROM log),
+latest AS (SELECT concept, model_name, part, CASE WHEN status = 'in progress' AND (epoch_us(now) - epoch_us(ts)) // 1000000 > 6 * 3600 THEN 'failed' ELSE status END AS status
+           FROM ranked WHERE r = 1)"""
+
+
+def run_statuses(spark, sf):
+    log = status_log(spark, sf)
+    now = log.agg(F.max("ts").alias("now")).scalar()
+    by = ["concept", "model_name", "part"]
+    return shards.latest_status(log, log.select(*by).distinct(), now, by, tie="event_id")
+
+
+@query("B4 G8 W7", f"""
+WITH {RUN_LOG}, counted AS (
+  SELECT concept, model_name, count(*) AS n_shards, count(*) FILTER (WHERE status = 'failed') AS n_failed,
+         count(*) FILTER (WHERE status = 'in progress') AS n_in_progress, count(*) FILTER (WHERE status = 'done') AS n_done FROM latest GROUP BY ALL),
+concepts AS (SELECT unnest({lit(CONCEPTS + ['timbre'])}) AS concept), models AS (SELECT unnest({lit(MODELS)}) AS model_name),
+planned AS (SELECT c.concept, m.model_name, coalesce(n_shards, 0) AS n_shards, coalesce(n_failed, 0) AS n_failed, coalesce(n_in_progress, 0) AS n_in_progress, coalesce(n_done, 0) AS n_done
+            FROM concepts c CROSS JOIN models m LEFT JOIN counted USING (concept, model_name))
+SELECT *, CASE WHEN n_failed + n_in_progress + n_done = 0 THEN 'extract' WHEN n_failed > 0 THEN 'repair' WHEN n_done = n_shards THEN 'done' ELSE 'wait' END AS action
+FROM planned""")
+def run_plan(spark, sf):
+    from gridprobe.operators.grid import dense_grid
+
+    concepts = spark.createDataFrame([(c,) for c in CONCEPTS + ["timbre"]], "concept string")
+    models = dims.models(spark).select("model_name")
+    runs = dense_grid(spark, [(concepts, ["concept"]), (models, ["model_name"])], "run_id").drop("run_id")
+    return shards.plan_runs(runs, run_statuses(spark, sf), ["concept", "model_name"])
+
+
+@query("B4 W7", f"""
+WITH {RUN_LOG} SELECT concept, model_name, part FROM latest WHERE status = 'failed'""")
+def failed_run_shards(spark, sf):
+    return shards.failed_shards(run_statuses(spark, sf))
+
+
+FAMILIES = ["MUSICGEN_DECODER_LM", "MUSICGEN_DECODER", "JUKEBOX", "MELSPEC"]
+SIZES = ["L", "M", "S"]
+
+
+@query("F7 J6 P20", f"""
+WITH configs AS (SELECT l_orderkey, l_linenumber, l_suppkey, {nth(SIZES, 'l_suppkey % 3')} AS model_size, {nth(FAMILIES, 'l_orderkey % 4')} AS model_type,
+                        CAST(l_quantity AS INT) AS model_layer FROM lineitem),
+exports AS (SELECT p_name || '_' || p_partkey AS path, {nth(SIZES, 'p_partkey % 3')} AS model_size, {nth(FAMILIES, 'p_partkey // 3 % 4')} AS model_type, p_size AS n_layers FROM part),
+keyed AS (SELECT *, CASE WHEN model_type LIKE 'MUSICGEN_DECODER%' THEN split_part(model_type, '_LM', 1) ELSE model_type END AS k FROM configs),
+ekeyed AS (SELECT *, CASE WHEN model_type LIKE 'MUSICGEN_DECODER%' THEN split_part(model_type, '_LM', 1) ELSE model_type END AS k FROM exports),
+lookup AS (SELECT DISTINCT model_size, k, model_layer FROM keyed),
+answered AS (SELECT l.model_size, l.k, l.model_layer, max(e.path) AS export_path
+             FROM lookup l LEFT JOIN ekeyed e ON e.model_size = l.model_size AND e.k = l.k AND e.n_layers > l.model_layer GROUP BY ALL)
+SELECT c.l_orderkey, c.l_linenumber, c.l_suppkey, c.model_size, c.model_type, c.model_layer, a.export_path
+FROM keyed c JOIN answered a USING (model_size, k, model_layer)""")
+def matched_exports(spark, sf):
+    t = reader(spark, sf)
+    configs = t("lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", dims.pick(SIZES, F.col("l_suppkey") % 3).alias("model_size"),
+        dims.pick(FAMILIES, F.col("l_orderkey") % 4).alias("model_type"), F.col("l_quantity").cast("int").alias("model_layer"),
+    )
+    exports = t("part").select(
+        F.concat_ws("_", "p_name", "p_partkey").alias("path"), dims.pick(SIZES, F.col("p_partkey") % 3).alias("model_size"),
+        dims.pick(FAMILIES, F.floor(F.col("p_partkey") / 3) % 4).alias("model_type"), F.col("p_size").alias("n_layers"),
+    )
+    return registry.match_exports(configs, exports)
+
+
+@query("S5 P19 S4", f"""
+WITH files AS (SELECT p_partkey, {nth(CONCEPTS, 'p_partkey % 7')} AS concept, {nth(MODELS, 'p_partkey % 9')} AS model_name, substr(md5(CAST(p_partkey AS VARCHAR)), 1, 12) AS model_hash FROM part)
+SELECT concept || '_' || model_name || '_' || model_hash || '.parquet' AS file_name, model_hash, model_name,
+       CASE WHEN model_name LIKE 'MUSICGEN_DECODER%' THEN split_part(model_name, '_LM_', 2) ELSE 'L' END AS model_size,
+       CASE WHEN model_name LIKE 'MUSICGEN_DECODER%' THEN 'MUSICGEN_DECODER' ELSE model_name END AS model_type
+FROM files WHERE concept = 'notes'""")
+def listed_exports(spark, sf):
+    files = reader(spark, sf)("part").select(
+        dims.pick(CONCEPTS, F.col("p_partkey") % 7).alias("concept"),
+        dims.pick(MODELS, F.col("p_partkey") % 9).alias("model_name"),
+        F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 12).alias("model_hash"),
+    )
+    name = F.concat(F.concat_ws("_", "concept", "model_name", "model_hash"), F.lit(".parquet"))
+    paths = files.select(F.concat(F.lit("/data/"), name).alias("path"))
+    found = registry.list_exports(paths, files.select("model_hash", "model_name"), "notes")
+    return found.select("file_name", "model_hash", "model_name", "model_size", "model_type")
+
+
+@query("M8", f"""
+WITH firsts AS (SELECT unnest({lit(CONCEPTS)}) AS concept, unnest({lit([t[0][0] for t in fv.CONCEPT_LABELS.values()])}) AS classes,
+                       unnest({lit([t[0][1] for t in fv.CONCEPT_LABELS.values()])}) AS label_column)
+SELECT p_partkey, concept, label_column, CASE WHEN concept = 'tempos' THEN 'regression' ELSE 'multiclass' END AS output_type,
+       CASE WHEN concept = 'tempos' THEN 1 ELSE classes END AS num_outputs
+FROM part JOIN firsts ON concept = {nth(CONCEPTS, 'p_partkey % 7')}""")
+def task_targets(spark, sf):
+    df = reader(spark, sf)("part").select("p_partkey", dims.pick(CONCEPTS, F.col("p_partkey") % 7).alias("concept"))
+    return registry.task_targets(df, "concept")
+
+
+@query("E6", """
+SELECT p_partkey, CAST(p_partkey % 150 AS INT) AS note FROM part WHERE p_partkey % 150 > 127""")
+def notes_outside_range(spark, sf):
+    from gridprobe.operators import guards
+
+    notes = reader(spark, sf)("part").select("p_partkey", (F.col("p_partkey") % 150).cast("int").alias("note"))
+    return guards.outside_midi_range(notes, "note")

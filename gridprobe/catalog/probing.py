@@ -1,0 +1,116 @@
+"""Fitted probes and streams. Fits have no SQL; they are checked by bands in the tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridprobe.catalog.labelling import CELLS
+from gridprobe.catalog.registry import query, reader, rounded
+from gridprobe.plans import embedding_job as job
+from gridprobe.plans import probes
+from gridprobe.session import scratch_path
+from gridprobe.sources import sinks, tables
+from gridprobe.sources.configs import ProbeConfig
+from gridprobe.streaming import incremental_extract, online_stats
+
+
+def config(outputs: int = 10, **hyper) -> ProbeConfig:
+    return ProbeConfig(
+        dataset="vectors", dataset_embeddings_label_column_name="label", model_hash="abc", num_outputs=outputs, **hyper
+    )
+
+
+def class_rows(spark, sf):
+    vectors = reader(spark, sf)("embeddings").withColumnRenamed("vec_id", "row_id")
+    return probes.assemble(vectors.select("row_id", "label"), vectors, "label", "multiclass")
+
+
+def value_rows(spark, sf):
+    """The mean of the first half of a vector as a regression label."""
+    from gridprobe.functions import signal
+
+    vectors = reader(spark, sf)("embeddings").withColumnRenamed("vec_id", "row_id")
+    label = signal.mean(signal.widen(F.slice("embedding", 1, 32)))
+    return probes.assemble(vectors.select("row_id", label.alias("value")), vectors, "value", "regression")
+
+
+def _fit(rows, cfg, output_type, iterations):
+    return probes.fit(rows.filter("split = 'train'"), cfg, output_type, iterations)
+
+
+@query("M1 M2 M5 M6 A3")
+def linear_probe(spark, sf):
+    rows = class_rows(spark, sf)
+    return probes.evaluate(_fit(rows, config(), "multiclass", 25), rows, "split")
+
+
+@query("M3 M5 M6")
+def hidden_layer_probe(spark, sf):
+    rows = class_rows(spark, sf)
+    cfg = config(hidden_layer_sizes=[512])
+    return probes.evaluate(_fit(rows, cfg, "multiclass", 10), rows, "split")
+
+
+@query("M4 M5 M6 A2 W6")
+def regression_probe(spark, sf):
+    rows = value_rows(spark, sf)
+    return probes.evaluate(_fit(rows, config(1), "regression", 25), rows, "split")
+
+
+@query("M6 A6 M2")
+def probe_confusion(spark, sf):
+    rows = class_rows(spark, sf)
+    return probes.confusion(_fit(rows, config(), "multiclass", 25), rows.filter("split = 'valid'"))
+
+
+@query("M7 M9 K7")
+def probe_sweep(spark, sf):
+    grid = [
+        config(data_standardization=standard, l2_weight_decay=decay)
+        for standard in (False, True) for decay in (None, 1e-3)
+    ]
+    path = scratch_path(spark, "metrics")
+    swept = probes.sweep(class_rows(spark, sf), grid, "multiclass", iterations=15)
+    sinks.append_metrics(swept, path)
+    return spark.read.parquet(path)
+
+
+@query("K8 S10")
+def saved_probe(spark, sf):
+    """Saved, loaded again by the start of its uid, and evaluated."""
+    rows = class_rows(spark, sf)
+    root = scratch_path(spark, "probes")
+    uid = probes.save(spark, _fit(rows, config(), "multiclass", 15), root)
+    return probes.evaluate(probes.load(spark, uid[:10], root), rows, "split")
+
+
+@query("T1 A3", f"""
+SELECT dim, count(*) AS n, round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) + 0.0 AS deviation FROM ({CELLS}) GROUP BY dim""")
+def streamed_dimension_statistics(spark, sf):
+    stream = tables.table_stream(spark, sf, "embeddings")
+    path, checkpoint = scratch_path(spark, "stats"), scratch_path(spark, "stats-checkpoint")
+    online_stats.keep_latest(online_stats.dimension_stats(stream, "embedding"), path, checkpoint).awaitTermination()
+    stats = online_stats.read_latest(spark, path)
+    return stats.select("dim", "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("deviation")).alias("deviation"))
+
+
+@query("T1", """
+SELECT event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS deviation FROM events GROUP BY event_type""")
+def streamed_event_statistics(spark, sf):
+    stream = tables.table_stream(spark, sf, "events")
+    path, checkpoint = scratch_path(spark, "stats"), scratch_path(spark, "stats-checkpoint")
+    online_stats.keep_latest(
+        online_stats.value_stats(stream, "value", "event_type"), path, checkpoint
+    ).awaitTermination()
+    stats = online_stats.read_latest(spark, path)
+    return stats.select("event_type", "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("deviation")).alias("deviation"))
+
+
+@query("T2 B3", """
+SELECT vec_id AS row_id, 48 AS width FROM embeddings""")
+def streamed_extraction(spark, sf):
+    stream = tables.table_stream(spark, sf, "embeddings")
+    signals = stream.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("samples"))
+    path, checkpoint = scratch_path(spark, "vectors"), scratch_path(spark, "vectors-checkpoint")
+    incremental_extract.extract_stream(signals, job.moment_extractor(8), path, checkpoint).awaitTermination()
+    return spark.read.parquet(path).select("row_id", F.size("embedding").alias("width"))

@@ -63,12 +63,14 @@ Extractor = Callable[[list], list]
 
 
 def extract(
-    df: DataFrame, load: Callable[[], Extractor], signal: str = "samples", batch_rows: int = 64
+    df: DataFrame, load: Callable[[], Extractor], signal: str = "samples", batch_rows: int = 64,
+    element: str = "float",
 ) -> DataFrame:
     """(row_id, embedding) from a user extractor.
 
     ``load`` runs once per task, so a model is loaded once, and the extractor it returns gets batches
-    of sample arrays and gives back one vector each. A failing sample fails the task.
+    of sample arrays and gives back one vector each. A failing sample fails the task. ``element`` is
+    the stored type, float or double.
     """
     wanted = df.select("row_id", F.col(signal).cast("array<float>").alias("samples"))
 
@@ -76,15 +78,16 @@ def extract(
         import pyarrow as pa
 
         model = load()
+        kind = pa.float32() if element == "float" else pa.float64()
         for batch in batches:
             for start in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(start, batch_rows)
                 samples = part.column("samples")
                 rows = [samples[i].values.to_numpy(zero_copy_only=False) for i in range(part.num_rows)]
-                vectors_ = pa.array([list(map(float, v)) for v in model(rows)], pa.list_(pa.float32()))
+                vectors_ = pa.array([list(map(float, v)) for v in model(rows)], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays([part.column("row_id"), vectors_], ["row_id", "embedding"])
 
-    return wanted.mapInArrow(run, "row_id bigint, embedding array<float>")
+    return wanted.mapInArrow(run, f"row_id bigint, embedding array<{element}>")
 
 
 def moment_extractor(n_features: int) -> Callable[[], Extractor]:

@@ -21,6 +21,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    _, target, fs = _fs(spark, path)
+    return fs.exists(target) and fs.getFileStatus(target).isDirectory()
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     _, target, fs = _fs(spark, path)
     return fs.delete(target, True)

@@ -18,6 +18,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    schema = table(spark, folder, name).schema
+    source = spark.readStream.schema(schema)
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    if sinks.is_folder(spark, path):
+        return source.parquet(path)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def instruments_csv(spark: SparkSession, path: str) -> DataFrame:
     """An instrument table with a header and the columns category, program, name."""
     return spark.read.schema(dims.INSTRUMENT_SCHEMA).csv(path, header=True, escape='"')
