@@ -155,9 +155,9 @@ def chord_messages(spark, sf):
     return sequences.explode_messages(df, "messages", "c_custkey")
 
 
-def click_tracks(spark, sf, table, key):
+def click_settings(spark, sf, table, key):
     k = F.col(key)
-    df = reader(spark, sf)(table).select(
+    return reader(spark, sf)(table).select(
         key,
         dims.pick([m[0] for m in METERS], k % 8).alias("beats"),
         dims.pick([m[1] for m in METERS], k % 8).alias("division"),
@@ -165,10 +165,6 @@ def click_tracks(spark, sf, table, key):
         (k % 3).cast("int").alias("level"),
         dims.pick_record(fv.CLICK_CONFIGS, CLICK_FIELDS, k % 5).alias("click"),
     )
-    messages = sequences.click_messages(
-        F.col("beats"), F.col("division"), pitch.tempo_beats(F.col("bpm")), F.col("click"), F.col("level")
-    )
-    return df.withColumn("messages", messages)
 
 
 def _click_sql(table: str, key: str) -> str:
@@ -190,7 +186,11 @@ messages AS (
 SELECT s_suppkey, CAST(row_number() OVER w - 1 AS INT) AS seq, kind, note, velocity, CAST(delta AS INT) AS delta, CAST(sum(delta) OVER w AS BIGINT) AS tick
 FROM messages WINDOW w AS (PARTITION BY s_suppkey ORDER BY b, k)""")
 def click_messages(spark, sf):
-    return sequences.explode_messages(click_tracks(spark, sf, "supplier", "s_suppkey"), "messages", "s_suppkey")
+    df = click_settings(spark, sf, "supplier", "s_suppkey")
+    messages = sequences.click_messages(
+        F.col("beats"), F.col("division"), pitch.tempo_beats(F.col("bpm")), F.col("click"), F.col("level")
+    )
+    return sequences.explode_messages(df.withColumn("messages", messages), "messages", "s_suppkey")
 
 
 @query("V6 V8 P16", f"""
@@ -200,10 +200,12 @@ SELECT p_partkey, CAST(2 * (bpm // 3 + 1) + 1 AS INT) AS n_messages, CAST(ticks
        round(ticks * tempo / 480000000.0, 6) + 0.0 AS seconds, CAST(floor(ticks * tempo / CAST(480000000.0 AS DOUBLE) * 44100) AS BIGINT) AS n_samples
 FROM timed""")
 def click_track_durations(spark, sf):
-    df = click_tracks(spark, sf, "part", "p_partkey").withColumn("ticks", sequences.total_ticks(F.col("messages")))
+    df = click_settings(spark, sf, "part", "p_partkey")
+    total = pitch.tempo_beats(F.col("bpm"))
+    df = df.withColumn("ticks", sequences.click_ticks(F.col("beats"), F.col("division"), total))
     seconds = sequences.tick_seconds(F.col("ticks"), F.col("bpm"))
     return df.select(
-        "p_partkey", F.size("messages").alias("n_messages"), "ticks", rounded(seconds).alias("seconds"),
+        "p_partkey", (sequences.click_count(total) * 2 + 1).alias("n_messages"), "ticks", rounded(seconds).alias("seconds"),
         sequences.sample_count(seconds).alias("n_samples"),
     )
 

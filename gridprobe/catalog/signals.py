@@ -176,7 +176,7 @@ def layer_means_long_form(spark, sf):
 
 
 @query("B5 E8", """
-SELECT label, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim, min(len(embedding)) = max(len(embedding)) AS is_uniform
+SELECT label, CAST(min(len(embedding)) AS INT) AS min_dim, CAST(max(len(embedding)) AS INT) AS max_dim, min(len(embedding)) = max(len(embedding)) AS is_uniform
 FROM embeddings GROUP BY label""")
 def embedding_dimensions(spark, sf):
     return guards.dimension_range(vectors(spark, sf), "embedding", "label")

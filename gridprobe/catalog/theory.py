@@ -137,7 +137,7 @@ SELECT l_orderkey, l_linenumber, array_to_string(pcs, ',') AS pitch_classes, arr
        ({SHARPS})[pcs[1] + 1] || quality || suffix || '[]' AS name
 FROM named""")
 def diatonic_chords(spark, sf):
-    df = theory.add_chord(keyed_lineitem(spark, sf), "root", "mode", "degree", "chord_type")
+    df = theory.join_chord(keyed_lineitem(spark, sf), "root", "mode", "degree", "chord_type")
     return df.select(
         "l_orderkey", "l_linenumber", csv(F.col("chord.pitch_classes")).alias("pitch_classes"),
         csv(F.col("chord.notes")).alias("notes"), F.col("chord.name").alias("name"),
@@ -150,7 +150,7 @@ SELECT root, mode, degree, chord_type, coalesce(inversion, '5') AS inversion, ar
        ({SHARPS})[pcs_t[1] + 1] || quality || suffix || coalesce(inversion, '') || '[]' AS name, count(*) AS n
 FROM turned GROUP BY ALL""")
 def chord_inversions(spark, sf):
-    df = theory.add_chord(keyed_lineitem(spark, sf), "root", "mode", "degree", "chord_type", "inversion")
+    df = theory.join_chord(keyed_lineitem(spark, sf), "root", "mode", "degree", "chord_type", "inversion")
     return df.groupBy(
         "root", "mode", "degree", "chord_type", F.coalesce("inversion", F.lit("5")).alias("inversion"),
         csv(F.col("chord.notes")).alias("notes"), F.col("chord.name").alias("name"),
@@ -217,7 +217,7 @@ def named_chords(spark, sf):
         "l_orderkey", "l_linenumber", (F.col("l_partkey") % 12).cast("int").alias("pc"),
         dims.pick(KINDS, F.col("l_suppkey") % 5).alias("kind"),
     )
-    df = theory.add_named_chord(df, "pc", "kind")
+    df = theory.join_named_chord(df, "pc", "kind")
     return df.select(
         "l_orderkey", "l_linenumber", "kind", csv(F.col("chord.notes")).alias("notes"),
         csv(theory.bass_doubled(F.col("chord.notes"))).alias("voiced"), F.col("chord.name").alias("name"),

@@ -36,5 +36,9 @@ def literal_records(records, fields) -> Column:
     return F.expr("array(" + ", ".join(rows) + ")")
 
 
+def map_text(mapping: dict) -> str:
+    return "map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in mapping.items()) + ")"
+
+
 def literal_map(mapping: dict) -> Column:
-    return F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in mapping.items()) + ")")
+    return F.expr(map_text(mapping))

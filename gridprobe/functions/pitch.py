@@ -11,8 +11,8 @@ from gridprobe.functions.literals import literal, literal_map
 
 def known(value: Column, key: Column, what: str) -> Column:
     """A looked-up value; an unknown key fails the job with its name."""
-    problem = F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(key.cast("string"), F.lit("null"))))
-    return F.when(value.isNull(), problem).otherwise(value)
+    text = F.concat(F.lit(f"unknown {what}: "), F.coalesce(key.cast("string"), F.lit("null")))
+    return F.coalesce(value, F.raise_error(text))
 
 
 def sharp_name(pitch_class: Column) -> Column:

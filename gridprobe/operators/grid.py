@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from math import prod
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridprobe.operators.ranks import with_dense_index
 
-# A dimension of this many rows may be broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
+# A dimension of this many rows may be listed on the driver and broadcast.
+SHORT_DIMENSION = 10_000
 
 
 def floor_div(value: Column, by: int) -> Column:
@@ -47,20 +48,27 @@ def fan_out(df: DataFrame, row_id: str, copies: int, index: str = "offset_index"
     )
 
 
+def _with_ordinal(dim: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
+    """A dimension with its dense ordinals, and its size.
+
+    A short dimension is listed on the driver and may be broadcast. A long one is numbered by range
+    shuffle and joined without a hint.
+    """
+    rows = dim.orderBy(*order).limit(SHORT_DIMENSION + 1).collect()
+    if len(rows) <= SHORT_DIMENSION:
+        schema = T.StructType([*dim.schema.fields, T.StructField(name, T.IntegerType())])
+        listed = dim.sparkSession.createDataFrame([(*row, i) for i, row in enumerate(rows)], schema)
+        return F.broadcast(listed), len(rows)
+    numbered = with_dense_index(dim, *order, name=name)
+    return numbered.withColumn(name, F.col(name).cast("int")), numbered.count()
+
+
 def dense_grid(spark: SparkSession, dims: list[tuple[DataFrame, list[str]]], name: str = "row_id") -> DataFrame:
     """The grid over dimension tables, each given with the columns that order it uniquely."""
-    indexed, sizes = [], []
-    for i, (dim, order) in enumerate(dims):
-        size = dim.count()
-        if size <= BROADCAST_ROWS:
-            place = F.row_number().over(Window.orderBy(*order)) - 1
-            indexed.append(F.broadcast(dim.withColumn(f"_o{i}", place)))
-        else:
-            numbered = with_dense_index(dim, *order, name=f"_o{i}")
-            indexed.append(numbered.withColumn(f"_o{i}", F.col(f"_o{i}").cast("int")))
-        sizes.append(size)
+    indexed = [_with_ordinal(dim, order, f"_o{i}") for i, (dim, order) in enumerate(dims)]
+    sizes = [size for _, size in indexed]
     grid = grid_ids(spark, sizes, name)
     grid = grid.withColumns({f"_o{i}": c for i, c in enumerate(ordinals(F.col(name), sizes))})
-    for i, dim in enumerate(indexed):
+    for i, (dim, _) in enumerate(indexed):
         grid = grid.join(dim, f"_o{i}")
     return grid.drop(*[f"_o{i}" for i in range(len(dims))])

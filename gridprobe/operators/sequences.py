@@ -134,6 +134,15 @@ def click_messages(beats_per_bar: Column, division: Column, total_beats: Column,
     return F.concat(F.array(control), F.flatten(F.transform(beats, one)))
 
 
+def click_count(total_beats: Column) -> Column:
+    return (F.ceil(total_beats) + 1).cast("int")
+
+
+def click_ticks(beats_per_bar: Column, division: Column, total_beats: Column) -> Column:
+    """Length of a click track in ticks, without building its messages."""
+    return click_count(total_beats).cast("bigint") * pitch.beat_ticks(beats_per_bar, division)
+
+
 def total_ticks(messages: Column) -> Column:
     return F.aggregate(messages, F.lit(0).cast("bigint"), lambda acc, m: acc + m["delta"])
 

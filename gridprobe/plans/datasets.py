@@ -262,7 +262,9 @@ def with_events(df: DataFrame, dataset: str) -> DataFrame:
             "events", sequences.scale_pattern(tonic, pitch.mode_offsets(F.col("mode")), F.col("play_style"))
         )
     if dataset == "chords":
-        with_chord = theory.add_named_chord(df, "root_note_pitch_class", "chord_type", "inversion", name="_chord")
+        with_chord = theory.join_named_chord(
+            df, "root_note_pitch_class", "chord_type", "inversion", name="_chord"
+        )
         return with_chord.withColumn("events", sequences.repeated(F.col("_chord.notes"))).drop("_chord")
     if dataset == "chord_progressions":
         mode = F.split_part("chord_progression", F.lit("-"), F.lit(1))
