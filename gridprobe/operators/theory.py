@@ -106,7 +106,7 @@ def chord_table(spark: SparkSession) -> DataFrame:
         dims.pick(list(fv.CHORD_SIZE), F.col("_t")).alias("_type"),
         dims.pick(fv.INVERSIONS, F.col("_i")).alias("_inversion"),
     )
-    return add_chord(keyed, "_root", "_mode", "_degree", "_type", "_inversion", name="_chord")
+    return add_chord(keyed, "_root", "_mode", "_degree", "_type", "_inversion", name="_entry")
 
 
 def join_chord(
@@ -132,8 +132,8 @@ def join_chord(
         table = table.filter(F.col("_inversion").isNull())
     joined = df.join(F.broadcast(table), reduce(lambda a, b: a & b, same), "left")
     key = F.concat_ws(" ", *[F.col(c).cast("string") for c in (root, mode, degree, chord_type)])
-    return joined.withColumn(name, pitch.known(F.col("_chord"), key, "chord")).drop(
-        "_root", "_mode", "_degree", "_type", "_inversion", "_chord"
+    return joined.withColumn(name, pitch.known(F.col("_entry"), key, "chord")).drop(
+        "_root", "_mode", "_degree", "_type", "_inversion", "_entry"
     )
 
 
@@ -146,7 +146,7 @@ def named_chord_table(spark: SparkSession) -> DataFrame:
         F.col("_pc").alias("_key_root"),
         dims.pick(fv.INVERSIONS, F.col("_i")).alias("_key_inversion"),
     )
-    return add_named_chord(keyed, "_key_root", "_key_kind", "_key_inversion", name="_chord")
+    return add_named_chord(keyed, "_key_root", "_key_kind", "_key_inversion", name="_entry")
 
 
 def join_named_chord(df: DataFrame, root: str, kind: str, inversion: str | None = None, name: str = "chord") -> DataFrame:
@@ -159,8 +159,8 @@ def join_named_chord(df: DataFrame, root: str, kind: str, inversion: str | None
     else:
         table = table.filter(F.col("_key_inversion").isNull())
     joined = df.join(F.broadcast(table), same, "left")
-    return joined.withColumn(name, pitch.known(F.col("_chord"), F.col(kind), "chord kind")).drop(
-        "_key_kind", "_key_root", "_key_inversion", "_chord"
+    return joined.withColumn(name, pitch.known(F.col("_entry"), F.col(kind), "chord kind")).drop(
+        "_key_kind", "_key_root", "_key_inversion", "_entry"
     )
 
 
