@@ -134,16 +134,19 @@ def run_job(
         )
         sinks.append_status(rows, status_path)
 
+    def with_status(wanted: Column) -> DataFrame:
+        """Shards of this run by their latest logged status. The log is listed when this is called."""
+        last = (
+            spark.read.parquet(status_path)
+            .filter((F.col("dataset") == dataset) & (F.col("model_hash") == model_hash))
+            .groupBy(F.col("shard").alias("dataset_shard"))
+            .agg(F.max_by("status", "ts").alias("status"))
+        )
+        return last.filter(wanted).select("dataset_shard")
+
     log(started, shards.IN_PROGRESS)
-    # The shards this run started, read back from the log: once vectors are written, they are no
-    # longer pending.
-    opened = (
-        spark.read.parquet(status_path)
-        .filter((F.col("dataset") == dataset) & (F.col("model_hash") == model_hash))
-        .groupBy(F.col("shard").alias("dataset_shard"))
-        .agg(F.max_by("status", "ts").alias("status"))
-        .filter(F.col("status") == shards.IN_PROGRESS)
-    )
+    # Read back from the log, because rows are no longer pending once their vectors are written.
+    opened = with_status(F.col("status") == shards.IN_PROGRESS)
     try:
         made = extract(todo.select("row_id").join(signals, "row_id"), load)
         rows = made.select(
@@ -154,7 +157,10 @@ def run_job(
     except Exception as problem:
         log(opened, shards.FAILED, str(problem)[:1000])
         raise
-    log(opened, shards.DONE)
+    # Every row of the manifest has its vector now, so a shard that another run left open is done too.
+    finished = with_status(F.col("status") == shards.DONE)
+    every = manifest.select("dataset_shard").distinct()
+    log(every.join(finished, "dataset_shard", "left_anti"), shards.DONE)
     return spark.read.parquet(store_path).filter(
         (F.col("dataset") == dataset) & (F.col("model_hash") == model_hash) & (F.col("layer") == layer)
     ).count()
