@@ -7,27 +7,14 @@ are unique inside a run. What crosses chunk borders is carried by a table of chu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_STEPS = 65_536
 
 
-def _chunked(df: DataFrame, step: str, size: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(step) / size).cast("bigint"))
-
-
-def _carried(df: DataFrame, run: str, summary: dict, carry: dict, whole_run: bool = False) -> DataFrame:
-    """Summarise each chunk, scan the summaries before it (or of the whole run), and attach the result.
-
-    The join is on run and chunk, by which the rows already lie, so a long run stays spread out.
-    """
-    window = Window.partitionBy(run)
-    if not whole_run:
-        window = window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = df.groupBy(run, "_chunk").agg(*[c.alias(n) for n, c in summary.items()])
-    carried = chunks.select(run, "_chunk", *[c.over(window).alias(n) for n, c in carry.items()])
-    return df.join(carried, [run, "_chunk"])
+def _chunk_of(step: Column, size: int) -> Column:
+    return F.floor(step / size).cast("bigint")
 
 
 def early_stopping(
@@ -39,47 +26,55 @@ def early_stopping(
     Evaluations count in step order. An evaluation that beats the best so far strictly resets the
     boredom, any other adds one. The run stops at the evaluation after boredom reaches ``patience``
     and keeps the best score up to there. ``stop_step`` is NULL for a run that never stops.
+
+    The log is shuffled once, by run and chunk. The best of a chunk can only be the first row that
+    reaches its maximum, so chunk summaries hold all that later chunks need to know.
     """
     value = -F.col(score) if negate else F.col(score)
-    log = _chunked(df.select(run, step, value.cast("double").alias("_v")), step, chunk_steps)
-    here = Window.partitionBy(run, "_chunk").orderBy(step)
-    so_far = here.rowsBetween(Window.unboundedPreceding, -1)
-    log = log.withColumns({"_place": F.row_number().over(here), "_top": F.max("_v").over(so_far)})
-    log = _carried(
-        log, run,
-        {"_n": F.count(F.lit(1)), "_m": F.max("_v")},
-        {"_rows_before": F.sum("_n"), "_top_before": F.max("_m")},
-    )
-    previous = F.greatest("_top", "_top_before")
-    log = log.withColumns({
-        "_i": F.coalesce("_rows_before", F.lit(0)) + F.col("_place"),
-        "_better": previous.isNull() | (F.col("_v") > previous),
-    }).select(run, step, "_chunk", "_v", "_i", "_better")
-    log = log.withColumn("_best_i", F.max(F.when(F.col("_better"), F.col("_i"))).over(here))
-    log = _carried(
-        log, run,
-        {"_last": F.max(F.when(F.col("_better"), F.col("_i")))},
-        {"_best_before": F.max("_last")},
+    log = df.select(
+        run, F.col(step).alias("_step"), value.cast("double").alias("_v"),
+        _chunk_of(F.col(step), chunk_steps).alias("_chunk"),
     )
-    boredom = F.col("_i") - F.greatest("_best_i", "_best_before")
-    # The first evaluation at which the run is bored enough.
-    log = _carried(
-        log.withColumn("_boredom", boredom), run,
-        {"_b": F.min(F.when(F.col("_boredom") == patience, F.col("_i"))), "_n": F.count(F.lit(1))},
-        {"_bored_i": F.min("_b"), "_evals": F.sum("_n")},
-        whole_run=True,
+    here = Window.partitionBy(run, "_chunk").orderBy("_step")
+    log = log.withColumn("_place", F.row_number().over(here))
+
+    peak = F.min_by(F.struct("_v", "_place", "_step"), F.struct(-F.col("_v"), F.col("_place")))
+    chunks = log.groupBy(run, "_chunk").agg(
+        F.count(F.lit(1)).alias("_n"), peak.alias("_peak"), F.min("_step").alias("_first")
     )
-    used = F.col("_i") <= F.coalesce("_bored_i", "_evals")
-    best = F.max_by(F.struct(F.col(step), F.col("_v")), F.when(used & F.col("_better"), F.col("_i")))
+    in_run = Window.partitionBy(run).orderBy("_chunk")
+    earlier = in_run.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumns({
+        "_rows_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
+        "_top_before": F.max("_peak._v").over(earlier),
+        "_next_chunk": F.lead("_first").over(in_run),
+    })
+    beats = F.col("_top_before").isNull() | (F.col("_peak._v") > F.col("_top_before"))
+    best = F.struct((F.col("_rows_before") + F.col("_peak._place")).alias("i"), F.col("_peak._step").alias("step"),
+                    F.col("_peak._v").alias("v"))
+    chunks = chunks.withColumn("_best", F.when(beats, best)).withColumn("_best_before", F.max("_best").over(earlier))
+    borders = chunks.select(run, "_chunk", "_rows_before", "_top_before", "_next_chunk", "_best_before")
+
+    log = log.join(borders, [run, "_chunk"])
+    log = log.withColumns({
+        "_i": F.col("_rows_before") + F.col("_place"),
+        "_top": F.max("_v").over(here.rowsBetween(Window.unboundedPreceding, -1)),
+        "_next": F.coalesce(F.lead("_step").over(here), F.col("_next_chunk")),
+    })
+    previous = F.greatest("_top", "_top_before")
+    current = F.struct(F.col("_i").alias("i"), F.col("_step").alias("step"), F.col("_v").alias("v"))
+    log = log.withColumn("_mine", F.when(previous.isNull() | (F.col("_v") > previous), current))
+    log = log.withColumn("_best", F.coalesce(F.max("_mine").over(here), F.col("_best_before")))
+    bored = F.col("_i") - F.col("_best.i") == patience
     outcome = log.groupBy(run).agg(
         F.count(F.lit(1)).alias("n_evals"),
-        F.count_if(used).alias("n_used"),
-        F.min(F.when(F.col("_i") == F.col("_bored_i") + 1, F.col(step))).alias("stop_step"),
-        best.alias("_b"),
+        F.min_by(F.struct("_i", "_next", "_best"), F.when(bored, F.col("_i"))).alias("_stop"),
+        F.max("_best").alias("_final"),
     )
-    signed = -F.col("_b._v") if negate else F.col("_b._v")
+    kept = F.coalesce("_stop._best", "_final")
     return outcome.select(
-        run, "n_evals", "n_used", "stop_step", F.col(f"_b.{step}").alias("best_step"), signed.alias("best_score")
+        run, "n_evals", F.coalesce("_stop._i", "n_evals").alias("n_used"), F.col("_stop._next").alias("stop_step"),
+        kept["step"].alias("best_step"), (-kept["v"] if negate else kept["v"]).alias("best_score"),
     )
 
 
@@ -89,10 +84,10 @@ def first_of_each_stretch(df: DataFrame, order: str, category: str, chunk_steps:
     Rows look back inside their chunk; a chunk's first row looks at the last category of the nearest
     chunk before it.
     """
-    log = _chunked(df, order, chunk_steps).withColumn("_group", F.floor(F.col("_chunk") / chunk_steps))
+    log = df.withColumn("_chunk", _chunk_of(F.col(order), chunk_steps))
     here = Window.partitionBy("_chunk").orderBy(order)
     log = log.withColumns({"_place": F.row_number().over(here), "_prev": F.lag(category).over(here)})
-    ends = df.groupBy(F.floor(F.col(order) / chunk_steps).cast("bigint").alias("_chunk")).agg(
+    ends = df.groupBy(_chunk_of(F.col(order), chunk_steps).alias("_chunk")).agg(
         F.max_by(category, order).alias("_end")
     )
     # Chunk ends are scanned in groups too; a second summary carries the last end across groups.

@@ -51,7 +51,7 @@ def shard_rows(manifest: DataFrame, shard: int) -> DataFrame:
 
 def written(store: DataFrame, column: str = "embedding") -> DataFrame:
     """Row ids with a vector; an all-zero vector counts as not written."""
-    return store.filter(~vectors.is_blank(F.col(column))).select("row_id").distinct()
+    return store.filter(~vectors.is_blank(F.col(column))).select("row_id")
 
 
 def pending(manifest: DataFrame, store: DataFrame, column: str = "embedding") -> DataFrame:
@@ -109,6 +109,22 @@ def moment_extractor(n_features: int) -> Callable[[], Extractor]:
     return load
 
 
+# Row ids up to this many are broadcast: eight megabytes.
+BROADCAST_IDS = 1_000_000
+
+
+def signals_of(todo: DataFrame, signals: DataFrame) -> DataFrame:
+    """The signals of the wanted rows.
+
+    Signals are wide, so they should not be shuffled to find a few of them: a checked, small number of
+    ids is broadcast. Beyond that both sides meet on the row id, without a shuffle if both are bucketed
+    by it.
+    """
+    ids = todo.select("row_id")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return signals.join(F.broadcast(ids) if few else ids, "row_id", "left_semi")
+
+
 def run_job(
     manifest: DataFrame, signals: DataFrame, store_path: str, status_path: str, load: Callable[[], Extractor],
     dataset: str, model_hash: str, layer: int = 0,
@@ -148,7 +164,7 @@ def run_job(
     # Read back from the log, because rows are no longer pending once their vectors are written.
     opened = with_status(F.col("status") == shards.IN_PROGRESS)
     try:
-        made = extract(todo.select("row_id").join(signals, "row_id"), load)
+        made = extract(signals_of(todo, signals), load)
         rows = made.select(
             F.lit(dataset).alias("dataset"), F.lit(model_hash).alias("model_hash"), F.lit(layer).alias("layer"),
             "row_id", "embedding",

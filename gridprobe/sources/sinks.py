@@ -51,12 +51,16 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-def ordered(df: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Range-partitioned and sorted by row id: files do not overlap, so id ranges prune."""
-    return df.repartitionByRange(row_id).sortWithinPartitions(row_id)
+def ordered(df: DataFrame, row_id: str = "row_id", files: int | None = None) -> DataFrame:
+    """Range-partitioned and sorted by row id: files do not overlap, so id ranges prune.
+
+    Without a number of files, ``spark.sql.shuffle.partitions`` decides.
+    """
+    spread = df.repartitionByRange(files, row_id) if files else df.repartitionByRange(row_id)
+    return spread.sortWithinPartitions(row_id)
 
 
-def publish(df: DataFrame, path: str, row_id: str | None = "row_id") -> None:
+def publish(df: DataFrame, path: str, row_id: str | None = "row_id", files: int | None = None) -> None:
     """Write a table once.
 
     An existing target is an error. Files are built beside the target and renamed when they are
@@ -68,7 +72,7 @@ def publish(df: DataFrame, path: str, row_id: str | None = "row_id") -> None:
     staging = f"{path.rstrip('/')}.staging-{config_checksum({'path': path})[:12]}"
     done = False
     try:
-        (ordered(df, row_id) if row_id else df).write.mode("overwrite").parquet(staging)
+        (ordered(df, row_id, files) if row_id else df).write.mode("overwrite").parquet(staging)
         _, source, fs = _fs(spark, staging)
         hadoop, target, _ = _fs(spark, path)
         fs.mkdirs(target.getParent())
@@ -97,18 +101,20 @@ STORE_KEYS = ("dataset", "model_hash", "layer")
 def append_embeddings(vectors: DataFrame, path: str) -> None:
     """Add vectors to a store, one folder per dataset, model and layer.
 
-    Rows are spread by row id inside each folder, so a model with most of the rows still writes
-    from many tasks.
+    Rebalancing brings a folder's rows together and splits them again where they are many, so files
+    have a sound size and a model with most of the rows still writes from many tasks.
     """
-    (
-        vectors.repartitionByRange(*STORE_KEYS, "row_id").write.mode("append").partitionBy(*STORE_KEYS).parquet(path)
-    )
+    _rebalanced(vectors).write.mode("append").partitionBy(*STORE_KEYS).parquet(path)
+
+
+def _rebalanced(vectors: DataFrame) -> DataFrame:
+    return vectors.hint("rebalance", *STORE_KEYS).sortWithinPartitions(*STORE_KEYS, "row_id")
 
 
 def replace_embeddings(vectors: DataFrame, path: str) -> None:
     """Rewrite only the (dataset, model, layer) folders present in the input."""
     (
-        vectors.repartitionByRange(*STORE_KEYS, "row_id").write.mode("overwrite")
+        _rebalanced(vectors).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*STORE_KEYS).parquet(path)
     )
 

@@ -5,29 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridprobe.plans.embedding_job import extract
-from gridprobe.sources import sinks
 
 
 def extract_stream(stream: DataFrame, load: Callable, path: str, checkpoint: str) -> StreamingQuery:
     """Append the vectors of new rows to ``path``.
 
-    A batch drops repeated row ids and those that earlier batches wrote, then replaces its own folder.
-    Replaying a batch after a failure therefore gives the same rows, once.
+    Row ids seen so far are state of the stream, spread over its partitions, so a batch costs its own
+    rows and not the history. Each batch replaces its own folder: replayed after a failure, it starts
+    from the same state and gives the same rows, once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates(["row_id"])
-        if sinks.exists(spark, path) and not sinks.list_paths(spark, f"{path}/batch_id=*").isEmpty():
-            earlier = spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
-            rows = rows.join(earlier.select("row_id"), "row_id", "left_anti")
-        extract(rows, load).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        extract(batch, load).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
-        stream.writeStream.option("checkpointLocation", checkpoint)
+        stream.dropDuplicates(["row_id"]).writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(write).trigger(availableNow=True).start()
     )
