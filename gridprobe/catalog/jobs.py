@@ -9,6 +9,7 @@ from gridprobe.catalog.signals import FRAMES, MOMENTS
 from gridprobe.functions import dims
 from gridprobe.functions import fixed_values as fv
 from gridprobe.operators import registry, shards
+from gridprobe.operators.unnest import unnest
 from gridprobe.plans import embedding_job as job
 from gridprobe.session import scratch_path
 from gridprobe.sources import sinks, tables
@@ -71,7 +72,7 @@ WITH {MOMENTS} SELECT vec_id AS row_id, CAST(b * 8 + f AS INT) AS i, round(x, 6)
 def extracted_moments(spark, sf):
     vectors = reader(spark, sf)("embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
     made = job.extract(vectors, job.moment_extractor(FRAMES[0]), signal="embedding", element="double")
-    cells = made.select("row_id", F.posexplode("embedding").alias("i", "x"))
+    cells = unnest(made, "embedding", "row_id")
     return cells.select("row_id", "i", rounded(F.col("x")).alias("x"))
 
 

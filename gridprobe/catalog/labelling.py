@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridprobe.catalog.registry import csv, hash_sql, query, reader, rounded
 from gridprobe.functions import fixed_values as fv
 from gridprobe.operators import labels, ranks, scaling, splits
+from gridprobe.operators.unnest import unnest
 from gridprobe.plans import datasets as ds
 from gridprobe.sources import sinks
 
@@ -96,7 +97,7 @@ def standardised_vectors(spark, sf):
     """Fitted on the training split, applied to every row."""
     df = splits.shuffle_split(reader(spark, sf)("embeddings"), "vec_id", SEED)
     scaled = scaling.standardise(df, "embedding", "z", fit_on=df.filter("split = 'train'"))
-    return scaled.select("vec_id", "split", F.posexplode("z").alias("dim", "z")).withColumn("z", rounded(F.col("z")))
+    return unnest(scaled, "z", "vec_id", "split", index="dim", value="z").withColumn("z", rounded(F.col("z")))
 
 
 @query("W5", f"WITH {SPLIT} SELECT vec_id, split FROM divided")

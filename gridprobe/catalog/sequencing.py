@@ -8,6 +8,7 @@ from gridprobe.catalog.registry import CLICKS, MODE_NAMES, MODES, csv, nth, quer
 from gridprobe.functions import dims, pitch
 from gridprobe.functions import fixed_values as fv
 from gridprobe.operators import sequences, theory
+from gridprobe.operators.unnest import unnest
 from gridprobe.plans.datasets import CLICK_FIELDS
 
 METERS = fv.TIME_SIGNATURES
@@ -87,7 +88,7 @@ def running_beat_offsets(spark, sf):
         F.sequence(F.lit(1), F.lit(6)), lambda i: F.call_function("div", F.col("o_orderkey"), i) % 7 + 1
     )
     df = reader(spark, sf)("orders").withColumn("starts", sequences.running_offsets(d))
-    return df.select("o_orderkey", F.posexplode("starts").alias("seq", "start"))
+    return unnest(df, "starts", "o_orderkey", index="seq", value="start")
 
 
 def melodies(spark, sf):

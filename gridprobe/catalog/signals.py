@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridprobe.catalog.registry import csv, query, reader, rounded, unit_sql
 from gridprobe.functions import hashing, signal
 from gridprobe.operators import guards, pooling
+from gridprobe.operators.unnest import unnest
 from gridprobe.sources import tables
 
 WIDTH = 64
@@ -19,7 +20,7 @@ def vectors(spark, sf):
 
 def _cells(df, column, *keys):
     """One row per element, rounded."""
-    cells = df.select(*keys, F.posexplode(column).alias("i", "x"))
+    cells = unnest(df, column, *keys)
     return cells.select(*keys, "i", rounded(F.col("x")).alias("x"))
 
 
@@ -104,7 +105,7 @@ WITH {DIFFS}
 SELECT vec_id, CAST(f AS INT) AS feature, CAST(t - 2 AS INT) AS i, round(x2, 6) + 0.0 AS x FROM d2 WHERE x2 IS NOT NULL""")
 def second_differences(spark, sf):
     matrix = signal.frames_by_feature(F.col("embedding"), *FRAMES)
-    df = vectors(spark, sf).select("vec_id", F.posexplode(matrix).alias("feature", "row"))
+    df = unnest(vectors(spark, sf), matrix, "vec_id", index="feature", value="row")
     return _cells(df.withColumn("d", signal.difference(F.col("row"), 2)), "d", "vec_id", "feature")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridprobe.functions import signal
+from gridprobe.operators.unnest import unnest
 
 
 def moment_vectors(df: DataFrame, features: str, frames_shape: tuple[int, int], name: str = "embedding") -> DataFrame:
@@ -34,7 +35,7 @@ def pool_layers(df: DataFrame, states: str, *keep: str, layer: int | None = None
     if layer is not None:
         one = F.col(states)[layer]
         return df.select(*keep, F.lit(layer).alias("layer"), signal.mean_over_time(one).alias("embedding"))
-    layers = df.select(*keep, F.posexplode(states).alias("layer", "_frames"))
+    layers = unnest(df, states, *keep, index="layer", value="_frames")
     return layers.select(*keep, "layer", signal.mean_over_time(F.col("_frames")).alias("embedding"))
 
 
@@ -45,4 +46,4 @@ def pool_long(df: DataFrame, value: str, *group: str) -> DataFrame:
 
 def layer_rows(df: DataFrame, stacked: str, *keep: str) -> DataFrame:
     """A stacked (layers, dim) embedding as one row per layer, the form the store partitions by."""
-    return df.select(*keep, F.posexplode(stacked).alias("layer", "embedding"))
+    return unnest(df, stacked, *keep, index="layer", value="embedding")

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridprobe.operators.grid import floor_div
+
 CHUNK_STEPS = 65_536
 
 
 def _chunk_of(step: Column, size: int) -> Column:
-    return F.floor(step / size).cast("bigint")
+    return floor_div(step, size).cast("bigint")
 
 
 def early_stopping(
@@ -35,6 +37,8 @@ def early_stopping(
         run, F.col(step).alias("_step"), value.cast("double").alias("_v"),
         _chunk_of(F.col(step), chunk_steps).alias("_chunk"),
     )
+    # Stated here, so that both readers below have the same filter and share one shuffle.
+    log = log.filter(F.col(run).isNotNull() & F.col("_chunk").isNotNull())
     here = Window.partitionBy(run, "_chunk").orderBy("_step")
     log = log.withColumn("_place", F.row_number().over(here))
 
@@ -91,7 +95,7 @@ def first_of_each_stretch(df: DataFrame, order: str, category: str, chunk_steps:
         F.max_by(category, order).alias("_end")
     )
     # Chunk ends are scanned in groups too; a second summary carries the last end across groups.
-    ends = ends.withColumn("_group", F.floor(F.col("_chunk") / chunk_steps))
+    ends = ends.withColumn("_group", _chunk_of(F.col("_chunk"), chunk_steps))
     inside = Window.partitionBy("_group").orderBy("_chunk")
     tops = ends.groupBy("_group").agg(F.max_by("_end", "_chunk").alias("_top"))
     across = tops.select("_group", F.lag("_top").over(Window.orderBy("_group")).alias("_far"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridprobe.functions import fixed_values as fv
 from gridprobe.functions import pitch
 from gridprobe.functions.binding import let
+from gridprobe.operators.unnest import unnest
 
 
 def event(start: Column, end: Column, notes: Column) -> Column:
@@ -166,12 +167,12 @@ def explode_messages(df: DataFrame, messages: str, *keep: str) -> DataFrame:
             z["m"]["delta"].alias("delta"), (z["at"] + z["m"]["delta"]).alias("tick"),
         ),
     )
-    return df.select(*keep, F.posexplode(timed).alias("seq", "m")).select(*keep, "seq", "m.*")
+    return unnest(df, timed, *keep, index="seq", value="m").select(*keep, "seq", "m.*")
 
 
 def explode_events(df: DataFrame, events: str, *keep: str) -> DataFrame:
     """The event table: one row per event, in order."""
-    return df.select(*keep, F.posexplode(events).alias("seq", "e")).select(*keep, "seq", "e.*")
+    return unnest(df, events, *keep, index="seq", value="e").select(*keep, "seq", "e.*")
 
 
 def track_header(name: Column, beats: Column, division: Column, bpm: Column, program: Column, channel: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,11 +61,15 @@ def ordered(df: DataFrame, row_id: str = "row_id", files: int | None = None) ->
     return spread.sortWithinPartitions(row_id)
 
 
-def publish(df: DataFrame, path: str, row_id: str | None = "row_id", files: int | None = None) -> None:
+def publish(
+    df: DataFrame, path: str, row_id: str | None = "row_id", files: int | None = None,
+    check: Callable[[DataFrame], None] | None = None,
+) -> None:
     """Write a table once.
 
     An existing target is an error. Files are built beside the target and renamed when they are
-    complete; after a failure the staging folder is removed and no target appears.
+    complete; after a failure the staging folder is removed and no target appears. ``check`` sees the
+    finished files before they are published and may raise.
     """
     spark = df.sparkSession
     if exists(spark, path):
@@ -73,6 +78,8 @@ def publish(df: DataFrame, path: str, row_id: str | None = "row_id", files: int
     done = False
     try:
         (ordered(df, row_id, files) if row_id else df).write.mode("overwrite").parquet(staging)
+        if check:
+            check(spark.read.parquet(staging))
         _, source, fs = _fs(spark, staging)
         hadoop, target, _ = _fs(spark, path)
         fs.mkdirs(target.getParent())
