@@ -13,12 +13,11 @@ def rows(spark, n=20):
     return spark.createDataFrame([(i, f"name {i}") for i in range(n)], "row_id bigint, name string")
 
 
-def twice(row):
-    row_id, record = row
-    return [(row_id * 2 + i, {"label": f"{record['name']}/{i}"}) for i in range(2)]
-
-
 def test_fan_out_and_reload(spark, tmp_path):
+    def twice(row):
+        row_id, record = row
+        return [(row_id * 2 + i, {"label": f"{record['name']}/{i}"}) for i in range(2)]
+
     path = str(tmp_path / "custom")
     made = create_dataset(rows(spark), twice, "label string", path).orderBy("row_id").collect()
     assert [r["row_id"] for r in made] == list(range(40)) and made[3]["label"] == "name 1/1"
