@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridprobe.operators.ranks import with_dense_index
-
-# A dimension of this many rows may be listed on the driver and broadcast.
-SHORT_DIMENSION = 10_000
+from gridprobe.operators.small import SMALL_ROWS as SHORT_DIMENSION
 
 
 def floor_div(value: Column, by: int) -> Column:

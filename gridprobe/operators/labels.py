@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from gridprobe.functions import vectors
 from gridprobe.operators.ranks import with_dense_index
-
-# A domain of this many classes is small enough to list on the driver and to broadcast.
-SMALL_DOMAIN = 10_000
+from gridprobe.operators.small import SMALL_ROWS as SMALL_DOMAIN
 
 
 def domain(df: DataFrame, column: str) -> DataFrame:

@@ -5,10 +5,13 @@ Every metric is a plain aggregate, so it combines inside each task before the sh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridprobe.functions import vectors
+from gridprobe.operators.small import broadcast_if_small
 
 
 def _mean_of(flag: Column) -> Column:
@@ -96,11 +99,15 @@ def regression(df: DataFrame, label: str, prediction: str, *by: str) -> DataFram
 def best_per(df: DataFrame, metric: str, config: list[str], *by: str) -> DataFrame:
     """The configuration with the highest metric per group; equal metrics go to the smallest one.
 
-    ``max_by`` keeps one candidate per task and group, so a group of any size shuffles as one row.
+    The best value per group is a hash aggregate over one number. Only rows that reach it go on to be
+    compared as records, which would need a sort for all of them.
     """
-    order = F.struct(F.col(metric), *[(-F.col(c)) for c in config])
-    chosen = F.struct(F.col(metric), *[F.col(c) for c in config])
-    return df.groupBy(*by).agg(F.max_by(chosen, order).alias("_b")).select(*by, "_b.*")
+    tops = df.groupBy(*by).agg(F.max(metric).alias("_top"))
+    tops = tops.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_top")
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    reached = df.join(broadcast_if_small(tops), reduce(lambda a, b: a & b, [F.col(metric) == F.col("_top"), *same]), "left_semi")
+    first = F.min(F.struct(*config)).alias("_c")
+    return reached.groupBy(*by).agg(F.first(metric).alias(metric), first).select(*by, metric, "_c.*")
 
 
 def reject_nan(df: DataFrame, score: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gridprobe.session import pin
 
 BUCKETS = 4096
-DIRECT_ROWS = 100_000
+DIRECT_ROWS = 1_000_000
 # monotonically_increasing_id puts the partition number above bit 33.
 PARTITION_BITS = 33
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridprobe.functions import dims
 from gridprobe.functions import fixed_values as fv
 from gridprobe.functions.literals import literal_map
+from gridprobe.operators.small import broadcast_if_small
 
 
 def model_size(model_name: Column) -> Column:
@@ -75,7 +76,7 @@ def match_exports(configs: DataFrame, exports: DataFrame) -> DataFrame:
     )
     keyed = configs.withColumn("_k", family_key(F.col("model_type")))
     matched = keyed.join(
-        by_layer,
+        broadcast_if_small(by_layer),
         (F.col("model_size") == F.col("_s")) & (F.col("_k") == F.col("_f")) & (F.col("model_layer") == F.col("_l")),
         "left",
     )

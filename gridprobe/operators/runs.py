@@ -88,12 +88,12 @@ def first_of_each_stretch(df: DataFrame, order: str, category: str, chunk_steps:
     Rows look back inside their chunk; a chunk's first row looks at the last category of the nearest
     chunk before it.
     """
-    log = df.withColumn("_chunk", _chunk_of(F.col(order), chunk_steps))
+    chunk = _chunk_of(F.col(order), chunk_steps)
+    log = df.withColumn("_chunk", chunk).filter(F.col("_chunk").isNotNull())
     here = Window.partitionBy("_chunk").orderBy(order)
     log = log.withColumns({"_place": F.row_number().over(here), "_prev": F.lag(category).over(here)})
-    ends = df.groupBy(_chunk_of(F.col(order), chunk_steps).alias("_chunk")).agg(
-        F.max_by(category, order).alias("_end")
-    )
+    # Read from the sorted log, which both branches share.
+    ends = log.groupBy("_chunk").agg(F.max_by(category, order).alias("_end"))
     # Chunk ends are scanned in groups too; a second summary carries the last end across groups.
     ends = ends.withColumn("_group", _chunk_of(F.col("_chunk"), chunk_steps))
     inside = Window.partitionBy("_group").orderBy("_chunk")
