@@ -134,7 +134,7 @@ def time_signature_labels(spark, sf):
     return _labels_only(ds.time_signatures(customer_ids(spark, sf)))
 
 
-@query("S1 F1 F2 F3 G1 G3 K2", f"""
+@query("G1 G3", f"""
 WITH ids AS (SELECT CAST(o_orderkey // {N} % 108 AS INT) AS note FROM orders)
 SELECT ({SHARPS})[note % 12 + 1] AS root_note_name,
        CASE WHEN note // 12 < 3 THEN 0 WHEN note // 12 < 6 THEN 1 WHEN note // 12 < 9 THEN 2 ELSE 3 END AS register, count(*) AS n

@@ -68,12 +68,12 @@ def peak_normalised(samples: Column) -> Column:
     return let(widen(samples), scaled)
 
 
-def duration(samples: Column, rate: Column | int) -> Column:
-    return F.size(samples) / (rate if isinstance(rate, Column) else F.lit(rate))
+def seconds(n_samples: Column, rate: Column | int) -> Column:
+    return n_samples / (rate if isinstance(rate, Column) else F.lit(rate))
 
 
 def long_enough(samples: Column, rate, minimum_seconds: float) -> Column:
-    return duration(samples, rate) >= minimum_seconds
+    return seconds(F.size(samples), rate) >= minimum_seconds
 
 
 def checked(samples: Column, fits: Column, what: str) -> Column:

@@ -50,9 +50,9 @@ def split_rejects(df: DataFrame, fits: Column) -> tuple[DataFrame, DataFrame]:
     return df.filter(sound), df.filter(~sound)
 
 
-def too_short(df: DataFrame, samples: str, rate: Column | int, minimum_seconds: float) -> DataFrame:
+def too_short(df: DataFrame, n_samples: Column, rate: Column | int, minimum_seconds: float) -> DataFrame:
     """Rows below the minimum duration, with their duration."""
-    seconds = signal.duration(F.col(samples), rate)
+    seconds = signal.seconds(n_samples, rate)
     return df.withColumn("seconds", seconds).filter(F.col("seconds") < minimum_seconds)
 
 

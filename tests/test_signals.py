@@ -50,7 +50,7 @@ def test_crops_differ_and_repeat(spark):
 
 def test_minimum_duration(spark):
     df = frame(spark, range(8), range(7))
-    assert [r["row_id"] for r in guards.too_short(df, "v", 2, 4.0).collect()] == [1]
+    assert [r["row_id"] for r in guards.too_short(df, F.size("v"), 2, 4.0).collect()] == [1]
     good, bad = guards.split_rejects(df, signal.long_enough(F.col("v"), 2, 4.0))
     assert (good.count(), bad.count()) == (1, 1)
 
