@@ -28,10 +28,10 @@ def keys_at_ranks(
 ) -> tuple[int, dict[int, tuple]]:
     """The row count, and the (key, tie) pair at each 0-based rank of the order by (key, tie).
 
-    ``key`` and ``tie`` are numeric and ``tie`` is unique. Ranks may be computed from the count;
-    those at or beyond it have no entry.
+    ``key`` and ``tie`` are numeric and ``tie`` is unique. Rows without a key have no rank and do not
+    count. Ranks may be computed from the count; those at or beyond it have no entry.
     """
-    scope = df.select(key, tie)
+    scope = df.select(key, tie).filter(F.col(key).isNotNull())
     n, low, high = scope.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
     wanted = ranks(n) if callable(ranks) else ranks
     found: dict[int, tuple] = {}

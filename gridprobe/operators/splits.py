@@ -44,7 +44,10 @@ def shuffle_split(df: DataFrame, row_id: str = "row_id", seed: int = 0) -> DataF
 
 
 def extrapolation_split(df: DataFrame, label: str, row_id: str = "row_id", seed: int = 0) -> DataFrame:
-    """Add ``split``: the middle of the label range trains, the shuffled tails test and validate."""
+    """Add ``split``: the middle of the label range trains, the shuffled tails test and validate.
+
+    Rows without a label are in no split.
+    """
 
     def edges(n: int) -> list[int]:
         return [int(n * TAIL_SHARE), int(n * (1 - TAIL_SHARE))]
@@ -57,7 +60,8 @@ def extrapolation_split(df: DataFrame, label: str, row_id: str = "row_id", seed:
     tails = n - (high - low)
     _, halves = keys_at_ranks(keyed.filter(~F.col("_middle")), "_h", row_id, [tails // 2])
     split = (
-        F.when(F.col("_middle"), "train")
+        F.when(key.isNull(), F.lit(None))
+        .when(F.col("_middle"), "train")
         .when(before(F.col("_h"), tie, halves.get(tails // 2)), "test")
         .otherwise("valid")
     )

@@ -121,6 +121,47 @@ def fit(train: DataFrame, config: ProbeConfig, output_type: str, iterations: int
     return probe
 
 
+def fit_with_early_stopping(
+    train: DataFrame, valid: DataFrame, config: ProbeConfig, max_rounds: int = 1000
+) -> tuple[Probe, list[dict]]:
+    """Train a classifier in rounds and keep the round with the best validation metric.
+
+    A round continues from the weights of the round before for ``early_stopping_eval_frequency``
+    iterations. Training ends when ``early_stopping_boredom`` rounds in turn brought nothing better, or
+    after ``max_rounds``. Also returns the log, one record per round.
+    """
+    means = deviations = None
+    if config["data_standardization"]:
+        stats = scaling.dimension_stats(train, "embedding").first()
+        means, deviations = list(stats["means"]), list(stats["deviations"])
+    probe = Probe(config, None, means, deviations)
+    train = probe.features(train).select("y", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    valid = valid.persist(StorageLevel.MEMORY_AND_DISK)
+    metric = config["early_stopping_metric"]
+    sign, metric = (-1, metric[1:]) if metric.startswith("-") else (1, metric)
+    try:
+        width = len(means) if means else valid.select(F.size("embedding")).first()[0]
+        learner = MultilayerPerceptronClassifier(
+            labelCol="y", layers=[width, *config["hidden_layer_sizes"], config["num_outputs"]], seed=config["seed"],
+            maxIter=config["early_stopping_eval_frequency"],
+        )
+        log, best, boredom = [], None, 0
+        for step in range(max_rounds):
+            if boredom >= config["early_stopping_boredom"]:
+                break
+            model = learner.fit(train)
+            learner.setInitialWeights(model.weights)
+            score = sign * evaluate(Probe(config, model, means, deviations), valid).first()[metric]
+            boredom = 0 if best is None or score > best[0] else boredom + 1
+            if boredom == 0:
+                best = (score, model)
+            log.append({"step": step, "score": score, "best_score": best[0], "boredom": boredom})
+    finally:
+        train.unpersist()
+        valid.unpersist()
+    return Probe(config, best[1], means, deviations), log
+
+
 def evaluate(probe: Probe, rows: DataFrame, *by: str) -> DataFrame:
     """Metrics of the probe on assembled rows, per group."""
     scored = probe.score(rows)

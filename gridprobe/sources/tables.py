@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridprobe import schemas
-from gridprobe.functions import dims, naming
+from gridprobe.functions import dims, hashing, naming
 from gridprobe.operators import registry
 from gridprobe.sources import sinks
 
@@ -90,5 +90,20 @@ def exports(spark: SparkSession, folder: str, concept: str, configs: DataFrame,
     return registry.list_exports(paths, configs, concept)
 
 
+def file_checksums(spark: SparkSession, pattern: str, algorithm: str = "sha256", gunzip: bool = False) -> DataFrame:
+    """(path, checksum) of the files that match a glob; each file is read whole by one task."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    if gunzip:
+
+        def unpack(batches):
+            import gzip
+
+            for batch in batches:
+                yield batch.assign(content=[gzip.decompress(c) for c in batch["content"]])
+
+        files = files.mapInPandas(unpack, "path string, content binary")
+    return files.select("path", hashing.checksum(F.col("content"), algorithm).alias("checksum"))
+
+
 def audio_paths(df: DataFrame, offset: str = "offset_file_path", synth: str = "synth_file_path") -> DataFrame:
     return df.withColumn("audio_file_path", naming.audio_path(F.col(offset), F.col(synth)))

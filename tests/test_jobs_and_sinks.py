@@ -191,6 +191,16 @@ def test_model_configs_and_exports(spark, tmp_path):
     assert [(r["model_hash"], r["model_size"], r["model_type"], r["shape"][1]) for r in found] == [(checksum, "L", "JUKEBOX", 72)]
 
 
+def test_file_checksums(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.txt").write_text("hello world")
+    (tmp_path / "a.txt.gz").write_bytes(gzip.compress(b"hello world"))
+    for name, gunzip in (("a.txt", False), ("a.txt.gz", True)):
+        row = tables.file_checksums(spark, str(tmp_path / name), gunzip=gunzip).first()
+        assert row["checksum"] == "b94d27b9934d3e08a52e52d7da7dabfac484efe37a5380ee9088f7ace2efcde9"
+
+
 def test_run_config(spark, tmp_path):
     run = {"models": list(dims.fv.MODEL_LAYERS), "concepts": list(dims.fv.CONCEPT_LABELS), "settings": {"minimum_duration_in_sec": 4}}
     path = tmp_path / "run.json"

@@ -100,6 +100,41 @@ def test_sweep_skips_missing_exports_and_ranks_layers(spark, classes):
     assert best.count() == 1
 
 
+def test_whole_sweep(spark, tmp_path):
+    """Two layers of one model: the second layer holds the labels, the first is noise."""
+    from gridprobe.plans.sweep import run_sweep
+
+    table = spark.range(120).select(
+        F.col("id").alias("row_id"), (F.col("id") % 4).cast("string").alias("chord_type"),
+        F.hash("id").cast("double").alias("noise"), (F.col("id") % 4).cast("double").alias("signal"),
+    )
+
+    def load(concept, path, layer):
+        assert (concept, path) == ("chords", "b")
+        held = F.col("signal") if layer else F.col("noise") / 1e9
+        vectors = table.select("row_id", F.array(held, held * held).cast("array<float>").alias("embedding"))
+        return probes.assemble(table, vectors, "chord_type", "multiclass")
+
+    rows = sweeps.expand_space(spark.range(8).withColumnRenamed("id", "config_id"), {
+        "model_type": ("JUKEBOX",), "model_size": ("L",), "model_layer": (0, 1), "concept": ("chords", "notes"),
+        "hidden_layer_sizes": ((),), "l2_weight_decay": (None, 1e-4),
+    }).filter("concept = 'chords'")
+    exports = spark.createDataFrame([("a", "L", "JUKEBOX", 1), ("b", "L", "JUKEBOX", 72)],
+                                    "path string, model_size string, model_type string, n_layers int")
+    done = run_sweep(spark, rows, exports, load, str(tmp_path / "metrics"), iterations=40)
+    assert done.select("layer", "uid").distinct().count() == 4
+    best = probes.best_layers(done, "concept", "model_type").first()
+    assert best["layer"] == 1 and best["value"] > 0.9
+
+
+def test_early_stopping_keeps_the_best_round(classes):
+    cfg = config(3, early_stopping_eval_frequency=2, early_stopping_boredom=3)
+    probe, log = probes.fit_with_early_stopping(train(classes), classes.filter("split = 'valid'"), cfg, max_rounds=40)
+    assert log[-1]["boredom"] == 3 and len(log) < 40
+    best = max(r["score"] for r in log)
+    assert accuracy(probe, classes)["valid"] == pytest.approx(best) and best > 0.9
+
+
 def parts(spark, tmp_path, df, pieces=3):
     folder = str(tmp_path / "in")
     for i in range(pieces):

@@ -67,6 +67,13 @@ def test_extrapolation_split(spark):
     assert (len(by["test"]), len(by["valid"])) == (12, 12)
 
 
+def test_rows_without_a_label_are_in_no_split(spark):
+    df = spark.range(20).select(F.col("id").alias("row_id"), F.when(F.col("id") >= 10, F.col("id")).alias("y"))
+    rows = splits.extrapolation_split(df, "y").collect()
+    assert {r["row_id"] for r in rows if r["split"] is None} == set(range(10))
+    assert sum(r["split"] == "train" for r in rows) == 7
+
+
 @pytest.mark.parametrize("size, expected", [(64, 64), (500, 100)])
 def test_random_batch(spark, size, expected):
     df = spark.range(100).withColumnRenamed("id", "row_id")
