@@ -30,7 +30,7 @@ def samples(spark, sf):
     return reader(spark, sf)("documents").select(
         F.col("doc_id").alias("row_id"), "lang", "source", "n_chars",
         F.concat("source", F.lit(".wav")).alias("synth_file_path"),
-        F.when(F.col("lang") == "en", F.concat("source", F.lit("_offset.wav"))).alias("offset_file_path"),
+        F.when(F.col("lang") == "en", F.concat("source", F.lit("_offset.wav"))).otherwise("").alias("offset_file_path"),
     )
 
 
@@ -38,7 +38,7 @@ def samples(spark, sf):
 SELECT doc_id AS row_id, 'MELSPEC' AS model_name, 'abc' AS model_config_checksum, 'documents' AS dataset_name, CAST(doc_id // {PER_SHARD} AS INT) AS dataset_shard,
        CASE WHEN lang = 'en' THEN source || '_offset.wav' ELSE source || '.wav' END AS audio_file_path, doc_id AS "details.row_id", lang AS "details.lang",
        source AS "details.source", n_chars AS "details.n_chars", source || '.wav' AS "details.synth_file_path",
-       CASE WHEN lang = 'en' THEN source || '_offset.wav' END AS "details.offset_file_path"
+       CASE WHEN lang = 'en' THEN source || '_offset.wav' ELSE '' END AS "details.offset_file_path"
 FROM documents""")
 def flat_manifest(spark, sf):
     return job.flat_manifest(job.build_manifest(samples(spark, sf), "documents", "MELSPEC", "abc"))
@@ -191,7 +191,7 @@ ekeyed AS (SELECT *, CASE WHEN model_type LIKE 'MUSICGEN_DECODER%' THEN split_pa
 lookup AS (SELECT DISTINCT model_size, k, model_layer FROM keyed),
 answered AS (SELECT l.model_size, l.k, l.model_layer, max(e.path) AS export_path
              FROM lookup l LEFT JOIN ekeyed e ON e.model_size = l.model_size AND e.k = l.k AND e.n_layers > l.model_layer GROUP BY ALL)
-SELECT c.l_orderkey, c.l_linenumber, c.l_suppkey, c.model_size, c.model_type, c.model_layer, a.export_path
+SELECT c.l_orderkey, c.l_linenumber, c.l_suppkey, c.model_size, c.model_type, c.model_layer, coalesce(a.export_path, 'none') AS export_path
 FROM keyed c JOIN answered a USING (model_size, k, model_layer)""")
 def matched_exports(spark, sf):
     t = reader(spark, sf)
@@ -203,7 +203,7 @@ def matched_exports(spark, sf):
         F.concat_ws("_", "p_name", "p_partkey").alias("path"), dims.pick(SIZES, F.col("p_partkey") % 3).alias("model_size"),
         dims.pick(FAMILIES, F.floor(F.col("p_partkey") / 3) % 4).alias("model_type"), F.col("p_size").alias("n_layers"),
     )
-    return registry.match_exports(configs, exports)
+    return registry.match_exports(configs, exports).fillna("none", "export_path")
 
 
 @query("S5 P19 S4", f"""

@@ -113,21 +113,24 @@ flagged AS (SELECT *, top IS NULL OR v > top AS better FROM topped),
 placed AS (SELECT *, max(CASE WHEN better THEN i END) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS best_i FROM flagged),
 bored AS (SELECT user_id, min(CASE WHEN i - best_i = {PATIENCE} THEN i END) AS bored_i, count(*) AS n_evals FROM placed GROUP BY user_id),
 used AS (SELECT p.*, b.bored_i, b.n_evals, p.i <= coalesce(b.bored_i, b.n_evals) AS used FROM placed p JOIN bored b USING (user_id))
-SELECT user_id, max(n_evals) AS n_evals, count(*) FILTER (WHERE used) AS n_used, min(CASE WHEN i = bored_i + 1 THEN event_id END) AS stop_step,
+SELECT user_id, max(n_evals) AS n_evals, count(*) FILTER (WHERE used) AS n_used, coalesce(min(CASE WHEN i = bored_i + 1 THEN event_id END), -1) AS stop_step,
        arg_max(event_id, i) FILTER (WHERE used AND better) AS best_step, arg_max({{}}, i) FILTER (WHERE used AND better) AS best_score
 FROM used GROUP BY user_id"""
 
 
 @query("W8", _stopping("value").format("v"))
 def early_stopping(spark, sf):
-    return runs.early_stopping(reader(spark, sf)("events"), "user_id", "event_id", "value", PATIENCE, chunk_steps=2000)
+    events = reader(spark, sf)("events")
+    return runs.early_stopping(events, "user_id", "event_id", "value", PATIENCE).fillna(-1, "stop_step")
 
 
 @query("W8", _stopping("-value").format("-v"))
 def early_stopping_minimised(spark, sf):
+    """The same with the sign flipped, over short chunks, so that most runs cross several."""
+    events = reader(spark, sf)("events")
     return runs.early_stopping(
-        reader(spark, sf)("events"), "user_id", "event_id", "value", PATIENCE, negate=True, chunk_steps=2000
-    )
+        events, "user_id", "event_id", "value", PATIENCE, negate=True, chunk_steps=2000
+    ).fillna(-1, "stop_step")
 
 
 @query("M5 M6 J2", """
