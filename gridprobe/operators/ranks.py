@@ -11,8 +11,10 @@ Two tools:
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from gridprobe.session import pin
@@ -23,53 +25,128 @@ DIRECT_ROWS = 1_000_000
 PARTITION_BITS = 33
 
 
+@dataclass(frozen=True)
+class _Stretch:
+    """Rows that lie together in the order, with the wanted ranks counted from their start.
+
+    ``low`` and ``high`` bound the key. Once the key is a single value they bound the tie instead.
+    """
+
+    n: int
+    low: float
+    high: float
+    wanted: dict[int, int]
+    key: float | None = None
+
+    def holds(self, key: Column, tie: Column) -> Column:
+        if self.key is None:
+            return key.between(F.lit(self.low), F.lit(self.high))
+        return (key == F.lit(self.key)) & tie.between(F.lit(self.low), F.lit(self.high))
+
+    def bucket(self, key: Column, tie: Column) -> Column:
+        value = key if self.key is None else tie
+        if isinstance(self.low, int) and self.high - self.low < 2**62:
+            # Exact for integers beyond the precision of a double.
+            step = (self.high - self.low) // BUCKETS + 1
+            return F.call_function("div", value.cast("bigint") - F.lit(self.low), F.lit(step))
+        width = max(float(self.high) - float(self.low), 5e-324)
+        share = (value.cast("double") - float(self.low)) / width
+        return F.greatest(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0))
+
+    def parts(self, histogram: list[Row]) -> list[_Stretch]:
+        """The buckets that hold wanted ranks, from this stretch's histogram in order."""
+        found, start = [], 0
+        for row in histogram:
+            inside = {r: at - start for r, at in self.wanted.items() if start <= at < start + row["n"]}
+            if inside:
+                found.append(_Stretch(row["n"], row["low"], row["high"], inside, self.key))
+            start += row["n"]
+        return found
+
+
 def keys_at_ranks(
-    df: DataFrame, key: str, tie: str, ranks: list[int] | Callable[[int], list[int]]
+    df: DataFrame, key: str, tie: str, ranks: list[int] | Callable[[int], list[int]],
+    bounds: tuple[int, int] | None = None,
 ) -> tuple[int, dict[int, tuple]]:
     """The row count, and the (key, tie) pair at each 0-based rank of the order by (key, tie).
 
     ``key`` and ``tie`` are numeric and ``tie`` is unique. Rows without a key have no rank and do not
-    count. Ranks may be computed from the count; those at or beyond it have no entry.
+    count. Ranks may be computed from the count; those at or beyond it have no entry. ``bounds`` of the
+    key, if they are known, save the pass that looks for them.
     """
     scope = df.select(key, tie).filter(F.col(key).isNotNull())
-    n, low, high = scope.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
-    wanted = ranks(n) if callable(ranks) else ranks
+    k, t = F.col(key), F.col(tie)
+    if bounds is None:
+        n, low, high = scope.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
+        wanted = ranks(n) if callable(ranks) else ranks
+        open_ = [_Stretch(n, low, high, {r: r for r in wanted if r < n})]
+    else:
+        whole = _Stretch(0, *bounds, {})
+        histogram = _histograms(scope, k, t, [whole])[0]
+        n = sum(row["n"] for row in histogram)
+        wanted = ranks(n) if callable(ranks) else ranks
+        open_ = _Stretch(n, *bounds, {r: r for r in wanted if r < n}).parts(histogram)
     found: dict[int, tuple] = {}
-    inside = {r: r for r in wanted if r < n}
-    if inside:
-        _locate(scope, (key, tie), 0, n, low, high, inside, found)
+    # A job per round for the stretches that are still long, and one for those that are short.
+    while open_ := [s for s in open_ if s.wanted]:
+        short = [s for s in open_ if s.n <= DIRECT_ROWS]
+        if short:
+            found.update(_sorted_keys(scope, key, tie, short))
+        long_ = [_by_tie(scope, s, key, tie) if s.key is None and s.low == s.high else s
+                 for s in open_ if s.n > DIRECT_ROWS]
+        open_ = []
+        for alike in ([s for s in long_ if s.key is None], [s for s in long_ if s.key is not None]):
+            if alike:
+                open_ += [part for s, h in zip(alike, _histograms(scope, k, t, alike)) for part in s.parts(h)]
     return n, found
 
 
-def _locate(scope, order, level, n, low, high, wanted, found) -> None:
-    if n <= DIRECT_ROWS:
-        # Few enough rows to sort in one task: the count was checked.
-        position = F.row_number().over(Window.orderBy(*order)) - 1
-        hits = scope.withColumn("_pos", position).filter(F.col("_pos").isin(sorted(set(wanted.values()))))
-        by_position = {r["_pos"]: (r[order[0]], r[order[1]]) for r in hits.collect()}
-        found.update({rank: by_position[local] for rank, local in wanted.items()})
-        return
-    if low == high:
-        # Every row left shares this key, so the tie decides.
-        low, high = scope.agg(F.min(order[level + 1]), F.max(order[level + 1])).first()
-        _locate(scope, order, level + 1, n, low, high, wanted, found)
-        return
-    column = F.col(order[level])
-    share = (column.cast("double") - float(low)) / max(float(high) - float(low), 5e-324)
-    bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
-    histogram = (
-        scope.groupBy(bucket.alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
-        .orderBy("b")
+def _by_tie(scope: DataFrame, stretch: _Stretch, key: str, tie: str) -> _Stretch:
+    """A stretch whose rows all share one key goes on by tie."""
+    low, high = scope.filter(F.col(key) == F.lit(stretch.low)).agg(F.min(tie), F.max(tie)).first()
+    return _Stretch(stretch.n, low, high, stretch.wanted, stretch.low)
+
+
+def _choose(stretches: list[_Stretch], k: Column, t: Column, what: Callable[[int], Column]) -> Column:
+    """``what(i)`` for rows of stretch i, NULL for all others."""
+    chosen = F.when(stretches[0].holds(k, t), what(0))
+    for i, stretch in enumerate(stretches[1:], 1):
+        chosen = chosen.when(stretch.holds(k, t), what(i))
+    return chosen
+
+
+def _within(scope: DataFrame, k: Column, t: Column, stretches: list[_Stretch]) -> DataFrame:
+    numbered = scope.withColumn("_stretch", _choose(stretches, k, t, lambda i: F.lit(i)))
+    return numbered.filter(reduce(lambda a, b: a | b, [s.holds(k, t) for s in stretches]))
+
+
+def _histograms(scope: DataFrame, k: Column, t: Column, stretches: list[_Stretch]) -> list[list[Row]]:
+    """At most ``BUCKETS`` counted buckets per stretch, in order; all stretches go by key or all by tie."""
+    value = k if stretches[0].key is None else t
+    rows = (
+        _within(scope, k, t, stretches)
+        .withColumn("_bucket", _choose(stretches, k, t, lambda i: stretches[i].bucket(k, t)))
+        .groupBy("_stretch", "_bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+        .orderBy("_stretch", "_bucket")
+        .collect()
+    )
+    return [[r for r in rows if r["_stretch"] == i] for i in range(len(stretches))]
+
+
+def _sorted_keys(scope: DataFrame, key: str, tie: str, stretches: list[_Stretch]) -> dict[int, tuple]:
+    """Wanted keys of stretches that were counted to be short enough to sort in one task each."""
+    k, t = F.col(key), F.col(tie)
+    position = F.row_number().over(Window.partitionBy("_stretch").orderBy(key, tie)) - 1
+    places = [F.struct(F.lit(i), F.lit(at)) for i, s in enumerate(stretches) for at in set(s.wanted.values())]
+    hits = (
+        _within(scope, k, t, stretches)
+        .withColumn("_at", position)
+        .filter(F.struct("_stretch", "_at").isin(*places))
         .collect()
     )
-    start = 0
-    for row in histogram:
-        here = {rank: local - start for rank, local in wanted.items() if start <= local < start + row["n"]}
-        if here:
-            part = scope.filter(column.between(row["lo"], row["hi"]))
-            _locate(part, order, level, row["n"], row["lo"], row["hi"], here, found)
-        start += row["n"]
+    keys = {(r["_stretch"], r["_at"]): (r[key], r[tie]) for r in hits}
+    return {rank: keys[i, at] for i, s in enumerate(stretches) for rank, at in s.wanted.items()}
 
 
 def before(key: Column, tie: Column, cut: tuple | None) -> Column:

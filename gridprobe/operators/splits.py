@@ -7,11 +7,12 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridprobe.functions.hashing import hash_key
+from gridprobe.functions.hashing import HASH_SPAN, hash_key
 from gridprobe.operators.ranks import before, keys_at_ranks
 
 TRAIN_SHARE = 0.7
 TAIL_SHARE = 0.15
+HASH_BOUNDS = (0, HASH_SPAN - 1)
 
 
 def shuffle_split_sizes(n: int, train_share: float = TRAIN_SHARE) -> tuple[int, int, int]:
@@ -33,7 +34,7 @@ def shuffle_split(df: DataFrame, row_id: str = "row_id", seed: int = 0) -> DataF
         train, valid, _ = shuffle_split_sizes(n)
         return [train, train + valid]
 
-    n, found = keys_at_ranks(keyed, "_h", row_id, cuts)
+    n, found = keys_at_ranks(keyed, "_h", row_id, cuts, HASH_BOUNDS)
     first, second = [found.get(rank) for rank in cuts(n)]
     split = (
         F.when(before(F.col("_h"), F.col(row_id), first), "train")
@@ -58,7 +59,7 @@ def extrapolation_split(df: DataFrame, label: str, row_id: str = "row_id", seed:
     middle = ~before(key, tie, found.get(low)) & before(key, tie, found.get(high))
     keyed = df.withColumn("_h", hash_key(seed, tie)).withColumn("_middle", middle)
     tails = n - (high - low)
-    _, halves = keys_at_ranks(keyed.filter(~F.col("_middle")), "_h", row_id, [tails // 2])
+    _, halves = keys_at_ranks(keyed.filter(~F.col("_middle")), "_h", row_id, [tails // 2], HASH_BOUNDS)
     split = (
         F.when(key.isNull(), F.lit(None))
         .when(F.col("_middle"), "train")

@@ -26,6 +26,18 @@ def test_keys_at_ranks(spark, monkeypatch, direct):
     assert found == {r: order[r] for r in wanted if r < n}
 
 
+@pytest.mark.parametrize("bounds", [None, (0, 2**62)])
+def test_keys_at_ranks_of_large_integers(spark, monkeypatch, bounds):
+    """Keys that a double cannot tell apart, each on many rows, and large ties."""
+    monkeypatch.setattr(ranks, "DIRECT_ROWS", 20)
+    df = spark.range(3000).select(
+        (F.lit(2**61) + F.col("id") % 3).alias("k"), (F.lit(2**60) + F.col("id") * 7).alias("t"), F.lit("x").alias("wide")
+    )
+    order = sorted((2**61 + i % 3, 2**60 + i * 7) for i in range(3000))
+    n, found = ranks.keys_at_ranks(df, "k", "t", [0, 999, 1000, 1700, 2999], bounds)
+    assert n == 3000 and found == {r: order[r] for r in (0, 999, 1000, 1700, 2999)}
+
+
 def test_keys_at_ranks_of_an_empty_table(spark):
     assert ranks.keys_at_ranks(skewed(spark).limit(0), "label", "row_id", [0, 5]) == (0, {})
 
