@@ -71,18 +71,21 @@ def keys_at_ranks(
     """The row count, and the (key, tie) pair at each 0-based rank of the order by (key, tie).
 
     ``key`` and ``tie`` are numeric and ``tie`` is unique. Rows without a key have no rank and do not
-    count. Ranks may be computed from the count; those at or beyond it have no entry. ``bounds`` of the
-    key, if they are known, save the pass that looks for them.
+    count. Ranks may be computed from the count; those at or beyond it have no entry.
+
+    ``bounds`` are for a computed key that is never NULL and whose range is known, such as a hash. They
+    save the pass that looks for the range.
     """
-    scope = df.select(key, tie).filter(F.col(key).isNotNull())
     k, t = F.col(key), F.col(tie)
-    if bounds is None:
+    computed = bounds is not None
+    scope = df.select(key, tie)
+    if not computed:
+        scope = scope.filter(k.isNotNull())
         n, low, high = scope.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
         wanted = ranks(n) if callable(ranks) else ranks
         open_ = [_Stretch(n, low, high, {r: r for r in wanted if r < n})]
     else:
-        whole = _Stretch(0, *bounds, {})
-        histogram = _histograms(scope, k, t, [whole])[0]
+        histogram = _counted(scope.withColumn("_bucket", _Stretch(0, *bounds, {}).bucket(k, t)), k, "_bucket")
         n = sum(row["n"] for row in histogram)
         wanted = ranks(n) if callable(ranks) else ranks
         open_ = _Stretch(n, *bounds, {r: r for r in wanted if r < n}).parts(histogram)
@@ -91,13 +94,13 @@ def keys_at_ranks(
     while open_ := [s for s in open_ if s.wanted]:
         short = [s for s in open_ if s.n <= DIRECT_ROWS]
         if short:
-            found.update(_sorted_keys(scope, key, tie, short))
+            found.update(_sorted_keys(scope, key, tie, short, computed))
         long_ = [_by_tie(scope, s, key, tie) if s.key is None and s.low == s.high else s
                  for s in open_ if s.n > DIRECT_ROWS]
         open_ = []
         for alike in ([s for s in long_ if s.key is None], [s for s in long_ if s.key is not None]):
             if alike:
-                open_ += [part for s, h in zip(alike, _histograms(scope, k, t, alike)) for part in s.parts(h)]
+                open_ += [part for s, h in zip(alike, _histograms(scope, k, t, alike, computed)) for part in s.parts(h)]
     return n, found
 
 
@@ -115,32 +118,41 @@ def _choose(stretches: list[_Stretch], k: Column, t: Column, what: Callable[[int
     return chosen
 
 
-def _within(scope: DataFrame, k: Column, t: Column, stretches: list[_Stretch]) -> DataFrame:
-    numbered = scope.withColumn("_stretch", _choose(stretches, k, t, lambda i: F.lit(i)))
-    return numbered.filter(reduce(lambda a, b: a | b, [s.holds(k, t) for s in stretches]))
+def _within(scope: DataFrame, k: Column, t: Column, stretches: list[_Stretch], computed: bool) -> DataFrame:
+    """Rows of the stretches, numbered by stretch."""
+    held = lambda a, b: reduce(lambda x, y: x | y, [s.holds(a, b) for s in stretches])
+    if computed:
+        # The filter is pushed below the column it tests and would compute the key once per comparison.
+        # Bound to a lambda variable it is computed once.
+        pair = F.struct(k.alias("k"), t.alias("t"))
+        rows = scope.filter(F.exists(F.array(pair), lambda p: held(p["k"], p["t"])))
+    else:
+        rows = scope.filter(held(k, t))
+    return rows.withColumn("_stretch", _choose(stretches, k, t, lambda i: F.lit(i)))
 
 
-def _histograms(scope: DataFrame, k: Column, t: Column, stretches: list[_Stretch]) -> list[list[Row]]:
-    """At most ``BUCKETS`` counted buckets per stretch, in order; all stretches go by key or all by tie."""
-    value = k if stretches[0].key is None else t
-    rows = (
-        _within(scope, k, t, stretches)
-        .withColumn("_bucket", _choose(stretches, k, t, lambda i: stretches[i].bucket(k, t)))
-        .groupBy("_stretch", "_bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-        .orderBy("_stretch", "_bucket")
-        .collect()
+def _counted(rows: DataFrame, value: Column, *groups: str) -> list[Row]:
+    counted = rows.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")
     )
+    return counted.orderBy(*groups).collect()
+
+
+def _histograms(scope, k: Column, t: Column, stretches: list[_Stretch], computed: bool) -> list[list[Row]]:
+    """At most ``BUCKETS`` counted buckets per stretch, in order; all stretches go by key or all by tie."""
+    bucket = _choose(stretches, k, t, lambda i: stretches[i].bucket(k, t))
+    inside = _within(scope, k, t, stretches, computed).withColumn("_bucket", bucket)
+    rows = _counted(inside, k if stretches[0].key is None else t, "_stretch", "_bucket")
     return [[r for r in rows if r["_stretch"] == i] for i in range(len(stretches))]
 
 
-def _sorted_keys(scope: DataFrame, key: str, tie: str, stretches: list[_Stretch]) -> dict[int, tuple]:
+def _sorted_keys(scope, key: str, tie: str, stretches: list[_Stretch], computed: bool) -> dict[int, tuple]:
     """Wanted keys of stretches that were counted to be short enough to sort in one task each."""
     k, t = F.col(key), F.col(tie)
     position = F.row_number().over(Window.partitionBy("_stretch").orderBy(key, tie)) - 1
     places = [F.struct(F.lit(i), F.lit(at)) for i, s in enumerate(stretches) for at in set(s.wanted.values())]
     hits = (
-        _within(scope, k, t, stretches)
+        _within(scope, k, t, stretches, computed)
         .withColumn("_at", position)
         .filter(F.struct("_stretch", "_at").isin(*places))
         .collect()
