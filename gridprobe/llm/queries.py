@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridprobe.llm import mixing
+from gridprobe.llm import mixing, simhash
 from gridprobe.sources import tables
 
 QUERIES = {}
@@ -24,3 +24,8 @@ def query(sql: str | None = None):
 @query()
 def op7_entropy_balanced_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(tables.table(spark, folder, "documents"))
+
+
+@query()
+def op2_simhash_trie_components(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(tables.table(spark, folder, "documents"))
