@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridprobe.llm import mixing, simhash
+from gridprobe.llm import decontaminate, mixing, simhash, spans
 from gridprobe.sources import tables
 
 QUERIES = {}
@@ -29,3 +29,15 @@ def op7_entropy_balanced_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_simhash_trie_components(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(tables.table(spark, folder, "documents"))
+
+
+@query()
+def op6_sentence_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.deduplicated(tables.table(spark, folder, "documents"))
+
+
+@query()
+def op9_simhash_window_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(
+        tables.table(spark, folder, "documents"), tables.table(spark, folder, "benchmark")
+    )
