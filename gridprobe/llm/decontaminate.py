@@ -179,6 +179,15 @@ def search(index: Index, words: list[bytes]) -> Iterator[tuple[int, float, int]]
         yield item, score, start
 
 
+def _passes(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[Index]:
+    """The items in blocks of about ``ITEMS``, by a hash, so that what goes to the tasks is bounded."""
+    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
+    blocks = max(1, -(-items.count() // ITEMS))
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
+    for number in range(blocks):
+        yield Index(items.filter(block == number).orderBy("id", "text").collect())
+
+
 def _pass(docs: DataFrame, index: Index, kind: str, item_kind: pa.DataType, item_sql: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -216,16 +225,39 @@ def contaminated(
     an id are reported with a NULL id. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
-    passes = max(1, -(-items.count() // ITEMS))
-    share = F.pmod(F.xxhash64("id", "text"), F.lit(passes))
-    sql = dict(items.dtypes)["id"]
+    sql = dict(benchmark.dtypes)[item_id]
     arrow = pa.int64() if sql in ("bigint", "int", "smallint", "tinyint") else pa.string()
     found = None
-    for number in range(passes):
-        index = Index(items.filter(share == number).orderBy("id", "text").collect())
+    for index in _passes(benchmark, item_id, item_text):
         hits = _pass(rows, index, dict(rows.dtypes)["id"], arrow, "long" if arrow == pa.int64() else "string")
         found = hits if found is None else found.union(hits)
     return found.select(
         F.col("id").alias(id_col), F.col("item").cast(sql).alias("item_id"), "similarity", F.col("start").alias("start_word")
     )
+
+
+def clean(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """The rows, with all their columns, whose text contains no item in the sense of ``contaminated``.
+
+    Nothing is shuffled. NULL and empty texts are clean.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    for index in _passes(benchmark, item_id, item_text):
+        rows = _without_hits(rows, index)
+    return rows.select("row.*")
+
+
+def _without_hits(rows: DataFrame, index: Index) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(index)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [
+                not text or next(search(held.value, text.lower().split()), None) is None
+                for text in texts(batch.column("text"))
+            ]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return rows.mapInArrow(work, rows.schema)

@@ -8,7 +8,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridprobe.llm.common import release, stage, texts
@@ -218,3 +218,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stage(joined.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "components")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(named, "fp").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows, with all their columns, that stay when one of each component does: that with the least id.
+
+    Of rows that repeat an id one stays. Rows without an id take part after all others, by a hash of their text.
+    """
+    spare = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(text_col), F.lit(1 << 62))
+    keyed = docs.select(
+        F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), spare).alias("key"), F.col(text_col).alias("text")
+    )
+    lowest = near_duplicates(keyed, "key", "text", radius).filter("key = component_id").select("key").distinct()
+    kept = keyed.join(lowest, "key", "left_semi")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("text"))
+    return kept.withColumn("place", F.row_number().over(order)).filter("place = 1").select("row.*")

@@ -139,6 +139,16 @@ def _cut(text: str, spans: list[int]) -> tuple[str, int, int, int]:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_sentences, n_removed, words_removed): texts without sentences that a repeated run covers.
 
+    See ``cut_rows``. One row per input row; other columns are ignored.
+    """
+    cut = cut_rows(docs.select(id_col, text_col), id_col, text_col)
+    return cut.select(f"row.{id_col}", F.col("text").alias(text_col), "n_sentences", "n_removed", "words_removed")
+
+
+def cut_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, text, n_sentences, n_removed, words_removed): all other columns in ``row``, and the text without
+    the sentences that a repeated run covers.
+
     A run is several consecutive sentences (see ``runs``). Among its occurrences in all documents, the one
     with the least (id, place) stays and the sentences of all others go; so of a passage that many documents
     share, and of whole copies, one is left. Only counts and first places are shuffled per run, so a run that
@@ -146,8 +156,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     case and spacing.
 
     NULL texts stay NULL, empty ones empty. Rows without an id keep their text and take no part. Rows that
-    repeat an id count as one document: equal ones keep or lose the same sentences. One row per input row;
-    other columns are ignored; an empty table gives an empty result.
+    repeat an id count as one document: equal ones keep or lose the same sentences. An empty table gives an
+    empty result.
     """
     spans = stage(run_table(docs, id_col, text_col), "runs")
     repeated = (
@@ -165,13 +175,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
             ]
             kept, n, removed, words = zip(*found) if found else ((), (), (), ())
-            yield pa.record_batch({
-                "id": batch.column("id"), "text": pa.array(kept, pa.string()), "n_sentences": pa.array(n, pa.int32()),
-                "n_removed": pa.array(removed, pa.int32()), "words_removed": pa.array(words, pa.int64()),
-            })
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = rows.join(lists, rows["id"] == lists["cut_id"], "left").select("id", "text", "spans")
-    kind = dict(rows.dtypes)["id"]
-    cut = joined.mapInArrow(work, f"id {kind}, text string, n_sentences int, n_removed int, words_removed long")
-    return cut.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_sentences", "n_removed", "words_removed")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(kept, pa.string()), pa.array(n, pa.int32()), pa.array(removed, pa.int32()),
+                 pa.array(words, pa.int64())],
+                ["row", "text", "n_sentences", "n_removed", "words_removed"],
+            )
+
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    joined = rows.join(lists, rows["id"] == lists["cut_id"], "left").select("row", "text", "spans")
+    shape = rows.select(
+        "row", "text", F.lit(0).alias("n_sentences"), F.lit(0).alias("n_removed"), F.lit(0).cast("long").alias("words_removed")
+    ).schema
+    return joined.mapInArrow(work, shape)
