@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridprobe.llm import decontaminate, mixing, quality, simhash, spans
+from gridprobe.llm import decontaminate, mixing, quality, simhash, spans, toxicity
 from gridprobe.sources import tables
 
 QUERIES = {}
@@ -31,6 +31,11 @@ def op2_simhash_trie_components(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(tables.table(spark, folder, "documents"))
 
 
+@query()
+def op3_noisy_channel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classified(tables.table(spark, folder, "documents"), tables.table(spark, folder, "labels"))
+
+
 @query()
 def op5_line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classified(tables.table(spark, folder, "documents"), tables.table(spark, folder, "labels"))
