@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridprobe.llm import decontaminate, mixing, quality, simhash, spans, toxicity
+from gridprobe.llm import decontaminate, hmm, mixing, quality, simhash, spans, toxicity
 from gridprobe.sources import tables
 
 QUERIES = {}
@@ -51,3 +51,8 @@ def op9_simhash_window_decontamination(spark: SparkSession, folder: str) -> Data
     return decontaminate.contaminated(
         tables.table(spark, folder, "documents"), tables.table(spark, folder, "benchmark")
     )
+
+
+@query()
+def op10_hidden_markov_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.scored(tables.table(spark, folder, "documents"))
