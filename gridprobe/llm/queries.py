@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridprobe.llm import decontaminate, hmm, mixing, quality, simhash, spans, toxicity
+from gridprobe.llm import decontaminate, hmm, mixing, neighbours, quality, simhash, spans, toxicity
 from gridprobe.sources import tables
 
 QUERIES = {}
@@ -36,6 +36,29 @@ def op3_noisy_channel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classified(tables.table(spark, folder, "documents"), tables.table(spark, folder, "labels"))
 
 
+@query(
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE list_dot_product(e, e) > 0),
+    link AS (
+        SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b
+        ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+    ),
+    reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+    low AS (SELECT x, least(x, min(y)) AS root FROM reach GROUP BY x),
+    degree AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+    SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, coalesce(l.root, e.vec_id) AS component_id,
+           e.vec_id = coalesce(l.root, e.vec_id) AS kept
+    FROM embeddings e LEFT JOIN low l ON l.x = e.vec_id LEFT JOIN degree d ON d.x = e.vec_id
+    """
+)
+def op4_nn_descent_links(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_duplicates(tables.table(spark, folder, "embeddings"))
+
+
 @query()
 def op5_line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classified(tables.table(spark, folder, "documents"), tables.table(spark, folder, "labels"))
