@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridprobe.llm import decontaminate, hmm, mixing, neighbours, quality, simhash, spans, toxicity
+from gridprobe.llm import decontaminate, hmm, mixing, neighbours, quality, simhash, spans, toxicity, warc
+from gridprobe.session import scratch_path
 from gridprobe.sources import tables
 
 QUERIES = {}
@@ -39,8 +40,8 @@ def op3_noisy_channel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """
     WITH RECURSIVE v AS (
-        SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ),
     u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE list_dot_product(e, e) > 0),
     link AS (
@@ -69,6 +70,33 @@ def op6_sentence_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return spans.deduplicated(tables.table(spark, folder, "documents"))
 
 
+@query(
+    """
+    WITH p AS (
+        SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+               sha1(coalesce(html, '')) AS sha
+        FROM pages WHERE page_id IS NOT NULL
+    ),
+    bits AS (
+        SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(sha, CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER)) AS q,
+               min(page_id) OVER (PARTITION BY sha, payload_bytes) AS first
+        FROM p
+    )
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr(
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST(((q[CAST(i // 4 + 1 AS INTEGER)] >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+           CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+    FROM bits
+    """
+)
+def op8_sharded_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = scratch_path(spark, "warc")
+    manifest = warc.write(tables.table(spark, folder, "pages"), archives)
+    return warc.read(spark, archives, manifest)
+
+
 @query()
 def op9_simhash_window_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(
