@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridprobe.llm import decontaminate, hmm, mixing, neighbours, quality, simhash, spans, toxicity, warc
+from gridprobe.llm import decontaminate, hmm, mixing, neighbours, quality, simhash, spans, toxicity, urls, warc
 from gridprobe.session import scratch_path
 from gridprobe.sources import tables
 
@@ -27,6 +28,101 @@ def op7_entropy_balanced_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(tables.table(spark, folder, "documents"))
 
 
+def _mark(text):
+    """A number that depends on a text alone."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """Lists with a history, made from the hosts and addresses that the pages have."""
+    start = F.lit("2024-01-01").cast("date")
+
+    def events(patterns: DataFrame, name: str, scope: str, action: str, every: int, rest: int, gaps: list[tuple[str, int, int]]):
+        chosen = patterns.withColumn("m", _mark(F.concat(F.lit(f"{name}:"), "pattern"))).filter(F.col("m") % every == rest)
+        listed = F.array(*[
+            F.struct(F.lit(event).alias("event"), F.date_add(start, (F.lit(first) + F.col("m") % span).cast("int")).alias("day"))
+            for event, first, span in gaps
+        ])
+        return chosen.select(
+            F.lit(name).alias("list"), F.lit(scope).alias("scope"), "pattern", F.lit(action).alias("action"),
+            F.explode(listed).alias("e"),
+        ).select("list", "scope", "pattern", "action", "e.day", "e.event")
+
+    hosts = pages.select(urls.host_of(F.col("url")).alias("pattern")).filter("pattern <> ''").distinct()
+    domains = hosts.select(F.substring_index("pattern", ".", -2).alias("pattern")).distinct()
+    addresses = pages.select(urls.address_of(F.col("url")).alias("pattern")).filter("pattern <> ''").distinct()
+    return (
+        events(hosts, "adverts", "host", "block", 3, 0, [("add", 0, 120), ("remove", 130, 60), ("add", 200, 100)])
+        .union(events(hosts, "trusted", "host", "allow", 4, 1, [("add", 0, 300)]))
+        .union(events(domains, "malware", "host", "block", 1, 0, [("add", 100, 30), ("remove", 180, 30)]))
+        .union(events(addresses, "reports", "url", "block", 8, 3, [("add", 0, 200), ("remove", 210, 100)]))
+        .union(events(addresses, "appeals", "url", "allow", 16, 5, [("add", 50, 200)]))
+    )
+
+
+_EVENTS_SQL = "\n    UNION ALL\n    ".join(
+    f"SELECT '{name}' AS list, '{scope}' AS scope, pattern, '{action}' AS action, '{event}' AS event, "
+    f"DATE '2024-01-01' + CAST({first} + m % {span} AS INTEGER) AS day FROM "
+    f"(SELECT pattern, CAST('0x' || substr(md5('{name}:' || pattern), 1, 8) AS BIGINT) AS m FROM {source}) WHERE m % {every} = {rest}"
+    for name, scope, action, source, every, rest, gaps in [
+        ("adverts", "host", "block", "hosts", 3, 0, [("add", 0, 120), ("remove", 130, 60), ("add", 200, 100)]),
+        ("trusted", "host", "allow", "hosts", 4, 1, [("add", 0, 300)]),
+        ("malware", "host", "block", "domains", 1, 0, [("add", 100, 30), ("remove", 180, 30)]),
+        ("reports", "url", "block", "addresses", 8, 3, [("add", 0, 200), ("remove", 210, 100)]),
+        ("appeals", "url", "allow", "addresses", 16, 5, [("add", 50, 200)]),
+    ]
+    for event, first, span in gaps
+)
+
+
+@query(
+    rf"""
+    WITH c AS (
+        SELECT page_id, rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+               rtrim(regexp_extract(coalesce(url, ''), '^[^:/?#]*://[^/?#]*([^#]*)', 1), '/') AS rest,
+               DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS day
+        FROM pages
+    ),
+    captures AS (SELECT page_id, host, CASE WHEN host = '' THEN '' ELSE host || rest END AS address, day FROM c),
+    hosts AS (SELECT DISTINCT host AS pattern FROM captures WHERE host <> ''),
+    domains AS (SELECT DISTINCT array_to_string(string_split(pattern, '.')[-2:], '.') AS pattern FROM hosts),
+    addresses AS (SELECT DISTINCT address AS pattern FROM captures WHERE address <> ''),
+    entries AS ({_EVENTS_SQL}),
+    daily AS (
+        SELECT list, scope, pattern, action, day, max(CASE WHEN event = 'remove' THEN 1 ELSE 0 END) AS removed
+        FROM entries GROUP BY ALL
+    ),
+    changes AS (
+        SELECT * FROM (SELECT *, lag(removed, 1, 1) OVER w AS before FROM daily
+                       WINDOW w AS (PARTITION BY list, scope, pattern, action ORDER BY day)) WHERE removed <> before
+    ),
+    intervals AS (
+        SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY list, scope, pattern, action ORDER BY day) AS ends FROM changes)
+        WHERE removed = 0
+    ),
+    matches AS (
+        SELECT c.page_id, i.list, i.pattern, i.day AS since, i.action,
+               CASE WHEN i.scope = 'url' THEN 1000 ELSE len(string_split(i.pattern, '.')) END AS rank
+        FROM captures c JOIN intervals i
+          ON c.day >= i.day AND (i.ends IS NULL OR c.day < i.ends)
+         AND ((i.scope = 'url' AND i.pattern = c.address)
+              OR (i.scope = 'host' AND (c.host = i.pattern OR ends_with(c.host, '.' || i.pattern))))
+    ),
+    best AS (
+        SELECT *, row_number() OVER (
+            PARTITION BY page_id ORDER BY rank DESC, CASE action WHEN 'block' THEN 0 ELSE 1 END, list, pattern, since) AS at
+        FROM matches
+    )
+    SELECT p.page_id, coalesce(b.action, 'keep') AS verdict, b.list, b.pattern, b.since
+    FROM captures p LEFT JOIN best b ON b.page_id = p.page_id AND b.at = 1
+    """
+)
+def op1_temporal_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    pages = tables.table(spark, folder, "pages")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("page_id") * 37) % 366).cast("int"))
+    return urls.judged(pages.select("page_id", "url", fetched.alias("fetched")), dated_entries(pages))
+
+
 @query()
 def op2_simhash_trie_components(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(tables.table(spark, folder, "documents"))
