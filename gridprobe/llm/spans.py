@@ -19,51 +19,52 @@ RUN_WORDS = 20
 # A longer sentence counts as several, cut after every so many words.
 SENTENCE_WORDS = 24
 
-_BREAK = re.compile(r"(?<=[.!?])[ \t]+|\s*\n\s*")
-_LONG = re.compile(r"(?:\S+\s+){%d}" % SENTENCE_WORDS)
+_END = re.compile(r"[.!?][ \t]+|\n")
+_LONG = re.compile(r"\s*(?:\S+\s+){%d}" % SENTENCE_WORDS)
+# Documents whose runs are made at once.
+LOT = 200
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Half-open character ranges of the sentences, in order; white space between them belongs to none.
+def sentences(text: str) -> tuple[list[int], list[list[str]]]:
+    """Where the sentences start, and the lower-case words of each; together they are the whole text.
 
-    A sentence ends after . ! or ? before white space, and at a line break.
+    A sentence ends with . ! or ? before white space, or with a line break, and takes the white space behind it
+    along. One of more than ``SENTENCE_WORDS`` words is cut after every so many.
     """
-    found, start = [], 0
-    for gap in [*_BREAK.finditer(text), None]:
-        end = gap.start() if gap else len(text)
-        if end > start:
-            if end - start > 2 * SENTENCE_WORDS:
-                for cut in _LONG.finditer(text, start, end):
-                    if cut.start() != start:
-                        break  # only pieces that follow each other without a gap
-                    found.append((start, cut.end()))
-                    start = cut.end()
-            if text[start:end].strip():
-                found.append((start, end))
-        start = gap.end() if gap else end
-    return found
-
-
-def _hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each sentence (white space and case are no difference), and its words."""
-    spots = sentences(text)
-    words = [text[a:b].lower().split() for a, b in spots]
-    digests = b"".join(xxhash.xxh3_128_digest(" ".join(w)) for w in words)
-    return np.frombuffer(digests, "<u8").reshape(-1, 2), np.array([len(w) for w in words], np.int64)
-
-
-def runs(n_words: np.ndarray) -> np.ndarray:
+    starts: list[int] = []
+    words: list[list[str]] = []
+    at = 0
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        found = text[at:end].lower().split()
+        if not found:
+            continue  # white space goes to the next sentence
+        while len(found) > SENTENCE_WORDS:
+            starts.append(at)
+            words.append(found[:SENTENCE_WORDS])
+            found = found[SENTENCE_WORDS:]
+            at = _LONG.match(text, at).end()
+        starts.append(at)
+        words.append(found)
+        at = end
+    return starts, words
+
+
+def runs(n_words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(first, last) of every shortest run from a sentence onwards and from a sentence backwards that has
-    ``RUN_SENTENCES`` and ``RUN_WORDS``. Every such run inside a passage lies wholly in it, and together they
-    cover it from its first sentence to its last."""
+    ``RUN_SENTENCES`` and ``RUN_WORDS``, in order. Every such run inside a passage lies wholly in it, and together
+    they cover it from its first sentence to its last. ``ends`` has the place behind the last sentence of each
+    document; no run crosses it."""
     n = len(n_words)
+    sizes = np.diff(ends, prepend=0)
+    stop, begin = np.repeat(ends, sizes), np.repeat(ends - sizes, sizes)
     total = np.concatenate(([0], np.cumsum(n_words)))
     at = np.arange(n)
     last = np.maximum(np.searchsorted(total, total[:-1] + RUN_WORDS, "left") - 1, at + RUN_SENTENCES - 1)
     first = np.minimum(np.searchsorted(total, total[1:] - RUN_WORDS, "right") - 1, at - RUN_SENTENCES + 1)
-    ahead = np.stack((at, last), 1)[last < n]
-    behind = np.stack((first, at), 1)[first >= 0]
-    return np.unique(np.concatenate((ahead, behind)), axis=0)
+    ahead, behind = last < stop, first >= begin
+    both = np.concatenate(((at[ahead] << 32) | last[ahead], (first[behind] << 32) | at[behind]))
+    both = np.unique(both)
+    return np.stack((both >> 32, both & 0xFFFFFFFF), 1)
 
 
 _ODD = np.random.default_rng(64).integers(0, 2**63, (2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,79 +75,76 @@ def run_hashes(digests: np.ndarray, spans: np.ndarray) -> np.ndarray:
     length = spans[:, 1] - spans[:, 0] + 1
     out = np.zeros((len(spans), 2), np.uint64)
     for step in range(int(length.max(initial=0))):
-        inside = length > step
+        inside = np.flatnonzero(length > step)
         out[inside] += digests[spans[inside, 0] + step] * _ODD[:, step % _ODD.shape[1]]
     out ^= out >> np.uint64(29)
     return (out + length.astype(np.uint64)[:, None]) * _ODD[:, 0]
 
 
 def run_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, id, span) of every run of every document; span is first * 2^32 + last."""
+    """(h1, h2, id, span, again) of every run of every document; span is first * 2^32 + last within it, and
+    ``again`` tells that an earlier run of the same document is equal."""
+
+    def lots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        values = batch.column("text").to_pylist()
+        for start in range(0, len(values), LOT):
+            words, ends = [], []
+            for text in values[start : start + LOT]:
+                words += sentences(text or "")[1]
+                ends.append(len(words))
+            digest = xxhash.xxh3_128_digest
+            digests = np.frombuffer(b"".join([digest(" ".join(w)) for w in words]), "<u8").reshape(-1, 2)
+            n_words = np.fromiter(map(len, words), np.int64, len(words))
+            ends = np.array(ends)
+            found = runs(n_words, ends)
+            if not len(found):
+                continue
+            hashed = run_hashes(digests, found)
+            row = np.searchsorted(ends, found[:, 0], side="right")
+            _, first_of = np.unique(np.column_stack((row.astype(np.uint64), hashed[:, 0])).view("u8,u8").ravel(), return_index=True)
+            again = np.ones(len(found), bool)
+            again[first_of] = False
+            place = found - np.concatenate(([0], ends))[row][:, None]
+            yield pa.record_batch({
+                "h1": pa.array(hashed[:, 0].view(np.int64)), "h2": pa.array(hashed[:, 1].view(np.int64)),
+                "id": batch.column("id").take(pa.array(row + start)),
+                "span": pa.array((place[:, 0] << 32) | place[:, 1]), "again": pa.array(again),
+            })
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, spans, hashes, held = [], [], [], 0
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                digests, n_words = _hashes(text or "")
-                found = runs(n_words)
-                if not len(found):
-                    continue
-                which.append(np.full(len(found), row))
-                spans.append(found)
-                hashes.append(run_hashes(digests, found))
-                held += len(found)
-                if held > 100_000:
-                    yield emit(batch, which, spans, hashes)
-                    which, spans, hashes, held = [], [], [], 0
-            if which:
-                yield emit(batch, which, spans, hashes)
-
-    def emit(batch, which, spans, hashes) -> pa.RecordBatch:
-        place, hashed = np.concatenate(spans), np.concatenate(hashes).view(np.int64)
-        return pa.record_batch({
-            "h1": pa.array(hashed[:, 0]), "h2": pa.array(hashed[:, 1]),
-            "id": batch.column("id").take(pa.array(np.concatenate(which))),
-            "span": pa.array((place[:, 0] << 32) | place[:, 1]),
-        })
+            yield from lots(batch)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
-    return rows.mapInArrow(work, f"h1 long, h2 long, id {dict(rows.dtypes)['id']}, span long")
+    return rows.mapInArrow(work, f"h1 long, h2 long, id {dict(rows.dtypes)['id']}, span long, again boolean")
 
 
-def _cut(text: str, spans: list[int]) -> tuple[str, int, int, int]:
-    """The text without the sentences of the runs: (text, sentences, those removed, words removed).
-
-    The white space after a removed sentence goes with it.
-    """
-    spots = sentences(text)
-    gone = np.zeros(len(spots) + 1, np.int64)
+def _cut(text: str, spans: list[int]) -> tuple[str, int, int]:
+    """The text without the sentences of the runs, how many these are, and their words."""
+    starts, words = sentences(text)
+    gone = np.zeros(len(starts) + 1, np.int64)
     for span in spans:
         first, last = span >> 32, span & 0xFFFFFFFF
-        if last < len(spots):
+        if last < len(starts):
             gone[first] += 1
             gone[last + 1] -= 1
-    gone = np.cumsum(gone)[: len(spots)] > 0
-    kept, words, at = [], 0, 0
-    for i, (start, end) in enumerate(spots):
-        after = spots[i + 1][0] if i + 1 < len(spots) else len(text)
-        if gone[i]:
-            words += len(text[start:end].split())
-        else:
-            kept.append(text[start if kept or i else 0 : after])
-    return "".join(kept), len(spots), int(gone.sum()), words
+    gone = np.cumsum(gone)[: len(starts)] > 0
+    ends = [*starts[1:], len(text)]
+    kept = [text[a:b] for a, b, out in zip(starts, ends, gone.tolist()) if not out]
+    return "".join(kept), int(gone.sum()), sum(len(w) for w, out in zip(words, gone.tolist()) if out)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_sentences, n_removed, words_removed): texts without sentences that a repeated run covers.
+    """(id, text, n_removed, words_removed): texts without sentences that a repeated run covers.
 
     See ``cut_rows``. One row per input row; other columns are ignored.
     """
     cut = cut_rows(docs.select(id_col, text_col), id_col, text_col)
-    return cut.select(f"row.{id_col}", F.col("text").alias(text_col), "n_sentences", "n_removed", "words_removed")
+    return cut.select(f"row.{id_col}", F.col("text").alias(text_col), "n_removed", "words_removed")
 
 
 def cut_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, text, n_sentences, n_removed, words_removed): all other columns in ``row``, and the text without
+    """(row, text, n_removed, words_removed): all other columns in ``row``, and the text without
     the sentences that a repeated run covers.
 
     A run is several consecutive sentences (see ``runs``). Among its occurrences in all documents, the one
@@ -160,31 +158,33 @@ def cut_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     empty result.
     """
     spans = stage(run_table(docs, id_col, text_col), "runs")
-    repeated = (
-        spans.groupBy("h1", "h2").agg(F.min(F.struct("id", "span")).alias("first"), F.count(F.lit(1)).alias("times"))
-        .filter("times > 1").select("h1", "h2", "first")
+    # A run counts once per document here, so that the least id alone tells which occurrence is the first.
+    once = spans.filter("NOT again").select("h1", "h2", "id", "span")
+    repeated = stage(
+        once.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times"))
+        .filter("times > 1").select("h1", "h2", "first"), "repeated",
     )
-    later = spans.join(repeated, ["h1", "h2"]).filter(F.struct("id", "span") != F.col("first")).select("id", "span")
+    later = once.join(repeated, ["h1", "h2"]).filter(F.col("id") != F.col("first")).select("id", "span")
     # One list per document, no longer than the document itself.
-    lists = later.groupBy("id").agg(F.collect_set("span").alias("spans")).withColumnRenamed("id", "cut_id")
+    lists = later.union(spans.filter("again").select("id", "span")).groupBy("id").agg(F.collect_list("span").alias("spans"))
+    lists = lists.withColumnRenamed("id", "cut_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                (None, 0, 0, 0) if text is None else _cut(text, spans or [])
+                _cut(text, spans) if text and spans else (text, 0, 0)
                 for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
             ]
-            kept, n, removed, words = zip(*found) if found else ((), (), (), ())
+            kept, removed, words = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(kept, pa.string()), pa.array(n, pa.int32()), pa.array(removed, pa.int32()),
-                 pa.array(words, pa.int64())],
-                ["row", "text", "n_sentences", "n_removed", "words_removed"],
+                [batch.column("row"), pa.array(kept, pa.string()), pa.array(removed, pa.int32()), pa.array(words, pa.int64())],
+                ["row", "text", "n_removed", "words_removed"],
             )
 
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     joined = rows.join(lists, rows["id"] == lists["cut_id"], "left").select("row", "text", "spans")
     shape = rows.select(
-        "row", "text", F.lit(0).alias("n_sentences"), F.lit(0).alias("n_removed"), F.lit(0).cast("long").alias("words_removed")
+        "row", "text", F.lit(0).alias("n_removed"), F.lit(0).cast("long").alias("words_removed")
     ).schema
     return joined.mapInArrow(work, shape)
