@@ -152,6 +152,22 @@ def features(word: str) -> list[str]:
     return marks
 
 
+class _Strengths(dict):
+    """The largest weight of what a token means, for every token asked for."""
+
+    def __init__(self, model: np.ndarray, weights: dict[str, float]):
+        super().__init__()
+        self.model, self.weights = model, weights
+
+    def __missing__(self, token: str) -> float:
+        get = self.weights.get
+        found = self[token] = max((get(f, 0.0) for w in meant(token, self.model).split() for f in features(w)), default=0.0)
+        return found
+
+    def __reduce__(self):
+        return _Strengths, (self.model, self.weights)
+
+
 @dataclass
 class Scorer:
     """Weights of features, and how a document's strongest ones make its score."""
@@ -159,7 +175,9 @@ class Scorer:
     model: np.ndarray
     weights: dict[str, float]
     line: np.ndarray = field(default_factory=lambda: np.array([-2.0, 1.0, 0.0]))
-    _cache: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self._strengths = _Strengths(self.model, self.weights)
 
     def words(self, text: str) -> set[str]:
         """The distinct words meant by a text."""
@@ -169,26 +187,17 @@ class Scorer:
             tokens.update(decode(" ".join(run.split()), self.model).split())
         return tokens
 
-    def strength(self, token: str) -> float:
-        """The largest weight of what a token means."""
-        found = self._cache.get(token)
-        if found is None:
-            if len(self._cache) > 400_000:
-                self._cache.clear()
-            get = self.weights.get
-            found = max((get(f, 0.0) for w in meant(token, self.model).split() for f in features(w)), default=0.0)
-            self._cache[token] = found
-        return found
-
     def evidence(self, text: str | None) -> tuple[float, float, float]:
         """(1, strongest weight, logarithm of how many words carry one)."""
         if not text:
             return 1.0, 0.0, 0.0
+        if len(self._strengths) > 400_000:
+            self._strengths.clear()
         low = text.lower()
-        known = [s for t in set(low.split()) if (s := self.strength(t))]
+        known = [s for s in map(self._strengths.__getitem__, set(low.split())) if s]
         for run in _SPACED.findall(low):
             for word in decode(" ".join(run.split()), self.model).split():
-                if (s := self.strength(word)):
+                if (s := self._strengths[word]):
                     known.append(s)
         return 1.0, max(known, default=0.0), float(np.log1p(len(known)))
 
