@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,7 @@ class Index:
     def shared(self, words: list[bytes]) -> dict[int, np.ndarray]:
         """Per shingle width, a mark wherever a shingle of some item starts; widths without any are left out."""
         number = self.numbers.get
-        code = np.fromiter([number(w, UNKNOWN) for w in words], np.int64, len(words))
+        code = np.fromiter(map(number, words, repeat(UNKNOWN)), np.int64, len(words))
         known = np.concatenate(([0], np.cumsum(code >= 0)))
         found = {}
         for width, wanted in self.wanted.items():
@@ -75,7 +76,8 @@ class Index:
             if not len(spots):
                 continue
             there = np.zeros(len(code) - width + 1, np.int64)
-            there[spots[np.isin(shingles(self.hashes[code[spots[:, None] + np.arange(width)]], width)[:, 0], wanted)]] = 1
+            made = shingles(self.hashes[code[spots[:, None] + np.arange(width)]], width)[:, 0]
+            there[spots[wanted[np.minimum(np.searchsorted(wanted, made), len(wanted) - 1)] == made]] = 1
             if there.any():
                 found[width] = there
         return found
