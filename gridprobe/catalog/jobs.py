@@ -76,23 +76,35 @@ def extracted_moments(spark, sf):
     return cells.select("row_id", "i", rounded(F.col("x")).alias("x"))
 
 
-@query("B3 K4 K6 W7", None)
+@query("B3 K4 K6 W7 F4 X6 E2", """
+WITH samples AS (
+  SELECT vec_id // 64 AS shard, vec_id < 200 AND vec_id % 50 IN (7, 13) AS lacking, vec_id < 200 AND vec_id % 50 = 11 AS silent FROM embeddings)
+SELECT CAST(shard AS INT) AS shard, CASE WHEN bool_or(lacking) THEN 'failed' ELSE 'done' END AS status,
+       CASE WHEN bool_or(lacking) THEN count(*) FILTER (WHERE lacking) || ' of ' || count(*) || ' samples have no vector' ELSE '' END AS message,
+       count(*) FILTER (WHERE NOT lacking) AS n, count(*) FILTER (WHERE NOT lacking) AS n_distinct, count(*) FILTER (WHERE silent) AS n_blank
+FROM samples GROUP BY shard""")
 def resumed_job(spark, sf):
-    """Two runs over one store: the second finds nothing to do, and every shard ends as done."""
+    """One shard, then all of them, then all again, over samples of which some are silent, missing or too short."""
     vectors = reader(spark, sf)("embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
     manifest = job.build_manifest(
-        vectors.select("row_id", F.lit("a.wav").alias("synth_file_path")), "vectors", "MELSPEC", "abc"
+        vectors.select("row_id", F.lit("a.wav").alias("synth_file_path")), "vectors", "MELSPEC", "abc", max_samples=64
     )
-    signals = vectors.select("row_id", F.col("embedding").alias("samples"))
+    odd = lambda k: (F.col("row_id") < 200) & (F.col("row_id") % 50 == k)
+    silent = F.transform("embedding", lambda x: x * 0)
+    heard = F.when(odd(11), silent).when(odd(13), F.slice("embedding", 1, 8)).otherwise(F.col("embedding"))
+    signals = vectors.filter(~odd(7)).select("row_id", heard.alias("samples"))
     store, log = scratch_path(spark, "store"), scratch_path(spark, "status")
-    load = job.moment_extractor(FRAMES[0])
-    for _ in range(2):
-        job.run_job(manifest, signals, store, log, load, "vectors", "abc")
-    done = spark.read.parquet(log).groupBy("shard").agg(F.max_by("status", "ts").alias("status"))
-    rows = spark.read.parquet(store).groupBy(shards.shard_of(F.col("row_id")).alias("shard")).agg(
-        F.count("*").alias("n"), F.count_distinct("row_id").alias("n_distinct")
+    for only in ([1], None, None):
+        job.run_job(
+            manifest, signals, store, log, job.moment_extractor(FRAMES[0]), "vectors", "abc", only_shards=only,
+            minimum_seconds=2.0, rate=32,
+        )
+    last = spark.read.parquet(log).groupBy("shard").agg(F.max_by(F.struct("status", "message"), "ts").alias("l"))
+    rows = spark.read.parquet(store).groupBy(shards.shard_of(F.col("row_id"), 64).alias("shard")).agg(
+        F.count("*").alias("n"), F.count_distinct("row_id").alias("n_distinct"),
+        F.count_if(job.vectors.is_blank(F.col("embedding"))).alias("n_blank"),
     )
-    return done.join(rows, "shard")
+    return last.join(rows, "shard").select("shard", "l.status", "l.message", "n", "n_distinct", "n_blank")
 
 
 @query("K4 S6 E3", """
@@ -183,24 +195,25 @@ SIZES = ["L", "M", "S"]
 
 
 @query("F7 J6 P20", f"""
-WITH configs AS (SELECT l_orderkey, l_linenumber, l_suppkey, {nth(SIZES, 'l_suppkey % 3')} AS model_size, {nth(FAMILIES, 'l_orderkey % 4')} AS model_type,
+WITH configs AS (SELECT l_orderkey, l_linenumber, l_suppkey, {nth(CONCEPTS, 'l_partkey % 7')} AS concept, {nth(SIZES, 'l_suppkey % 3')} AS model_size, {nth(FAMILIES, 'l_orderkey % 4')} AS model_type,
                         CAST(l_quantity AS INT) AS model_layer FROM lineitem),
-exports AS (SELECT p_name || '_' || p_partkey AS path, {nth(SIZES, 'p_partkey % 3')} AS model_size, {nth(FAMILIES, 'p_partkey // 3 % 4')} AS model_type, p_size AS n_layers FROM part),
+exports AS (SELECT p_name || '_' || p_partkey AS path, {nth(CONCEPTS, 'p_partkey // 12 % 7')} AS concept, {nth(SIZES, 'p_partkey % 3')} AS model_size, {nth(FAMILIES, 'p_partkey // 3 % 4')} AS model_type, p_size AS n_layers FROM part),
 keyed AS (SELECT *, CASE WHEN model_type LIKE 'MUSICGEN_DECODER%' THEN split_part(model_type, '_LM', 1) ELSE model_type END AS k FROM configs),
 ekeyed AS (SELECT *, CASE WHEN model_type LIKE 'MUSICGEN_DECODER%' THEN split_part(model_type, '_LM', 1) ELSE model_type END AS k FROM exports),
-lookup AS (SELECT DISTINCT model_size, k, model_layer FROM keyed),
-answered AS (SELECT l.model_size, l.k, l.model_layer, max(e.path) AS export_path
-             FROM lookup l LEFT JOIN ekeyed e ON e.model_size = l.model_size AND e.k = l.k AND e.n_layers > l.model_layer GROUP BY ALL)
-SELECT c.l_orderkey, c.l_linenumber, c.l_suppkey, c.model_size, c.model_type, c.model_layer, coalesce(a.export_path, 'none') AS export_path
-FROM keyed c JOIN answered a USING (model_size, k, model_layer)""")
+lookup AS (SELECT DISTINCT concept, model_size, k, model_layer FROM keyed),
+answered AS (SELECT l.concept, l.model_size, l.k, l.model_layer, max(e.path) AS export_path
+             FROM lookup l LEFT JOIN ekeyed e ON e.concept = l.concept AND e.model_size = l.model_size AND e.k = l.k AND e.n_layers > l.model_layer GROUP BY ALL)
+SELECT c.l_orderkey, c.l_linenumber, c.l_suppkey, c.concept, c.model_size, c.model_type, c.model_layer, coalesce(a.export_path, 'none') AS export_path
+FROM keyed c JOIN answered a USING (concept, model_size, k, model_layer)""")
 def matched_exports(spark, sf):
     t = reader(spark, sf)
     configs = t("lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", dims.pick(SIZES, F.col("l_suppkey") % 3).alias("model_size"),
+        "l_orderkey", "l_linenumber", "l_suppkey", dims.pick(CONCEPTS, F.col("l_partkey") % 7).alias("concept"), dims.pick(SIZES, F.col("l_suppkey") % 3).alias("model_size"),
         dims.pick(FAMILIES, F.col("l_orderkey") % 4).alias("model_type"), F.col("l_quantity").cast("int").alias("model_layer"),
     )
     exports = t("part").select(
-        F.concat_ws("_", "p_name", "p_partkey").alias("path"), dims.pick(SIZES, F.col("p_partkey") % 3).alias("model_size"),
+        F.concat_ws("_", "p_name", "p_partkey").alias("path"),
+        dims.pick(CONCEPTS, F.floor(F.col("p_partkey") / 12) % 7).alias("concept"), dims.pick(SIZES, F.col("p_partkey") % 3).alias("model_size"),
         dims.pick(FAMILIES, F.floor(F.col("p_partkey") / 3) % 4).alias("model_type"), F.col("p_size").alias("n_layers"),
     )
     return registry.match_exports(configs, exports).fillna("none", "export_path")

@@ -83,12 +83,17 @@ def dimension_statistics_by_label(spark, sf):
     )
 
 
-SPLIT = f"""keyed AS (SELECT *, {hash_sql(SEED, 'vec_id')} AS h FROM embeddings),
+def split_sql(seed):
+    """The embeddings with their split, as common table expressions."""
+    return f"""keyed AS (SELECT *, {hash_sql(seed, 'vec_id')} AS h FROM embeddings),
 placed AS (SELECT *, row_number() OVER (ORDER BY h, vec_id) - 1 AS pos, count(*) OVER () AS n FROM keyed),
 sized AS (SELECT *, CAST(floor(CAST(0.7 AS DOUBLE) * n) AS BIGINT) AS t FROM placed),
 divided AS (SELECT *, CASE WHEN pos < t THEN 'train' WHEN pos < t + (n - t) // 2 THEN 'valid' ELSE 'test' END AS split FROM sized)"""
 
 
+SPLIT = split_sql(SEED)
+
+
 @query("A3 W5 M1", f"""
 WITH {SPLIT}, cells AS (SELECT vec_id, split, CAST(i AS INT) AS dim, CAST(embedding[i + 1] AS DOUBLE) AS x FROM divided, range(64) r(i)),
 stats AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM cells WHERE split = 'train' GROUP BY dim)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from gridprobe.catalog.labelling import SEED, SPLIT
@@ -9,21 +11,29 @@ from gridprobe.catalog.registry import query, reader, rounded
 from gridprobe.functions import vectors
 from gridprobe.operators import metrics, runs, splits
 
-# The first ten elements of a vector stand for the logits of its ten classes.
-LOGITS = "[CAST(x AS DOUBLE) for x in embedding[1:10]]"
-SCORED = f"""scored AS (
-  SELECT *, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS pred,
-         ln(list_sum([exp(x) for x in {LOGITS}])) - {LOGITS}[label + 1] AS ce FROM divided)"""
-PREDICTED = "predicted AS (SELECT *, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS pred FROM embeddings)"
+# All elements of a vector fold into the logits of ten classes: logit c sums those at places c, c + 10, and so on. Both
+# sides add from left to right, so the sums are equal to the last bit.
+FOLDED = "[" + ", ".join("(" + " + ".join(f"CAST(embedding[{i}] AS DOUBLE)" for i in range(c + 1, 65, 10)) + ")" for c in range(10)) + "]"
+SCORED = f"""folded AS (SELECT * EXCLUDE (embedding), {FOLDED} AS logits FROM divided),
+scored AS (
+  SELECT *, list_position(logits, list_max(logits)) - 1 AS pred, ln(list_sum([exp(x) for x in logits])) - logits[label + 1] AS ce FROM folded)"""
+PREDICTED = f"""folded AS (SELECT vec_id, label, {FOLDED} AS logits FROM embeddings),
+predicted AS (SELECT *, list_position(logits, list_max(logits)) - 1 AS pred FROM folded)"""
+
+
+def logits():
+    """Ten logits from the 64 elements of a vector."""
+    at = lambda i: F.col("embedding")[i].cast("double")
+    return F.array(*[reduce(lambda a, b: a + b, [at(i) for i in range(c, 64, 10)]) for c in range(10)])
 
 
 def divided(spark, sf):
     df = splits.shuffle_split(reader(spark, sf)("embeddings"), "vec_id", SEED)
-    return df.withColumn("logits", F.slice("embedding", 1, 10))
+    return df.withColumn("logits", logits())
 
 
 def predicted(spark, sf):
-    df = reader(spark, sf)("embeddings").select("vec_id", "label", F.slice("embedding", 1, 10).alias("logits"))
+    df = reader(spark, sf)("embeddings").select("vec_id", "label", logits().alias("logits"))
     return df.withColumn("pred", vectors.argmax(F.col("logits")))
 
 
@@ -69,7 +79,7 @@ def confusion_matrix(spark, sf):
 @query("A9 E8", f"""
 WITH {SPLIT}, {SCORED} SELECT vec_id, round(ce, 6) + 0.0 AS loss FROM scored""")
 def cross_entropy_rows(spark, sf):
-    loss = vectors.cross_entropy(F.slice("embedding", 1, 10), F.col("label"))
+    loss = vectors.cross_entropy(logits(), F.col("label"))
     return reader(spark, sf)("embeddings").select("vec_id", rounded(loss).alias("loss"))
 
 

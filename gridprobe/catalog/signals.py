@@ -36,9 +36,9 @@ def silent_samples(spark, sf):
     return guards.silent_count(df.withColumn("is_silent", signal.is_silent(F.col("samples"))))
 
 
-@query("X2 S8", f"""
-WITH cells AS ({CELLS})
-SELECT a.vec_id, a.i, round((a.x + b.x) / 2, 6) + 0.0 AS x FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND b.i = a.i + 32""")
+@query("X2 S8", """
+SELECT vec_id, CAST(i AS INT) AS i, round((CAST(embedding[i + 1] AS DOUBLE) + CAST(embedding[i + 33] AS DOUBLE)) / 2, 6) + 0.0 AS x
+FROM embeddings, range(32) AS t(i)""")
 def downmixed_channels(spark, sf):
     channels = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
     df = vectors(spark, sf).withColumn("mono", signal.downmix(channels))

@@ -38,13 +38,17 @@ def encode(df: DataFrame, column: str, name: str | None = None, limit: int = SMA
     return df.join(F.broadcast(codes), column, "left")
 
 
-def one_hot(df: DataFrame, column: str, limit: int = SMALL_DOMAIN) -> DataFrame:
-    """Add ``<column>_ohe``: a float vector in sorted class order."""
-    values = small_domain(df, column, limit)
-    if values is None:
-        raise ValueError(f"{column} has more than {limit} classes; a dense vector per row would not fit")
-    coded = encode(df, column, "_code", limit)
-    return coded.withColumn(f"{column}_ohe", vectors.one_hot(F.col("_code"), len(values))).drop("_code")
+def one_hot(df: DataFrame, column: str, coded: str | None = None) -> DataFrame:
+    """Add ``<column>_ohe``: a float vector in sorted class order, as long as there are classes.
+
+    ``coded`` names a column that has the codes already.
+    """
+    ready = df if coded else encode(df, column, "_code")
+    code = coded or "_code"
+    # One number, whatever the size of the domain; the highest code is its last class.
+    size = ready.agg(F.coalesce(F.max(code) + 1, F.lit(0))).first()[0]
+    shown = ready.withColumn(f"{column}_ohe", vectors.one_hot(F.col(code), size))
+    return shown if coded else shown.drop("_code")
 
 
 def format_labels(df: DataFrame, column: str, output_type: str) -> DataFrame:
@@ -54,7 +58,7 @@ def format_labels(df: DataFrame, column: str, output_type: str) -> DataFrame:
     if output_type == "regression":
         return min_max(df, column, column)
     if output_type == "multiclass":
-        return one_hot(encode(df, column), column)
+        return one_hot(encode(df, column), column, f"{column}_encoded")
     raise ValueError(f"Unsupported output type: {output_type}")
 
 

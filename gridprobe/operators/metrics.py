@@ -5,13 +5,10 @@ Every metric is a plain aggregate, so it combines inside each task before the sh
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridprobe.functions import vectors
-from gridprobe.operators.small import broadcast_if_small
 
 
 def _mean_of(flag: Column) -> Column:
@@ -99,18 +96,20 @@ def regression(df: DataFrame, label: str, prediction: str, *by: str) -> DataFram
 def best_per(df: DataFrame, metric: str, config: list[str], *by: str) -> DataFrame:
     """The configuration with the highest metric per group; equal metrics go to the smallest one.
 
-    The best value per group is a hash aggregate over one number. Only rows that reach it go on to be
-    compared as records, which would need a sort for all of them.
+    One pass: each task keeps one record per group. A metric that is NULL or NaN never wins, and a group
+    without any other has no row.
     """
-    tops = df.groupBy(*by).agg(F.max(metric).alias("_top"))
-    tops = tops.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_top")
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    reached = df.join(broadcast_if_small(tops), reduce(lambda a, b: a & b, [F.col(metric) == F.col("_top"), *same]), "left_semi")
-    first = F.min(F.struct(*config)).alias("_c")
-    return reached.groupBy(*by).agg(F.first(metric).alias(metric), first).select(*by, metric, "_c.*")
+    value = F.col(metric).cast("double")
+    scored = df.filter(value.isNotNull() & ~F.isnan(value))
+    first = F.min_by(F.struct(metric, *config), F.struct(-value, *config)).alias("_c")
+    return scored.groupBy(*by).agg(first).select(*by, "_c.*")
+
+
+def not_nan(score: Column) -> Column:
+    """The score; a NaN fails the job."""
+    return F.when(F.isnan(score), F.raise_error(F.lit("NaN score")).cast("double")).otherwise(score)
 
 
 def reject_nan(df: DataFrame, score: str) -> DataFrame:
     """Fail the job on a NaN score."""
-    bad = F.raise_error(F.lit("NaN score"))
-    return df.withColumn(score, F.when(F.isnan(score), bad.cast("double")).otherwise(F.col(score)))
+    return df.withColumn(score, not_nan(F.col(score)))

@@ -48,13 +48,14 @@ def list_exports(paths: DataFrame, configs: DataFrame, concept: str, path: str =
     named = paths.withColumn("file_name", name).filter(F.startswith(name, F.lit(concept)))
     hashed = named.withColumn("model_hash", export_hash(F.col("file_name")))
     return hashed.join(configs, "model_hash").withColumns({
+        "concept": F.lit(concept),
         "model_size": model_size(F.col("model_name")), "model_type": model_family(F.col("model_name")),
     })
 
 
 def match_exports(configs: DataFrame, exports: DataFrame) -> DataFrame:
-    """Add to each (model_size, model_type, model_layer) the last path, by name, whose export has
-    more than that many layers; NULL if there is none.
+    """Add to each (concept, model_size, model_type, model_layer) the last path, by name, among the concept's
+    exports that have more than that many layers; NULL if there is none.
 
     The layer test is an inequality, but no pair of rows is ever formed for it: exports fold to one
     path per (size, family, layer count), a running maximum from the deepest down answers each layer,
@@ -62,25 +63,25 @@ def match_exports(configs: DataFrame, exports: DataFrame) -> DataFrame:
     """
     folded = (
         exports.withColumn("_f", family_key(F.col("model_type")))
-        .groupBy(F.col("model_size").alias("_s"), "_f", F.col("n_layers").alias("_n"))
+        .groupBy(F.col("concept").alias("_c"), F.col("model_size").alias("_s"), "_f", F.col("n_layers").alias("_n"))
         .agg(F.max("path").alias("_p"))
     )
-    deepest_first = Window.partitionBy("_s", "_f").orderBy(F.desc("_n"))
+    deepest_first = Window.partitionBy("_c", "_s", "_f").orderBy(F.desc("_n"))
     shallower = F.coalesce(F.lead("_n").over(deepest_first), F.lit(0))
     answers = folded.withColumns({
         "export_path": F.max("_p").over(deepest_first.rowsBetween(Window.unboundedPreceding, 0)),
         "_from": shallower,
     }).filter("_n > _from")
     by_layer = answers.select(
-        "_s", "_f", "export_path", F.explode(F.sequence(F.col("_from"), F.col("_n") - 1)).alias("_l")
+        "_c", "_s", "_f", "export_path", F.explode(F.sequence(F.col("_from"), F.col("_n") - 1)).alias("_l")
     )
     keyed = configs.withColumn("_k", family_key(F.col("model_type")))
     matched = keyed.join(
         broadcast_if_small(by_layer),
-        (F.col("model_size") == F.col("_s")) & (F.col("_k") == F.col("_f")) & (F.col("model_layer") == F.col("_l")),
+        (F.col("concept") == F.col("_c")) & (F.col("model_size") == F.col("_s")) & (F.col("_k") == F.col("_f")) & (F.col("model_layer") == F.col("_l")),
         "left",
     )
-    return matched.drop("_k", "_s", "_f", "_l")
+    return matched.drop("_k", "_c", "_s", "_f", "_l")
 
 
 def task_targets(df: DataFrame, concept: str) -> DataFrame:

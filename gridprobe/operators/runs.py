@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridprobe.operators import metrics
 from gridprobe.operators.grid import floor_div
 
 CHUNK_STEPS = 65_536
@@ -27,14 +28,16 @@ def early_stopping(
 
     Evaluations count in step order. An evaluation that beats the best so far strictly resets the
     boredom, any other adds one. The run stops at the evaluation after boredom reaches ``patience``
-    and keeps the best score up to there. ``stop_step`` is NULL for a run that never stops.
+    and keeps the best score up to there. ``stop_step`` is NULL for a run that never stops. A NaN score is
+    an error.
 
     The log is shuffled once, by run and chunk. The best of a chunk can only be the first row that
     reaches its maximum, so chunk summaries hold all that later chunks need to know.
     """
-    value = -F.col(score) if negate else F.col(score)
+    given = metrics.not_nan(F.col(score).cast("double"))
+    value = -given if negate else given
     log = df.select(
-        run, F.col(step).alias("_step"), value.cast("double").alias("_v"),
+        run, F.col(step).alias("_step"), value.alias("_v"),
         _chunk_of(F.col(step), chunk_steps).alias("_chunk"),
     )
     # Stated here, so that both readers below have the same filter and share one shuffle.
@@ -86,14 +89,16 @@ def first_of_each_stretch(df: DataFrame, order: str, category: str, chunk_steps:
     """Rows whose category differs from the row before, in the order of a unique integer.
 
     Rows look back inside their chunk; a chunk's first row looks at the last category of the nearest
-    chunk before it.
+    chunk before it. NULL is a category like any other.
     """
     chunk = _chunk_of(F.col(order), chunk_steps)
     log = df.withColumn("_chunk", chunk).filter(F.col("_chunk").isNotNull())
     here = Window.partitionBy("_chunk").orderBy(order)
-    log = log.withColumns({"_place": F.row_number().over(here), "_prev": F.lag(category).over(here)})
+    # In a struct, a NULL category differs from there being no row.
+    log = log.withColumn("_category", F.struct(F.col(category).alias("value")))
+    log = log.withColumns({"_place": F.row_number().over(here), "_prev": F.lag("_category").over(here)})
     # Read from the sorted log, which both branches share.
-    ends = log.groupBy("_chunk").agg(F.max_by(category, order).alias("_end"))
+    ends = log.groupBy("_chunk").agg(F.max_by("_category", order).alias("_end"))
     # Chunk ends are scanned in groups too; a second summary carries the last end across groups.
     ends = ends.withColumn("_group", _chunk_of(F.col("_chunk"), chunk_steps))
     inside = Window.partitionBy("_group").orderBy("_chunk")
@@ -107,6 +112,6 @@ def first_of_each_stretch(df: DataFrame, order: str, category: str, chunk_steps:
     joined = log.join(borders, "_chunk")
     previous = F.when(F.col("_place") == 1, F.col("_border")).otherwise(F.col("_prev"))
     kept = joined.withColumn("_before", previous).filter(
-        F.col("_before").isNull() | (F.col("_before") != F.col(category))
+        F.col("_before").isNull() | ~F.col("_before.value").eqNullSafe(F.col(category))
     )
     return kept.select(*df.columns)

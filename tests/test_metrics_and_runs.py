@@ -98,7 +98,9 @@ def test_instrument_filters(spark):
 
 
 def test_best_per_group(spark):
-    df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.9), ("a", 3, 0.9), ("b", 7, 0.1)], "c string, layer int, m double")
+    nan = float("nan")
+    rows = [("a", 1, 0.5), ("a", 2, 0.9), ("a", 3, 0.9), ("a", 4, nan), ("a", 5, None), ("b", 7, 0.1), ("c", 1, nan)]
+    df = spark.createDataFrame(rows, "c string, layer int, m double")
     got = {r["c"]: (r["layer"], r["m"]) for r in metrics.best_per(df, "m", ["layer"], "c").collect()}
     assert got == {"a": (2, 0.9), "b": (7, 0.1)}
 
@@ -106,16 +108,17 @@ def test_best_per_group(spark):
 def test_export_matching_takes_the_last_deep_enough_path(spark):
     rng = random.Random(2)
     families = ["MUSICGEN_DECODER_LM", "MUSICGEN_DECODER", "JUKEBOX"]
-    exports = [(f"p{i:03d}", rng.choice("LMS"), rng.choice(families), rng.randint(1, 9)) for i in range(60)]
-    configs = [(i, rng.choice("LMS"), rng.choice(families), rng.randint(0, 10)) for i in range(200)]
+    concepts = ["chords", "tempos"]
+    exports = [(f"p{i:03d}", rng.choice("LMS"), rng.choice(families), rng.randint(1, 9), rng.choice(concepts)) for i in range(90)]
+    configs = [(i, rng.choice("LMS"), rng.choice(families), rng.randint(0, 10), rng.choice(concepts)) for i in range(200)]
     key = lambda f: f.split("_LM")[0] if f.startswith("MUSICGEN_DECODER") else f
     expected = {}
-    for i, size, family, layer in configs:
-        fits = [p for p, s, f, n in exports if s == size and key(f) == key(family) and n > layer]
+    for i, size, family, layer, concept in configs:
+        fits = [p for p, s, f, n, c in exports if (s, c) == (size, concept) and key(f) == key(family) and n > layer]
         expected[i] = max(fits, default=None)
     got = registry.match_exports(
-        spark.createDataFrame(configs, "id int, model_size string, model_type string, model_layer int"),
-        spark.createDataFrame(exports, "path string, model_size string, model_type string, n_layers int"),
+        spark.createDataFrame(configs, "id int, model_size string, model_type string, model_layer int, concept string"),
+        spark.createDataFrame(exports, "path string, model_size string, model_type string, n_layers int, concept string"),
     )
     assert {r["id"]: r["export_path"] for r in got.collect()} == expected
 

@@ -120,8 +120,25 @@ def test_signature_text_sorts_as_text(spark):
 def test_one_hot(spark):
     df = labels.one_hot(spark.createDataFrame([("x",), ("y",), ("x",)], "v string"), "v")
     assert {(r["v"], tuple(r["v_ohe"])) for r in df.collect()} == {("x", (1.0, 0.0)), ("y", (0.0, 1.0))}
-    with pytest.raises(ValueError, match="more than 1 classes"):
-        labels.one_hot(df, "v", limit=1)
+    coded = labels.encode(df.drop("v_ohe"), "v", "code")
+    assert labels.one_hot(coded, "v", "code").first()["v_ohe"] in ([1.0, 0.0], [0.0, 1.0])
+
+
+def test_infinite_and_missing_keys_have_ranks(spark, monkeypatch):
+    """The same cut points whether stretches are sorted at once or searched by histogram."""
+    inf, nan = float("inf"), float("nan")
+    values = [inf, -inf, nan, 1e308, -1e308, 5e-324, 0.0, -0.0, None] * 60 + [float(i) ** 7 for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(values)), "row_id long, v double")
+    wanted = lambda n: list(range(0, n, 37))
+    direct = ranks.keys_at_ranks(df, "v", "row_id", wanted)
+    monkeypatch.setattr(ranks, "DIRECT_ROWS", 20)
+    searched = ranks.keys_at_ranks(df, "v", "row_id", wanted)
+    order = sorted((v != v, v, i) if v == v else (True, 0.0, i) for i, v in enumerate(values) if v is not None)
+    assert direct[0] == searched[0] == len(order)
+    for rank in wanted(len(order)):
+        assert direct[1][rank][0] == searched[1][rank][0] or direct[1][rank][0] != direct[1][rank][0]
+        assert direct[1][rank][0] == order[rank][1] or order[rank][0]
+        assert direct[1][rank][1] == searched[1][rank][1] == order[rank][2]
 
 
 def test_label_formats(spark):
