@@ -7,9 +7,11 @@ only identify a configuration. A hidden layer uses the library's own activation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import count
 from pathlib import PurePosixPath
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -27,11 +29,13 @@ from pyspark.sql import functions as F
 
 from gridprobe.functions import fixed_values as fv
 from gridprobe.functions import vectors
+from gridprobe.functions.literals import literal
 from gridprobe.functions.signal import widen
 from gridprobe.operators import labels, metrics, scaling, splits
 from gridprobe.sources import sinks
 from gridprobe.sources.configs import ProbeConfig
 
+# Passes over the training rows where a configuration names none.
 ITERATIONS = 100
 _LOADERS = {
     "LogisticRegressionModel": LogisticRegressionModel,
@@ -81,7 +85,7 @@ class Probe:
     def features(self, df: DataFrame, embedding: str = "embedding") -> DataFrame:
         wide = widen(F.col(embedding))
         if self.means is not None:
-            wide = vectors.standardised(F.col(embedding), F.lit(self.means), F.lit(self.deviations))
+            wide = vectors.standardised(F.col(embedding), literal(self.means), literal(self.deviations))
         return df.withColumn("features", array_to_vector(wide))
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -93,8 +97,13 @@ class Probe:
         return scored.withColumn("logits", logits).drop("features", "rawPrediction", "probability")
 
 
-def fit(train: DataFrame, config: ProbeConfig, output_type: str, iterations: int = ITERATIONS) -> Probe:
-    """Fit on the training rows (y, embedding); the scaler is fitted once, on the same rows."""
+def fit(train: DataFrame, config: ProbeConfig, output_type: str, iterations: int | None = None) -> Probe:
+    """Fit on the training rows (y, embedding); the scaler is fitted once, on the same rows.
+
+    ``max_num_epochs`` of the configuration bounds the solver's passes unless ``iterations`` does; the solver
+    ends earlier when it has converged.
+    """
+    iterations = iterations or config["max_num_epochs"] or ITERATIONS
     means = deviations = None
     if config["data_standardization"]:
         # One row of two vectors as wide as one embedding.
@@ -122,13 +131,13 @@ def fit(train: DataFrame, config: ProbeConfig, output_type: str, iterations: int
 
 
 def fit_with_early_stopping(
-    train: DataFrame, valid: DataFrame, config: ProbeConfig, max_rounds: int = 1000
+    train: DataFrame, valid: DataFrame, config: ProbeConfig, max_rounds: int | None = None
 ) -> tuple[Probe, list[dict]]:
     """Train a classifier in rounds and keep the round with the best validation metric.
 
     A round continues from the weights of the round before for ``early_stopping_eval_frequency``
     iterations. Training ends when ``early_stopping_boredom`` rounds in turn brought nothing better, or
-    after ``max_rounds``. Also returns the log, one record per round.
+    after ``max_rounds``, by default as many as ``max_num_epochs`` has room for. A NaN metric is an error. Also returns the log, one record per round.
     """
     means = deviations = None
     if config["data_standardization"]:
@@ -146,12 +155,17 @@ def fit_with_early_stopping(
             maxIter=config["early_stopping_eval_frequency"],
         )
         log, best, boredom = [], None, 0
-        for step in range(max_rounds):
-            if boredom >= config["early_stopping_boredom"]:
+        every = config["early_stopping_eval_frequency"]
+        if max_rounds is None and config["max_num_epochs"]:
+            max_rounds = -(-config["max_num_epochs"] // every)
+        for step in count():
+            if boredom >= config["early_stopping_boredom"] or step == max_rounds:
                 break
             model = learner.fit(train)
             learner.setInitialWeights(model.weights)
             score = sign * evaluate(Probe(config, model, means, deviations), valid).first()[metric]
+            if math.isnan(score):
+                raise ValueError(f"{metric} is NaN in round {step}")
             boredom = 0 if best is None or score > best[0] else boredom + 1
             if boredom == 0:
                 best = (score, model)
@@ -178,7 +192,7 @@ def confusion(probe: Probe, rows: DataFrame) -> DataFrame:
 
 def sweep(
     rows: DataFrame, configs: Iterable[ProbeConfig], output_type: str, parallelism: int = 4,
-    iterations: int = ITERATIONS,
+    iterations: int | None = None,
 ) -> DataFrame:
     """Fit and evaluate many configurations of one (concept, model, layer) over one feature table.
 

@@ -8,6 +8,7 @@ from itertools import groupby
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridprobe.functions.hashing import canonical_json
 from gridprobe.operators import registry
 from gridprobe.plans import probes
 from gridprobe.sources import sinks
@@ -23,28 +24,57 @@ def config_of(row: dict, seed: int = 0) -> ProbeConfig:
     return probe_config(*[row[k] for k in FEATURE_KEYS], seed=seed, num_classes=row.get("num_classes"), **hyper)
 
 
+# Parameters that the solvers here do not have. Configurations that differ in nothing else are one fit.
+WITHOUT_EFFECT = ("batch_size", "learning_rate", "dropout_p")
+
+
+def effective(config: ProbeConfig, output_type: str) -> str:
+    """A key that is equal for configurations with the same fit."""
+    ignored = [*WITHOUT_EFFECT]
+    if output_type == "regression":
+        ignored.append("hidden_layer_sizes")
+    elif config["hidden_layer_sizes"]:
+        ignored.append("l2_weight_decay")
+    return canonical_json({k: v for k, v in config.items() if k not in ignored})
+
+
 def run_sweep(
     spark: SparkSession, rows: DataFrame, exports: DataFrame, load: Callable[[str, str, int], DataFrame],
-    metrics_path: str, seed: int = 0, parallelism: int = 4, iterations: int = probes.ITERATIONS,
+    metrics_path: str, seed: int = 0, parallelism: int = 4, iterations: int | None = None,
 ) -> DataFrame:
-    """Fit and evaluate the sweep rows, append the metrics, and return them.
+    """Fit and evaluate the sweep rows, append the metrics, and return those of this sweep.
 
     ``load(concept, export_path, layer)`` gives assembled rows. Configurations that read the same
-    features share one persisted table; a group's metrics are stored when it is done, so a sweep that
-    was interrupted keeps them. The sweep itself is a list of at most a few thousand rows; those
-    without an export are skipped.
+    features share one persisted table, those that have the same fit share it, and every one gets its
+    metrics. A group's metrics are stored when it is done, and configurations whose metrics are stored are
+    not fitted again, so an interrupted sweep goes on and a finished one adds nothing. The sweep itself
+    is a list of at most a few thousand rows; those without an export are skipped.
     """
     matched = registry.match_exports(rows, exports).filter(F.col("export_path").isNotNull())
     listed = [r.asDict() for r in matched.orderBy(*FEATURE_KEYS).toLocalIterator()]
+    known = set()
+    if sinks.exists(spark, metrics_path):
+        known = {r["uid"] for r in spark.read.parquet(metrics_path).select("uid").distinct().toLocalIterator()}
+    uids = set()
     for key, group in groupby(listed, key=lambda r: (*[r[k] for k in FEATURE_KEYS], r["export_path"])):
         concept, family, size, layer, path = key
-        configs = list({c.uid(): c for c in (config_of(r, seed) for r in group)}.values())
+        configs = {c.uid(): c for c in (config_of(r, seed) for r in group)}
+        uids |= set(configs)
+        output_type = probes.concept_output_type(concept)
+        same_fit: dict[str, list[str]] = {}
+        for uid, config in sorted(configs.items()):
+            if uid not in known:
+                same_fit.setdefault(effective(config, output_type), []).append(uid)
+        if not same_fit:
+            continue
         done = probes.sweep(
-            load(concept, path, layer), configs, probes.concept_output_type(concept), parallelism, iterations
+            load(concept, path, layer), [configs[u[0]] for u in same_fit.values()], output_type, parallelism, iterations
         )
-        tagged = done.select(
+        fanned = spark.createDataFrame([(u[0], uid) for u in same_fit.values() for uid in u], "uid string, each string")
+        tagged = done.join(F.broadcast(fanned), "uid").select(
             F.lit(concept).alias("concept"), F.lit(family).alias("model_type"), F.lit(size).alias("model_size"),
-            F.lit(layer).alias("layer"), "uid", "split", "metric", "value",
+            F.lit(layer).alias("layer"), F.col("each").alias("uid"), "split", "metric", "value",
         )
         sinks.append_metrics(tagged, metrics_path)
-    return spark.read.parquet(metrics_path)
+    mine = spark.createDataFrame([(u,) for u in sorted(uids)], "uid string")
+    return spark.read.parquet(metrics_path).join(F.broadcast(mine), "uid", "left_semi")

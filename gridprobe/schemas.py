@@ -24,7 +24,7 @@ DATASETS = {
 
 MODEL_CONFIG = "dataset STRING, model_hash STRING, config STRING"
 EMBEDDING = "dataset STRING, model_hash STRING, layer INT, row_id BIGINT, embedding ARRAY<FLOAT>"
-SHARD_STATUS = "dataset STRING, model_hash STRING, shard INT, status STRING, message STRING, ts TIMESTAMP"
+SHARD_STATUS = "dataset STRING, model_hash STRING, shard INT, status STRING, message STRING, ts TIMESTAMP, run STRING"
 METRICS = "uid STRING, step INT, split STRING, metric STRING, value DOUBLE"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,21 +75,26 @@ def publish(
     spark = df.sparkSession
     if exists(spark, path):
         raise RuntimeError(f"a table exists already at {path}")
-    staging = f"{path.rstrip('/')}.staging-{config_checksum({'path': path})[:12]}"
-    done = False
+    # A name of its own, so that two publishers of one path do not mix their files.
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     try:
-        (ordered(df, row_id, files) if row_id else df).write.mode("overwrite").parquet(staging)
+        if row_id:
+            # A range shuffle samples its input before it reads it. It samples files here, so that what made
+            # the rows runs once.
+            df.write.parquet(f"{staging}/rows")
+            ordered(spark.read.schema(df.schema).parquet(f"{staging}/rows"), row_id, files).write.parquet(f"{staging}/ordered")
+            delete(spark, f"{staging}/rows")
+        else:
+            df.write.parquet(f"{staging}/ordered")
         if check:
-            check(spark.read.parquet(staging))
-        _, source, fs = _fs(spark, staging)
+            check(spark.read.parquet(f"{staging}/ordered"))
+        _, source, fs = _fs(spark, f"{staging}/ordered")
         hadoop, target, _ = _fs(spark, path)
         fs.mkdirs(target.getParent())
         if exists(spark, path) or not fs.rename(source, target):
             raise RuntimeError(f"could not move the finished table to {path}")
-        done = True
     finally:
-        if not done:
-            delete(spark, staging)
+        delete(spark, staging)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

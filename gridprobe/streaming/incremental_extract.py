@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gridprobe.plans.embedding_job import extract
 
 
-def extract_stream(stream: DataFrame, load: Callable, path: str, checkpoint: str) -> StreamingQuery:
+def extract_stream(stream: DataFrame, load: Callable, path: str, checkpoint: str, element: str = "float") -> StreamingQuery:
     """Append the vectors of new rows to ``path``.
 
     Row ids seen so far are state of the stream, spread over its partitions, so a batch costs its own
@@ -19,7 +19,7 @@ def extract_stream(stream: DataFrame, load: Callable, path: str, checkpoint: str
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        extract(batch, load).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        extract(batch, load, element=element).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         stream.dropDuplicates(["row_id"]).writeStream.option("checkpointLocation", checkpoint)

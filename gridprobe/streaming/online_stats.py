@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridprobe.functions.signal import widen
+from gridprobe.sources import sinks
 
 
 def dimension_stats(stream: DataFrame, column: str) -> DataFrame:
@@ -29,11 +30,13 @@ def value_stats(stream: DataFrame, value: str, *by: str) -> DataFrame:
 def keep_latest(stats: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write the whole statistics table after every batch, one folder per batch id.
 
-    The folder of a replayed batch is replaced, so a restart never mixes two versions.
+    The folder of a replayed batch is replaced, so a restart never mixes two versions. The version before stays
+    for readers that have begun; older ones go.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        sinks.delete(batch.sparkSession, f"{path}/batch_id={batch_id - 2}")
 
     return (
         stats.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)

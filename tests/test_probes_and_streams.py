@@ -85,8 +85,10 @@ def test_confusion_counts_every_row(classes):
 
 def test_sweep_skips_missing_exports_and_ranks_layers(spark, classes):
     rows = sweeps.sweep(spark, "musicgen").filter("concept = 'chords' and model_layer in (0, 30)")
-    exports = spark.createDataFrame([("a", "S", "MUSICGEN_DECODER_LM", 25), ("b", "L", "MUSICGEN_DECODER", 49)],
-                                    "path string, model_size string, model_type string, n_layers int")
+    exports = spark.createDataFrame(
+        [("a", "chords", "S", "MUSICGEN_DECODER_LM", 25), ("b", "chords", "L", "MUSICGEN_DECODER", 49), ("z", "tempos", "L", "MUSICGEN_DECODER", 49)],
+        "path string, concept string, model_size string, model_type string, n_layers int",
+    )
     matched = registry.match_exports(rows, exports)
     made = probes.sweep_configs(matched, lambda r: configs.probe_config(
         r["concept"], r["model_type"], r["model_size"], r["model_layer"], hidden_layer_sizes=[]))
@@ -119,10 +121,14 @@ def test_whole_sweep(spark, tmp_path):
         "model_type": ("JUKEBOX",), "model_size": ("L",), "model_layer": (0, 1), "concept": ("chords", "notes"),
         "hidden_layer_sizes": ((),), "l2_weight_decay": (None, 1e-4),
     }).filter("concept = 'chords'")
-    exports = spark.createDataFrame([("a", "L", "JUKEBOX", 1), ("b", "L", "JUKEBOX", 72)],
-                                    "path string, model_size string, model_type string, n_layers int")
+    exports = spark.createDataFrame(
+        [("a", "chords", "L", "JUKEBOX", 1), ("b", "chords", "L", "JUKEBOX", 72), ("c", "notes", "L", "JUKEBOX", 72)],
+        "path string, concept string, model_size string, model_type string, n_layers int",
+    )
     done = run_sweep(spark, rows, exports, load, str(tmp_path / "metrics"), iterations=40)
     assert done.select("layer", "uid").distinct().count() == 4
+    n = done.count()
+    assert run_sweep(spark, rows, exports, None, str(tmp_path / "metrics")).count() == n  # nothing is fitted again
     best = probes.best_layers(done, "concept", "model_type").first()
     assert best["layer"] == 1 and best["value"] > 0.9
 
