@@ -255,3 +255,74 @@ def notes_outside_range(spark, sf):
 
     notes = reader(spark, sf)("part").select("p_partkey", (F.col("p_partkey") % 150).cast("int").alias("note"))
     return guards.outside_midi_range(notes, "note")
+
+
+def _stored(spark, sf):
+    return reader(spark, sf)("embeddings").select(
+        F.lit("vectors").alias("dataset"), F.lit("abc").alias("model_hash"), (F.col("label") % 3).alias("layer"),
+        F.col("vec_id").alias("row_id"), "embedding",
+    )
+
+
+@query("E3 E4 B5 E5", """
+SELECT CAST(vec_id // 64 AS INT) AS dataset_shard, count(*) AS n FROM embeddings GROUP BY ALL""")
+def checked_store(spark, sf):
+    """A manifest and a store that agree in rows, shards, vector length and ids; the check would raise otherwise."""
+    rows = _stored(spark, sf).withColumn("layer", F.lit(0))
+    manifest = job.build_manifest(
+        rows.select("row_id", F.lit("a.wav").alias("synth_file_path")), "vectors", "MELSPEC", "abc", max_samples=64
+    )
+    path = scratch_path(spark, "store")
+    sinks.append_embeddings(rows, path)
+    store = tables.embeddings(spark, path, "vectors", "abc", layer=0)
+    job.check_store(manifest, store, max_samples=64)
+    return manifest.join(store.select("row_id"), "row_id").groupBy("dataset_shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("E1 S6", """
+SELECT label % 3 AS layer, count(*) AS n,
+       round(sum(CAST(embedding[1] AS DOUBLE) * CASE WHEN label % 3 = 1 THEN -1 ELSE 1 END), 6) + 0.0 AS total FROM embeddings GROUP BY ALL""")
+def replaced_layer(spark, sf):
+    """One layer of a store is rewritten; the others stay as they are."""
+    rows = _stored(spark, sf)
+    path = scratch_path(spark, "store")
+    sinks.append_embeddings(rows, path)
+    negated = rows.filter("layer = 1").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    sinks.replace_embeddings(negated, path)
+    stored = tables.embeddings(spark, path, "vectors", "abc")
+    total = F.sum(F.col("embedding")[0].cast("double"))
+    return stored.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), rounded(total).alias("total"))
+
+
+@query("S4 K5 P21", """
+SELECT lang AS dataset, count(*) AS n_documents, max(n_chars) AS longest FROM documents GROUP BY lang""")
+def stored_configs(spark, sf):
+    """A configuration per dataset, made from its rows, stored under its checksum and read back."""
+    found = reader(spark, sf)("documents").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.max("n_chars").alias("longest")
+    ).collect()
+    path = scratch_path(spark, "configs")
+    read = []
+    for row in found:
+        config = {"n_documents": row["n_documents"], "longest": row["longest"]}
+        checksum = sinks.save_model_config(spark, row["lang"], config, path)
+        back = tables.model_config(spark, path, row["lang"], checksum)
+        read.append((row["lang"], back["n_documents"], back["longest"]))
+    return spark.createDataFrame(read, "dataset string, n_documents long, longest long")
+
+
+@query("S2 K2 G1", """
+SELECT o_orderkey AS row_id, CAST(o_orderkey // 92 % 108 % 12 AS INT) AS root_note_pitch_class FROM orders""")
+def published_dataset(spark, sf):
+    """The notes whose ids are order keys, published and read back with the dataset's schema."""
+    from gridprobe import schemas
+    from gridprobe.catalog.grids import order_ids
+    from gridprobe.plans import datasets as ds
+
+    made = ds.notes(order_ids(spark, sf))
+    have = set(made.columns)
+    wanted = [part.split() for part in schemas.DATASETS["notes"].split(", ")]
+    full = made.select(*[(F.col(n) if n in have else F.lit(None)).cast(kind).alias(n) for n, kind in wanted])
+    path = scratch_path(spark, "notes")
+    sinks.publish(full, path)
+    return tables.dataset_table(spark, "notes", path).select("row_id", "root_note_pitch_class")
