@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log10
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,12 @@ from gridprobe.llm.common import blob_rows, fold_of, stage, texts
 FOLDS = 7
 HELD_OUT = 2
 STATES = 8
-ITERATIONS = 6
+ITERATIONS = 5
 # Words with at least 1 / FREQUENT of all tokens are a class of their own: at most FREQUENT words.
 FREQUENT = 2_000
 # Their number bounds the words whose counts every task holds; the counts of all others are joined.
 HELD_WORDS = 500_000
-# All other words fall into this many classes, by their ending.
+# All other words fall into this many classes, by the crc32 of their last four bytes.
 SHAPES = 1_024
 END = b""
 # Tokens whose chains are run at once.
@@ -46,15 +48,6 @@ class Counts:
     def classes(self) -> int:
         return len(self.class_tokens)
 
-    def word_class(self, word: bytes) -> int:
-        found = self.own.get(word)
-        return len(self.own) + shape(word) if found is None else found
-
-
-def shape(word: bytes) -> int:
-    """The class of a word by its last four bytes."""
-    return zlib.crc32(word[-4:]) % SHAPES
-
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, n) over the texts of the column ``text``; each text ends with the token ``END``.
@@ -109,14 +102,21 @@ class _Numbers(dict):
 
     def __init__(self, counts: Counts):
         super().__init__()
-        self.counts, self.words, self.classes, self.logs = counts, [], [], []
+        self.held, self.own, self.first_shape = counts.held, counts.own, len(counts.own)
+        self.words, self.classes, self.logs = [], array("h"), array("d")
 
     def __missing__(self, word: bytes) -> int:
-        n = self.counts.held.get(word)
+        n = self.held.get(word)
         number = self[word] = len(self.words)
         self.words.append(word)
-        self.classes.append(self.counts.word_class(word))
-        self.logs.append(-1.0 if n is None else float(np.log10(n + 1)))
+        if n is None:
+            # No frequent word is missing among the held ones, so this one has the class of its ending.
+            self.classes.append(self.first_shape + crc32(word[-4:]) % SHAPES if word else self.own[END])
+            self.logs.append(-1.0)
+        else:
+            place = self.own.get(word)
+            self.classes.append(self.first_shape + crc32(word[-4:]) % SHAPES if place is None else place)
+            self.logs.append(log10(n + 1))
         return number
 
 
@@ -140,7 +140,7 @@ def encoded(rows: DataFrame, counts: Counts) -> DataFrame:
                     numbers = _Numbers(c)
                 lot = [[*(text or b"").lower().split(), END] for text in values[start : start + 500]]
                 codes = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in lot]
-                classes, logs = np.array(numbers.classes, np.int16), np.array(numbers.logs)
+                classes, logs = np.array(numbers.classes), np.array(numbers.logs)
                 for code in codes:
                     seq, log = classes[code], logs[code]
                     held = log >= 0
@@ -198,33 +198,35 @@ def expected_counts(chain: Chain, seqs: list[np.ndarray]) -> np.ndarray:
     table, length = _windows(seqs, WINDOW)
     steps, states = len(table), len(chain.start)
     active = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")
-    move, emit = chain.move, chain.emit
-    fore, scale = [], []
+    # States are rows, so that every step works along long rows; single precision is ample for expected counts.
+    move = chain.move.astype(np.float32)
+    emit = np.ascontiguousarray(chain.emit.T, np.float32)
+    seen = [np.take(emit, table[t, :k], axis=1) for t, k in enumerate(active)]
+    turn = np.ascontiguousarray(move.T)
+    fore, shrink = [], []
     for t, k in enumerate(active):
-        a = (chain.start if t == 0 else fore[-1][:k] @ move) * emit[table[t, :k]]
-        total = a.sum(axis=1)
-        fore.append(a / total[:, None])
-        scale.append(total)
-    starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros_like(emit)
-    back = np.ones((active[-1], states))
-    gammas = []
+        a = (turn @ fore[-1][:, :k] if t else chain.start.astype(np.float32)[:, None]) * seen[t]
+        shrink.append(1 / a.sum(axis=0))
+        a *= shrink[-1]
+        fore.append(a)
+    moves = np.zeros((states, states))
+    back = np.ones((states, active[-1]), np.float32)
+    gammas = [None] * steps
     for t in range(steps - 1, -1, -1):
         k = active[t]
-        if len(back) < k:
-            back = np.vstack([back, np.ones((k - len(back), states))])
-        gammas.append(fore[t] * back)
-        if t == 0:
-            starts += gammas[-1].sum(axis=0)
-        else:
-            ahead = emit[table[t, :k]] * back / scale[t][:, None]
-            moves += fore[t - 1][:k].T @ ahead
-            back = ahead @ move.T
-    seen = np.concatenate([table[t, : active[t]] for t in range(steps - 1, -1, -1)])
-    gamma = np.concatenate(gammas)
-    for s in range(states):
-        emits[:, s] = np.bincount(seen, gamma[:, s], minlength=len(emit))
-    reached = sum(float(np.log10(s).sum()) for s in scale)
-    return np.concatenate((starts, (moves * move).ravel(), emits.ravel(), [reached]))
+        if back.shape[1] < k:
+            back = np.hstack([back, np.ones((states, k - back.shape[1]), np.float32)])
+        gammas[t] = fore[t] * back
+        if t:
+            ahead = seen[t] * back
+            ahead *= shrink[t]
+            moves += fore[t - 1][:, :k] @ ahead.T
+            back = move @ ahead
+    order = np.concatenate([table[t, :k] for t, k in enumerate(active)])
+    gamma = np.concatenate(gammas, axis=1)
+    emits = np.stack([np.bincount(order, gamma[s], minlength=emit.shape[1]) for s in range(states)], axis=1)
+    reached = -sum(float(np.log10(s, dtype=np.float64).sum()) for s in shrink)
+    return np.concatenate((gammas[0].sum(axis=1), (moves * chain.move).ravel(), emits.ravel(), [reached]))
 
 
 def sequence_scores(chain: Chain, seqs: list[np.ndarray]) -> np.ndarray:
@@ -235,18 +237,20 @@ def sequence_scores(chain: Chain, seqs: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate([seqs[i] for i in order]) if order else np.empty(0, np.int16)
     active = np.searchsorted(-length, -np.arange(1, (length[0] if order else 0) + 1), side="right")
     reached, state = np.zeros(len(order)), None
+    turn, emit = np.ascontiguousarray(chain.move.T), np.ascontiguousarray(chain.emit.T)
     for t, k in enumerate(active):
-        a = (chain.start if t == 0 else state[:k] @ chain.move) * chain.emit[flat[starts[:k] + t]]
-        total = a.sum(axis=1)
+        a = (turn @ state[:, :k] if t else chain.start[:, None]) * np.take(emit, flat[starts[:k] + t], axis=1)
+        total = a.sum(axis=0)
         reached[:k] += np.log10(total)
-        state = a / total[:, None]
+        a /= total
+        state = a
     out = np.empty(len(order))
     out[order] = reached
     return out
 
 
-def _batched(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[list]]:
-    """Values of columns, the first a sequence, in lots of about ``CHAINS`` tokens."""
+def _batched(batches: Iterator[pa.RecordBatch], size_of_lot: int, *columns: str) -> Iterator[list[list]]:
+    """Values of columns, the first a sequence, in lots of about so many tokens."""
     held: list[list] = [[] for _ in columns]
     size = 0
     for batch in batches:
@@ -255,7 +259,7 @@ def _batched(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[
             for values, value in zip(held, (seq, *row[1:])):
                 values.append(value)
             size += len(seq)
-            if size >= CHAINS:
+            if size >= size_of_lot:
                 yield held
                 held, size = [[] for _ in columns], 0
     if held[0]:
@@ -272,7 +276,7 @@ def trained(coded: DataFrame, counts: Counts, iterations: int = ITERATIONS) -> C
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
-            for (seqs,) in _batched(batches, "seq"):
+            for (seqs,) in _batched(batches, CHAINS, "seq"):
                 part = expected_counts(shared.value, seqs)
                 total = part if total is None else total + part
             if total is not None:
@@ -326,7 +330,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seqs, ids in _batched(batches, "seq", "row"):
+        for seqs, ids in _batched(batches, 4 * CHAINS, "seq", "row"):
             yield pa.record_batch({"row": pa.array(ids, pa.int64()), "chain": pa.array(sequence_scores(shared.value, seqs))})
 
     chained = coded.select("seq", "row").mapInArrow(work, "row long, chain double")
