@@ -19,7 +19,7 @@ from gridprobe.llm.common import blob_rows, fold_of, stage, texts
 FOLDS = 7
 HELD_OUT = 2
 STATES = 8
-ITERATIONS = 5
+ITERATIONS = 6
 # Words with at least 1 / FREQUENT of all tokens are a class of their own: at most FREQUENT words.
 FREQUENT = 2_000
 # Their number bounds the words whose counts every task holds; the counts of all others are joined.

@@ -94,5 +94,12 @@ def test_odd_documents(spark):
     assert all(math.isfinite(r["score"]) for r in rows)
 
 
+def test_training_has_six_passes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    score = lambda **more: {r["doc_id"]: r["score"] for r in hmm.scored(docs, **more).collect()}
+    whole, six, five = score(), score(iterations=6), score(iterations=5)
+    assert whole == pytest.approx(six, abs=1e-6) and whole != pytest.approx(five, abs=1e-6)
+
+
 def test_no_documents(spark):
     assert hmm.scored(no_documents(spark), iterations=1).collect() == []
