@@ -171,12 +171,81 @@ def descended(vectors: DataFrame, n: int, width: int, k: int, orders: int, seed:
     return graph
 
 
+def _replicated(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both tables once per block pair (one, two) of their group; ``ours`` tells the left ones."""
+    sizes = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("ones")).join(
+        right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("twos")), keys
+    )
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    columns = [*keys, "one", "two", "ours", "rep", "part", "sparse", "copies", "vec"]
+    ours = left.join(sizes, keys).withColumn("one", place("ones")).withColumn("two", upto("twos")).withColumn("ours", F.lit(True))
+    theirs = right.join(sizes, keys).withColumn("two", place("twos")).withColumn("one", upto("ones")).withColumn("ours", F.lit(False))
+    return ours.select(*columns).union(theirs.select(*columns))
+
+
+def _compared(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(rep, links, u, v): links per vector, and pairs (u, v) of parts that a link joins, from the rows of ``_replicated``.
+
+    A block pair returns counts and one row per pair of a part with the least part it is joined to, never
+    its pairs, so a dense group of m vectors costs m rows per block.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        x = _matrix(table.column("vec").combine_chunks())
+        rep, part, copies = (table.column(c).to_numpy() for c in ("rep", "part", "copies"))
+        ours = table.column("ours").to_numpy(zero_copy_only=False)
+        sparse = table.column("sparse").to_numpy(zero_copy_only=False)
+        a, b = np.flatnonzero(ours), np.flatnonzero(~ours)
+        linked = (x[a] @ x[b].T >= threshold) & (rep[a][:, None] != rep[b])
+        # Vectors of sparse parts ask nothing themselves, and are told here.
+        told = np.flatnonzero(sparse[b] & linked.any(axis=0))
+        i, j = np.nonzero(linked)
+        joins = np.unique(np.column_stack((part[a][i], part[b][j])), axis=0)
+        joins = joins[joins[:, 0] != joins[:, 1]]
+        none, blank = np.zeros(len(joins), np.int64), len(a) + len(told)
+        return pa.table({
+            "rep": pa.array(np.concatenate((rep[a], rep[b][told], joins[:, 0]))),
+            "links": pa.array(np.concatenate((linked @ copies[b], copies[a] @ linked[:, told], none))),
+            "u": pa.array([*[None] * blank, *joins[:, 0].tolist()], pa.int64()),
+            "v": pa.array([*[None] * blank, *joins[:, 1].tolist()], pa.int64()),
+        })
+
+    return stage(rows.groupBy(*keys, "one", "two").applyInArrow(compare, "rep long, links long, u long, v long"), "compared")
+
+
+def _near_parts(balls: DataFrame, threshold: float) -> DataFrame:
+    """(ask, part): for every dense part all parts that may hold a link to it, itself among them.
+
+    ``balls`` has (part, dense, radius, vec): all members of a part lie within the angle ``radius`` of ``vec``.
+    """
+    reach = math.acos(threshold) + 1e-6
+    blocks = max(1, -(-balls.count() // BLOCK))
+    block = F.pmod(F.xxhash64("part"), F.lit(blocks))
+    upto = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    ours = balls.filter("dense").withColumn("one", block).withColumn("two", upto).withColumn("ours", F.lit(True))
+    theirs = balls.withColumn("two", block).withColumn("one", upto).withColumn("ours", F.lit(False))
+
+    def pair(table: pa.Table) -> pa.Table:
+        x = _matrix(table.column("vec").combine_chunks())
+        part, radius = table.column("part").to_numpy(), table.column("radius").to_numpy()
+        ours = table.column("ours").to_numpy(zero_copy_only=False)
+        angle = np.arccos(np.clip(x[ours] @ x[~ours].T, -1, 1))
+        i, j = np.nonzero(angle <= radius[ours][:, None] + radius[~ours] + reach)
+        return pa.table({"ask": pa.array(part[ours][i]), "part": pa.array(part[~ours][j])})
+
+    columns = ["one", "two", "ours", "part", "radius", "vec"]
+    both = ours.select(*columns).union(theirs.select(*columns))
+    return both.groupBy("one", "two").applyInArrow(pair, "ask long, part long")
+
+
 def _whole_lists(graph: DataFrame, vectors: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Links of every vector as (rep, links), and edges that connect the linked ones.
+    """(rep, links, dense) of every linked vector, and (node, component) of them.
 
-    A vector whose whole list is within the threshold is saturated: it may have more links than its list holds.
-    Its list is enlarged to all members of its component. These are compared block by block; a block pair
-    returns a count per vector, never its pairs, so a dense group of m vectors costs m rows per block.
+    A vector whose list ends below the threshold has every link in it that the search has seen. One whose
+    whole list is within the threshold is saturated: it may have more. All members of its component are
+    compared, block by block, with the members of all components whose balls are near enough to hold a link,
+    and components that a link joins become one.
     """
     near = stage(graph.filter(F.col("sim") >= threshold).select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct(), "near")
     parts = stage(connected_components(near), "parts")
@@ -185,35 +254,28 @@ def _whole_lists(graph: DataFrame, vectors: DataFrame, k: int, threshold: float)
         F.sum("copies").alias("links"), F.count(F.lit(1)).alias("held")
     )
     full = degree.filter(F.col("held") >= k).select(F.col("u").alias("node")).join(parts, "node").select("component").distinct()
-    sizes = parts.join(full, "component").groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK)
-    member = (
-        parts.join(sizes, "component").join(vectors, F.col("node") == F.col("rep"))
-        .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "copies", "vec")
+    full = full.withColumn("full", F.lit(True))
+    member = stage(
+        parts.join(full, "component", "left").join(vectors, F.col("node") == F.col("rep"))
+        .select(F.col("component").alias("part"), F.col("full").isNull().alias("sparse"), "rep", "copies", "vec"), "linked",
     )
-
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x = _matrix(table.column("vec").combine_chunks())
-        block, copies = table.column("block").to_numpy(), table.column("copies").to_numpy()
-        first = block == key[1].as_py()
-        second = ~first if key[1] != key[2] else first
-        counts = np.zeros(len(x), np.int64)
-        linked = x[first] @ x[second].T >= threshold
-        if key[1] == key[2]:
-            np.fill_diagonal(linked, False)
-            counts[first] = linked @ copies[second]
-        else:
-            counts[first] = linked @ copies[second]
-            counts[second] = copies[first] @ linked
-        return pa.table({"rep": table.column("rep"), "links": pa.array(counts)})
-
-    dense = member.groupBy("component", "one", "two").applyInArrow(compare, "rep long, links long").groupBy("rep").agg(
-        F.sum("links").alias("links")
+    centre = member.filter("rep = part").select("part", F.col("vec").alias("centre"))
+    cosine = F.aggregate(F.zip_with("vec", "centre", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    radius = member.join(centre, "part").groupBy("part").agg(
+        F.max(F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))).alias("radius"), F.first("sparse").alias("sparse")
+    )
+    balls = radius.join(centre, "part").select("part", (~F.col("sparse")).alias("dense"), "radius", F.col("centre").alias("vec"))
+    asked = stage(_near_parts(stage(balls, "balls"), threshold), "asked")
+    left = member.filter("NOT sparse").withColumn("ask", F.col("part"))
+    found = _compared(_replicated(left, asked.join(member, "part"), ["ask"]), ["ask"], threshold)
+    kept = degree.join(parts, F.col("u") == F.col("node")).join(full, "component", "left_anti").select(F.col("u").alias("rep"), "links")
+    dense = member.select("rep", (~F.col("sparse")).alias("dense"))
+    links = found.filter("u IS NULL").select("rep", "links").union(kept).groupBy("rep").agg(F.sum("links").alias("links"))
+    joined = connected_components(found.filter("u IS NOT NULL").select("u", "v")).select(
+        F.col("node").alias("component"), F.col("component").alias("whole")
     )
-    sparse = degree.select(F.col("u").alias("rep"), "links").join(dense.select("rep"), "rep", "left_anti")
-    return stage(dense.union(sparse), "degrees"), parts
+    named = parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return stage(links.join(dense, "rep"), "degrees"), stage(named, "parts")
 
 
 def _audit(vectors: DataFrame, degrees: DataFrame, n: int, threshold: float) -> float:

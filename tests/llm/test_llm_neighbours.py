@@ -41,6 +41,17 @@ def test_all_links_with_saturated_lists(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows) and len(rows) == 300
 
 
+def test_links_between_groups_whose_own_members_are_nearer(spark):
+    rng = np.random.default_rng(5)
+    a, b = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+    centres = a, 0.97 * a + np.sqrt(1 - 0.97**2) * b
+    x = np.concatenate([c + 0.01 * rng.normal(size=(40, 16)) for c in centres] + [rng.normal(size=(60, 16))]).astype(np.float32)
+    ids = list(range(len(x)))
+    rows = neighbours.near_duplicates(frame(spark, ids, x), k=5).collect()
+    wanted = plain(ids, list(x))
+    assert wanted[0][0] > 60 and {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows} == wanted
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     x = [[1, 0], [2, 0.001], None, [], [0, 0], [nan, 1], [inf, 1], [None, 1], [-1, 0], [1e30, 0], [1e-30, 0], [-0.0, 1.0], [0.0, 1.0]]
