@@ -23,6 +23,8 @@ STILL = 0.01
 ROUNDS = 8
 # Vectors the recall is audited on, and what it must reach before the search is over.
 AUDITED = 256
+# The same outside saturated components.
+AUDITED_OPEN = 2_048
 RECALL = 0.98
 WIDENINGS = 4
 # Rows of a block when members of a component are compared.
@@ -278,11 +280,30 @@ def _whole_lists(graph: DataFrame, vectors: DataFrame, k: int, threshold: float)
     return stage(links.join(dense, "rep"), "degrees"), stage(named, "parts")
 
 
+def _all_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The same by comparing every block of vectors with every other: exact, and quadratic in the vectors."""
+    every = vectors.select(F.lit(0).alias("ask"), "rep", F.col("rep").alias("part"), F.lit(False).alias("sparse"), "copies", "vec")
+    found = _compared(_replicated(every, every, ["ask"]), ["ask"], threshold)
+    links = found.filter("u IS NULL").groupBy("rep").agg(F.sum("links").alias("links")).filter("links > 0")
+    parts = connected_components(found.filter("u IS NOT NULL").select("u", "v"))
+    return stage(links.withColumn("dense", F.lit(True)), "degrees"), stage(parts, "parts")
+
+
 def _audit(vectors: DataFrame, degrees: DataFrame, n: int, threshold: float) -> float:
-    """The part of links found, on a sample of vectors compared with all rows in blocks."""
-    asked = vectors.select("rep", "vec", F.xxhash64(F.lit("audit"), "rep").alias("mark")).filter(
-        hash_share(F.col("rep")) < 2 * AUDITED / max(n, 1)
-    ).orderBy("mark").limit(AUDITED).collect()
+    """The part of links found per linked vector, on samples compared with all rows in blocks: the least mean
+    over all vectors asked and over those of about equally many links.
+
+    Vectors outside saturated components, where links may be missed, and those inside are sampled apart, so
+    that a large group does not decide. Vectors without links say nothing.
+    """
+    known = vectors.join(degrees, "rep", "left").select(
+        "rep", "vec", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("dense", F.lit(False)).alias("dense"), F.xxhash64(F.lit("audit"), "rep").alias("mark")
+    )
+    asked = []
+    for where, size in (("dense", AUDITED), ("NOT dense", AUDITED_OPEN)):
+        rows = known.filter(where)
+        share = 2 * size / max(rows.count(), 1)
+        asked += rows.filter(hash_share(F.col("rep")) < share).orderBy("mark").limit(size).collect()
     if not asked:
         return 1.0
     ids, x = np.array([r["rep"] for r in asked]), np.array([r["vec"] for r in asked])
@@ -290,15 +311,25 @@ def _audit(vectors: DataFrame, degrees: DataFrame, n: int, threshold: float) ->
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = shared.value
+        total = np.zeros(len(ids), np.int64)
         for batch in batches:
             if batch.num_rows:
                 near = (_matrix(batch.column("vec")) @ x.T >= threshold) & (batch.column("rep").to_numpy()[:, None] != ids)
-                counts = batch.column("copies").to_numpy() @ near
-                yield pa.record_batch({"rep": pa.array(ids), "links": pa.array(counts.astype(np.int64))})
+                total += (batch.column("copies").to_numpy() @ near).astype(np.int64)
+        yield pa.record_batch({"rep": pa.array(ids), "links": pa.array(total)})
+
+    true = {r["rep"]: r["true"] for r in vectors.mapInArrow(compare, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("true")).collect()}
+    return least_recall([(r["links"], true[r["rep"]]) for r in asked])
+
 
-    true = vectors.mapInArrow(compare, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("true"))
-    both = true.join(degrees, "rep", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return both[1] / both[0] if both[0] else 1.0
+def least_recall(links: list[tuple[int, int]]) -> float:
+    """Of (found, true) per vector: the least mean of found / true, over all and by the power of two of true."""
+    groups: dict[int, list[float]] = {}
+    for found, true in links:
+        if true:
+            for group in (0, int(true).bit_length()):
+                groups.setdefault(group, []).append(min(found, true) / true)
+    return min((sum(g) / len(g) for g in groups.values()), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -307,8 +338,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     NN-descent over distinct vectors: neighbours of neighbours are compared and every vector keeps its ``k``
     best until the lists are still; saturated lists are enlarged (see ``_whole_lists``); then the recall of links
-    is audited on a sample against all rows, and as long as it is below ``RECALL`` the search goes on with more
-    orders and longer lists. Only pairs whose cosine, in double precision, reaches the threshold count.
+    per linked vector is audited on samples against all rows, and as long as it is below ``RECALL`` the search
+    goes on with more orders and longer lists. Where the last widening falls short, all pairs are compared. Only pairs whose cosine, in double precision, reaches the threshold count.
 
     Vectors that are NULL, empty, zero, or hold NULL or non-finite components link with nothing. Equal vectors
     link with each other. Rows with equal ids are separate vectors, each in the component of its own vector. A NULL id links
@@ -327,6 +358,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             degrees, parts = _whole_lists(graph, distinct, k_now, threshold)
             if _audit(distinct, degrees, n, threshold) >= RECALL:
                 break
+        else:
+            degrees, parts = _all_pairs(distinct, threshold)
     own = distinct.select("rep", "copies")
     if degrees is None:
         named = own.select("rep", F.lit(0).cast("long").alias("links"), F.col("rep").alias("component_id"))

@@ -52,6 +52,26 @@ def test_links_between_groups_whose_own_members_are_nearer(spark):
     assert wanted[0][0] > 60 and {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows} == wanted
 
 
+def test_audit_counts_vectors_not_links():
+    group = [(3999, 3999)] * 4000
+    assert neighbours.least_recall(group + [(1, 1)] * 200) == 1.0
+    assert neighbours.least_recall(group + [(0, 1)] * 200) == 0.0
+    assert neighbours.least_recall(group + [(200, 400)] * 400) == 0.5
+    assert neighbours.least_recall([(0, 0)]) == 1.0
+
+
+def test_short_recall_is_finished_exactly(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "WIDENINGS", 0)
+    monkeypatch.setattr(neighbours, "descended", lambda vectors, *a: vectors.selectExpr("rep AS src", "rep AS dst", "0D AS sim"))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8))
+    x[:20] = x[0] + 0.05 * rng.normal(size=(20, 8))
+    ids = list(range(60))
+    rows = neighbours.near_duplicates(frame(spark, ids, x.astype(np.float32)), k=5).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows} == plain(ids, list(x.astype(np.float32)))
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     x = [[1, 0], [2, 0.001], None, [], [0, 0], [nan, 1], [inf, 1], [None, 1], [-1, 0], [1e30, 0], [1e-30, 0], [-0.0, 1.0], [0.0, 1.0]]
