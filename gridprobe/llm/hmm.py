@@ -79,8 +79,8 @@ def summed_up(words: DataFrame) -> Counts:
     """The bounded part of a table of counts."""
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, distinct = int(total[0]), int(total[1])
-    # No more than HELD_WORDS words can have 1 / HELD_WORDS of the tokens each.
-    common = words.filter(F.col("n") >= tokens / HELD_WORDS).collect()
+    # No more than HELD_WORDS words can have 1 / HELD_WORDS of the tokens each. The end has a class of its own, however rare.
+    common = words.filter((F.col("n") >= tokens / HELD_WORDS) | (F.col("word") == END)).collect()
     held = {bytes(row["word"]): row["n"] for row in common}
     frequent = sorted(w for w, n in held.items() if n >= tokens / FREQUENT or w == END)
     own = {w: i for i, w in enumerate([*frequent, *([END] if END not in frequent else [])])}
@@ -323,7 +323,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     pairs = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("pair")).select(
         "row", F.col("pair.words").alias("word"), F.col("pair.times").alias("times")
     )
-    rare = words.filter(F.col("n") < counts.tokens / HELD_WORDS)
+    rare = words.filter((F.col("n") < counts.tokens / HELD_WORDS) & (F.col("word") != END))
     found = pairs.join(rare, "word").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_logs"), F.sum("times").alias("rare_known")
     )

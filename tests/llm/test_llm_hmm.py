@@ -94,6 +94,16 @@ def test_odd_documents(spark):
     assert all(math.isfinite(r["score"]) for r in rows)
 
 
+def test_a_rare_end_is_held(spark, monkeypatch):
+    # One end in 301 tokens, which is rarer than 1 / HELD_WORDS here.
+    monkeypatch.setattr(hmm, "HELD_WORDS", 50)
+    docs = spark.createDataFrame([(1, "a b c " * 100)], "doc_id long, text string")
+    counts = hmm.summed_up(hmm.word_counts(docs.select("text")))
+    place = counts.own[hmm.END]
+    assert counts.held[hmm.END] == 1 and counts.class_tokens[place] == counts.class_words[place] == 1
+    check_base([(1, "a b c " * 100)], hmm.scored(docs, iterations=1).collect())
+
+
 def test_training_has_six_passes(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
     score = lambda **more: {r["doc_id"]: r["score"] for r in hmm.scored(docs, **more).collect()}
