@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridprobe.llm import decontaminate, hmm, mixing, neighbours, quality, simhash, spans, toxicity, urls, warc
+from gridprobe.llm import bpe, decontaminate, hmm, mixing, neighbours, quality, simhash, spans, toxicity, urls, warc
 from gridprobe.session import scratch_path
 from gridprobe.sources import tables
 
@@ -203,3 +204,14 @@ def op9_simhash_window_decontamination(spark: SparkSession, folder: str) -> Data
 @query()
 def op10_hidden_markov_scores(spark: SparkSession, folder: str) -> DataFrame:
     return hmm.scored(tables.table(spark, folder, "documents"))
+
+
+@query()
+def op13_chunked_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    words = bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = tables.table(spark, folder, "documents").select("doc_id", "text")
+    both = bpe.decoded(bpe.encoded(docs, words), words)
+    return both.select(
+        "row.doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
