@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridprobe.llm import bpe, decontaminate, hmm, mixing, neighbours, quality, simhash, spans, toxicity, urls, warc
+from gridprobe.llm import audit, bpe, decontaminate, hmm, mixing, neighbours, quality, simhash, spans, toxicity, urls, warc
 from gridprobe.session import scratch_path
 from gridprobe.sources import tables
 
@@ -215,3 +215,56 @@ def op13_chunked_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "row.doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ),
+    marks AS (
+        SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+        FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+    ),
+    masks AS (
+        SELECT d.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+               CASE WHEN len(d.words) < 50 THEN 1 ELSE 0 END
+               + CASE WHEN 100 * len(list_distinct(d.words)) < 65 * len(d.words) THEN 2 ELSE 0 END
+               + CASE WHEN 100 * (length(d.text) - length(regexp_replace(d.text, '[A-Z]', '', 'g'))) > 5 * length(d.text) THEN 4 ELSE 0 END
+               + CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END
+               + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY d.text) THEN 16 ELSE 0 END AS mask
+        FROM d LEFT JOIN marks m ON m.doc_id = d.doc_id
+    ),
+    cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask),
+    letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(letter, bit)),
+    orders AS (
+        SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+               [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+        FROM letters a, letters b, letters c, letters d, letters e
+        WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+    ),
+    steps AS (
+        SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before
+        FROM orders, (SELECT unnest(range(1, 6)) AS step)
+    ),
+    counts AS (
+        SELECT c.part, s.filter_order, s.step, s.own,
+               sum(CASE WHEN c.mask & (s.before | s.own) = 0 THEN n ELSE 0 END) AS kept,
+               sum(CASE WHEN c.mask & s.own <> 0 AND c.mask & s.before = 0 THEN n ELSE 0 END) AS removed,
+               sum(CASE WHEN c.mask & s.own <> 0 AND c.mask & s.before <> 0 THEN n ELSE 0 END) AS redundant,
+               sum(CASE WHEN c.mask = s.own THEN n ELSE 0 END) AS unique_fails,
+               sum(CASE WHEN c.mask & s.own <> 0 AND c.mask & s.before = 0 THEN good ELSE 0 END) AS good_lost,
+               sum(CASE WHEN c.mask & s.own <> 0 AND c.mask & s.before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+        FROM cells c, steps s GROUP BY c.part, s.filter_order, s.step, s.own
+    )
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+           CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM counts
+    """
+)
+def op12_failing_id_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audited(tables.table(spark, folder, "documents"), tables.table(spark, folder, "labels"))
