@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridprobe.llm import audit, bpe, decontaminate, hmm, mixing, neighbours, quality, simhash, spans, toxicity, urls, warc
+from gridprobe.llm import audit, bpe, decontaminate, hardneg, hmm, mixing, neighbours, quality, simhash, spans, toxicity, urls, warc
 from gridprobe.session import scratch_path
 from gridprobe.sources import tables
 
@@ -268,3 +268,40 @@ def op13_chunked_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op12_failing_id_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audited(tables.table(spark, folder, "documents"), tables.table(spark, folder, "labels"))
+
+
+@query(
+    """
+    WITH p AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+        FROM p a JOIN p b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+    ),
+    positive AS (
+        SELECT * FROM (SELECT anchor_id, id AS positive_id, score AS positive_score,
+                              row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE same)
+        WHERE place <= 5
+    ),
+    negative AS (
+        SELECT o.anchor_id, o.positive_id, o.positive_score, s.id AS negative_id, s.score AS negative_score,
+               row_number() OVER (PARTITION BY o.anchor_id, o.positive_id ORDER BY s.score DESC, s.id) AS rank
+        FROM positive o JOIN s ON s.anchor_id = o.anchor_id AND NOT s.same
+         AND 50 * o.positive_score <= 100 * s.score AND 100 * s.score <= 95 * o.positive_score
+    )
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+    FROM negative WHERE rank <= 3
+    """
+)
+def op11_l2ap_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vec = F.when(
+        hardneg.usable(F.col("embedding")), F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    )
+    points = tables.table(spark, folder, "embeddings").select("vec_id", label.alias("label"), vec.alias("vec"))
+    return hardneg.mined(points, F.col("vec_id") % 50 == 0)
