@@ -6,6 +6,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,26 @@ REMEMBERED = 400_000
 SHORT = 32
 
 
-@dataclass(frozen=True)
+@dataclass
 class Vocabulary:
     """Byte strings with their ranks, which are their ids, and the pattern of pre-tokens (without groups)."""
 
     ranks: dict[bytes, int]
     pattern: str
 
+    def __getstate__(self):
+        return {"ranks": self.ranks, "pattern": self.pattern}
+
+    @property
+    def kind(self) -> np.dtype:
+        """The narrowest type that holds an id; ids travel in it between tasks."""
+        return np.min_scalar_type(max(self.ranks.values()))
+
+    @cached_property
+    def tokens(self) -> dict[int, bytes]:
+        return {rank: token for token, rank in self.ranks.items()}
+
+
 
 def vocabulary(spark: SparkSession, path: str, pattern: str) -> Vocabulary:
     """Read a file of lines "base64 rank": a path of the driver, or a URI that Spark opens."""
@@ -91,15 +105,15 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Ids(dict):
-    """The ids of pre-tokens as little-endian unsigned 32-bit integers, remembered up to a number."""
+    """The ids of pre-tokens in the narrow type, remembered up to a number."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], kind: np.dtype):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.kind = ranks, kind
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
-        ids = np.array(merged(raw, self.ranks), "<u4").tobytes()
+        ids = np.array(merged(raw, self.ranks), self.kind).tobytes()
         if len(raw) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -114,17 +128,21 @@ def _text(value: bytes | None) -> str:
 def _encoder(shared):
     """(findall, encode) of a broadcast vocabulary, in a task."""
     words: Vocabulary = shared.value
-    ids = _Ids(words.ranks)
+    ids = _Ids(words.ranks, words.kind)
     return regex.compile(words.pattern).findall, lambda pieces: b"".join(map(ids.__getitem__, pieces))
 
 
+def _wide(ids: bytes, kind: np.dtype) -> bytes:
+    return np.frombuffer(ids, kind).astype("<u4").tobytes()
+
+
 def _short(rows: DataFrame, shared) -> DataFrame:
     """(row, ids) of texts that need no cutting."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        findall, encode = _encoder(shared)
+        (findall, encode), kind = _encoder(shared), shared.value.kind
         for batch in batches:
-            ids = [encode(findall(_text(value))) for value in texts(batch.column("text"))]
+            ids = [_wide(encode(findall(_text(value))), kind) for value in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.binary())], ["row", "ids"])
 
     return rows.mapInArrow(work, rows.select("row", F.lit(b"").alias("ids")).schema)
@@ -163,7 +181,7 @@ def chunks(rows: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataF
 def _boundaries(lengths: np.ndarray, size: int, open_end: bool, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
     """Where pre-tokens start or end in the first ``overlap`` characters of a chunk, and in those of the next chunk
     that it sees; those too near to an end that is not the text's own are left out."""
-    at = np.concatenate(([0], np.cumsum(lengths)))
+    at = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
     if open_end:
         at = at[at <= size - MARGIN]
     return at[at <= overlap].tolist(), (at[at >= chunk] - chunk).tolist()
@@ -175,12 +193,14 @@ def _pre_tokenised(cut: DataFrame, shared, chunk: int = CHUNK, overlap: int = OV
         "*", F.lit(b"").alias("lengths"), F.array(F.lit(0)).alias("head"), F.array(F.lit(0)).alias("tail")
     ).schema
 
+    narrow = np.min_scalar_type(chunk + overlap)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         findall, _ = _encoder(shared)
         for batch in batches:
             out = []
             for text, last in zip(batch.column("text").to_pylist(), batch.column("last").to_pylist()):
-                lengths = np.fromiter(map(len, findall(text)), np.int32)
+                lengths = np.fromiter(map(len, findall(text)), narrow)
                 reaches = last or len(text) < chunk + overlap
                 out.append((lengths.tobytes(), *_boundaries(lengths, len(text), not reaches, chunk, overlap)))
             lengths, head, tail = zip(*out) if out else ((), (), ())
@@ -223,6 +243,7 @@ def pieces(cut: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def _long(rows: DataFrame, shared, chunk: int, overlap: int) -> DataFrame:
     """(row, ids) of texts that are cut into chunks."""
+    narrow = np.min_scalar_type(chunk + overlap)
     spread = chunks(rows, chunk, overlap).repartition("n", "k")
     cut = stage(_pre_tokenised(spread, shared, chunk, overlap), "chunks")
 
@@ -234,7 +255,7 @@ def _long(rows: DataFrame, shared, chunk: int, overlap: int) -> DataFrame:
                 if lengths is None:
                     out.append(encode(findall(text)))
                     continue
-                at = np.concatenate(([0], np.cumsum(np.frombuffer(lengths, np.int32))))
+                at = np.concatenate(([0], np.cumsum(np.frombuffer(lengths, narrow), dtype=np.int64)))
                 at = at[(at >= begin) & (at <= (len(text) if stop is None else stop))].tolist()
                 out.append(encode([text[a:b] for a, b in zip(at, at[1:])]))
             yield pa.RecordBatch.from_arrays(
@@ -248,8 +269,9 @@ def _long(rows: DataFrame, shared, chunk: int, overlap: int) -> DataFrame:
     )
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = shared.value.kind
         for batch in batches:
-            ids = [b"".join(parts) for parts in batch.column("parts").to_pylist()]
+            ids = [_wide(b"".join(parts), kind) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.binary())], ["row", "ids"])
 
     narrow = lists.select("row", "parts")
@@ -276,12 +298,12 @@ def encoded(docs: DataFrame, words: Vocabulary, text_col: str = "text", chunk: i
 def decoded(rows: DataFrame, words: Vocabulary, ids_col: str = "ids") -> DataFrame:
     """The rows with a column ``decoded``: the bytes of their ids one after another, which need not be UTF-8
     where ids were cut. NULL stays NULL; an id that the vocabulary lacks is an error."""
-    shared = rows.sparkSession.sparkContext.broadcast({rank: token for token, rank in words.ranks.items()})
+    shared = rows.sparkSession.sparkContext.broadcast(words)
     shape = rows.select("*", F.lit(b"").alias("decoded")).schema
     shape["decoded"].nullable = True
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
+        token = shared.value.tokens.__getitem__
         for batch in batches:
             out = [
                 None if ids is None else b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))
