@@ -46,6 +46,10 @@ class Vocabulary:
     def tokens(self) -> dict[int, bytes]:
         return {rank: token for token, rank in self.ranks.items()}
 
+    @cached_property
+    def ids(self) -> _Ids:
+        """What this process remembers; tasks of one worker share it."""
+        return _Ids(self.ranks, self.kind)
 
 
 def vocabulary(spark: SparkSession, path: str, pattern: str) -> Vocabulary:
@@ -69,14 +73,17 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     if len(piece) > SHORT:
         return _merged_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while True:
-        pairs = [a + b for a, b in zip(parts, parts[1:])]
-        found = [(ranks[p], i) for i, p in enumerate(pairs) if p in ranks]
-        if not found:
-            return [ranks[p] for p in parts]
-        _, i = min(found)
-        parts[i : i + 2] = [pairs[i]]
+    get, none = ranks.get, len(ranks) + (1 << 32)
+    at = list(range(len(piece) + 1))  # where the parts start
+    joins = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while joins and (least := min(joins)) < none:
+        i = joins.index(least)
+        del at[i + 1], joins[i]
+        if i < len(joins):
+            joins[i] = get(piece[at[i] : at[i + 2]], none)
+        if i:
+            joins[i - 1] = get(piece[at[i - 1] : at[i + 1]], none)
+    return [ranks[piece[a:b]] for a, b in zip(at, at[1:])]
 
 
 def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -128,7 +135,7 @@ def _text(value: bytes | None) -> str:
 def _encoder(shared):
     """(findall, encode) of a broadcast vocabulary, in a task."""
     words: Vocabulary = shared.value
-    ids = _Ids(words.ranks, words.kind)
+    ids = words.ids
     return regex.compile(words.pattern).findall, lambda pieces: b"".join(map(ids.__getitem__, pieces))
 
 
