@@ -1,8 +1,9 @@
 """Probes: labels and embeddings in, fitted models and metrics out.
 
-Fits use Spark ML, so each is a distributed job over a persisted feature table. The optimiser is
+Fits here use Spark ML, so each is a distributed job over a persisted feature table. The optimiser is
 L-BFGS or a full-batch solver: learning rate, batch size and dropout have no counterpart there and
-only identify a configuration. A hidden layer uses the library's own activation.
+only identify a configuration. A hidden layer uses the library's own activation. ``plans/trainer.py`` trains
+with mini-batches, where all of them act; its probes are evaluated and saved by the functions here too.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from gridprobe.functions import vectors
 from gridprobe.functions.literals import literal
 from gridprobe.functions.signal import widen
 from gridprobe.operators import labels, metrics, scaling, splits
+from gridprobe.plans.trainer import Network, NetworkProbe
 from gridprobe.sources import sinks
 from gridprobe.sources.configs import ProbeConfig
 
@@ -176,7 +178,7 @@ def fit_with_early_stopping(
     return Probe(config, best[1], means, deviations), log
 
 
-def evaluate(probe: Probe, rows: DataFrame, *by: str) -> DataFrame:
+def evaluate(probe: Probe | NetworkProbe, rows: DataFrame, *by: str) -> DataFrame:
     """Metrics of the probe on assembled rows, per group."""
     scored = probe.score(rows)
     if probe.output_type == "regression":
@@ -185,7 +187,7 @@ def evaluate(probe: Probe, rows: DataFrame, *by: str) -> DataFrame:
     return metrics.reject_nan(metrics.classification(coded, "y", "logits", *by), "loss")
 
 
-def confusion(probe: Probe, rows: DataFrame) -> DataFrame:
+def confusion(probe: Probe | NetworkProbe, rows: DataFrame) -> DataFrame:
     scored = probe.score(rows).select(F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"))
     return metrics.confusion_matrix(scored, "y", "p")
 
@@ -242,19 +244,22 @@ def _folder(root: str, config: ProbeConfig) -> str:
     )
 
 
-def save(spark: SparkSession, probe: Probe, root: str, valid_metrics: dict | None = None) -> str:
+def save(spark: SparkSession, probe: Probe | NetworkProbe, root: str, valid_metrics: dict | None = None) -> str:
     """Write config, scaler, model and metrics under ``root/dataset/uid``; returns the uid."""
     folder = _folder(root, probe.config)
     sinks.save_json(spark, f"{folder}/cfg.json", dict(probe.config))
     sinks.save_json(spark, f"{folder}/scaler.json", {"means": probe.means, "deviations": probe.deviations})
-    sinks.save_json(spark, f"{folder}/kind.json", {"model": type(probe.model).__name__})
-    probe.model.write().overwrite().save(f"{folder}/model")
+    sinks.save_json(spark, f"{folder}/kind.json", {"model": type(probe.model).__name__, "output_type": probe.output_type})
+    if isinstance(probe.model, Network):
+        sinks.save_json(spark, f"{folder}/model.json", probe.model.to_json())
+    else:
+        probe.model.write().overwrite().save(f"{folder}/model")
     if valid_metrics is not None:
         sinks.save_json(spark, f"{folder}/metrics.json", valid_metrics)
     return probe.config.uid()
 
 
-def load(spark: SparkSession, uid: str, root: str) -> Probe:
+def load(spark: SparkSession, uid: str, root: str) -> Probe | NetworkProbe:
     """The saved probe whose uid starts with ``uid``; none is an error."""
     import json
 
@@ -263,14 +268,17 @@ def load(spark: SparkSession, uid: str, root: str) -> Probe:
         raise ValueError(f"no saved probe {uid}")
     folder = found["path"].rsplit("/", 1)[0]
     read = lambda name: json.loads(sinks.read_text(spark, f"{folder}/{name}.json"))
-    scaler = read("scaler")
-    model = _LOADERS[read("kind")["model"]].load(f"{folder}/model")
+    scaler, kind = read("scaler"), read("kind")
+    if kind["model"] == Network.__name__:
+        found = Network.from_json(read("model"))
+        return NetworkProbe(ProbeConfig(read("cfg")), found, scaler["means"], scaler["deviations"], kind["output_type"])
+    model = _LOADERS[kind["model"]].load(f"{folder}/model")
     return Probe(ProbeConfig(read("cfg")), model, scaler["means"], scaler["deviations"])
 
 
 def delete(spark: SparkSession, config: ProbeConfig, root: str, delete_metrics_and_config: bool = False) -> None:
     folder = _folder(root, config)
-    names = ["model", "scaler.json", "kind.json"]
+    names = ["model", "model.json", "scaler.json", "kind.json"]
     if delete_metrics_and_config:
         names += ["metrics.json", "cfg.json"]
     for name in names:
