@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 from gridprobe.llm.common import stage
 
 # A run holds at least so many sentences and words.
-RUN_SENTENCES = 3
-RUN_WORDS = 20
-# A longer sentence counts as several, cut after every so many words.
-SENTENCE_WORDS = 24
+RUN_SENTENCES = 2
+RUN_WORDS = 25
+# A sentence of more words counts as several: it is cut before every word that, with the one before it, hashes to a
+# multiple of CUT_ONE_IN, and after PIECE_WORDS at the latest.
+SENTENCE_WORDS = 16
+CUT_ONE_IN = 8
+PIECE_WORDS = 24
 
 _END = re.compile(r"[.!?][ \t]+|\n")
-_LONG = re.compile(r"\s*(?:\S+\s+){%d}" % SENTENCE_WORDS)
+_WORD = re.compile(r"\S+")
+# A span is one long: the first sentence, the number of sentences, and a mark of the text, in so many bits.
+_COUNT_BITS, _MARK_BITS = 8, 28
 # Documents whose runs are made at once.
 LOT = 200
 
@@ -29,7 +34,8 @@ def sentences(text: str) -> tuple[list[int], list[list[str]]]:
     """Where the sentences start, and the lower-case words of each; together they are the whole text.
 
     A sentence ends with . ! or ? before white space, or with a line break, and takes the white space behind it
-    along. One of more than ``SENTENCE_WORDS`` words is cut after every so many.
+    along. One of more than ``SENTENCE_WORDS`` words is cut where two words say so, so that a passage is cut
+    alike whatever stands before it.
     """
     starts: list[int] = []
     words: list[list[str]] = []
@@ -38,33 +44,41 @@ def sentences(text: str) -> tuple[list[int], list[list[str]]]:
         found = text[at:end].lower().split()
         if not found:
             continue  # white space goes to the next sentence
-        while len(found) > SENTENCE_WORDS:
+        if len(found) <= SENTENCE_WORDS:
             starts.append(at)
-            words.append(found[:SENTENCE_WORDS])
-            found = found[SENTENCE_WORDS:]
-            at = _LONG.match(text, at).end()
-        starts.append(at)
-        words.append(found)
+            words.append(found)
+        else:
+            # Lower case may change the number of characters, but never that of words.
+            begins = [m.start() for m in _WORD.finditer(text, at, end)]
+            cuts = [0, *_cuts(found)]
+            starts += [at, *(begins[c] for c in cuts[1:])]
+            words += [found[a:b] for a, b in zip(cuts, [*cuts[1:], len(found)])]
         at = end
     return starts, words
 
 
+def _cuts(found: list[str]) -> list[int]:
+    """The words before which a long sentence is cut."""
+    out, last, digest = [], 0, xxhash.xxh32_intdigest
+    for i in range(1, len(found)):
+        if i - last >= PIECE_WORDS or not digest(f"{found[i - 1]} {found[i]}") % CUT_ONE_IN:
+            out.append(i)
+            last = i
+    return out
+
+
 def runs(n_words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(first, last) of every shortest run from a sentence onwards and from a sentence backwards that has
-    ``RUN_SENTENCES`` and ``RUN_WORDS``, in order. Every such run inside a passage lies wholly in it, and together
-    they cover it from its first sentence to its last. ``ends`` has the place behind the last sentence of each
-    document; no run crosses it."""
+    """(first, last) of the shortest run from every sentence onwards that has ``RUN_SENTENCES`` and ``RUN_WORDS``, in
+    order. Every such run inside a passage lies wholly in it, and together they cover it from its first sentence to
+    where the last one that fits ends. ``ends`` has the place behind the last sentence of each document; no run
+    crosses it."""
     n = len(n_words)
-    sizes = np.diff(ends, prepend=0)
-    stop, begin = np.repeat(ends, sizes), np.repeat(ends - sizes, sizes)
+    stop = np.repeat(ends, np.diff(ends, prepend=0))
     total = np.concatenate(([0], np.cumsum(n_words)))
     at = np.arange(n)
     last = np.maximum(np.searchsorted(total, total[:-1] + RUN_WORDS, "left") - 1, at + RUN_SENTENCES - 1)
-    first = np.minimum(np.searchsorted(total, total[1:] - RUN_WORDS, "right") - 1, at - RUN_SENTENCES + 1)
-    ahead, behind = last < stop, first >= begin
-    both = np.concatenate(((at[ahead] << 32) | last[ahead], (first[behind] << 32) | at[behind]))
-    both = np.unique(both)
-    return np.stack((both >> 32, both & 0xFFFFFFFF), 1)
+    inside = last < stop
+    return np.stack((at[inside], last[inside]), 1)
 
 
 _ODD = np.random.default_rng(64).integers(0, 2**63, (2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,17 +95,30 @@ def run_hashes(digests: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return (out + length.astype(np.uint64)[:, None]) * _ODD[:, 0]
 
 
+def _mark(text: str) -> int:
+    """Tells texts of rows with one id apart."""
+    return xxhash.xxh32_intdigest(text) >> (32 - _MARK_BITS)
+
+
+def _spans(place: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    if len(place) and place[:, 0].max() >= 1 << (63 - _COUNT_BITS - _MARK_BITS):
+        raise ValueError("a text has too many sentences to number")
+    count = place[:, 1] - place[:, 0] + 1
+    return (place[:, 0] << (_COUNT_BITS + _MARK_BITS)) | (count << _MARK_BITS) | mark
+
+
 def run_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, id, span, again) of every run of every document; span is first * 2^32 + last within it, and
-    ``again`` tells that an earlier run of the same document is equal."""
+    """(h1, h2, id, span, again) of every run of every document; span has its place and a mark of the text (see
+    ``_spans``), and ``again`` tells that an earlier run of the same document is equal."""
 
     def lots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         values = batch.column("text").to_pylist()
         for start in range(0, len(values), LOT):
-            words, ends = [], []
+            words, ends, marks = [], [], []
             for text in values[start : start + LOT]:
                 words += sentences(text or "")[1]
                 ends.append(len(words))
+                marks.append(_mark(text or ""))
             digest = xxhash.xxh3_128_digest
             digests = np.frombuffer(b"".join([digest(" ".join(w)) for w in words]), "<u8").reshape(-1, 2)
             n_words = np.fromiter(map(len, words), np.int64, len(words))
@@ -108,7 +135,7 @@ def run_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.record_batch({
                 "h1": pa.array(hashed[:, 0].view(np.int64)), "h2": pa.array(hashed[:, 1].view(np.int64)),
                 "id": batch.column("id").take(pa.array(row + start)),
-                "span": pa.array((place[:, 0] << 32) | place[:, 1]), "again": pa.array(again),
+                "span": pa.array(_spans(place, np.array(marks)[row])), "again": pa.array(again),
             })
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +150,13 @@ def _cut(text: str, spans: list[int]) -> tuple[str, int, int]:
     """The text without the sentences of the runs, how many these are, and their words."""
     starts, words = sentences(text)
     gone = np.zeros(len(starts) + 1, np.int64)
+    mark = _mark(text)
     for span in spans:
-        first, last = span >> 32, span & 0xFFFFFFFF
-        if last < len(starts):
+        # Rows that share an id but not a text have marks of their own.
+        if span & ((1 << _MARK_BITS) - 1) == mark:
+            first = span >> (_COUNT_BITS + _MARK_BITS)
             gone[first] += 1
-            gone[last + 1] -= 1
+            gone[first + (span >> _MARK_BITS & ((1 << _COUNT_BITS) - 1))] -= 1
     gone = np.cumsum(gone)[: len(starts)] > 0
     ends = [*starts[1:], len(text)]
     kept = [text[a:b] for a, b, out in zip(starts, ends, gone.tolist()) if not out]
@@ -154,8 +183,8 @@ def cut_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     case and spacing.
 
     NULL texts stay NULL, empty ones empty. Rows without an id keep their text and take no part. Rows that
-    repeat an id count as one document: equal ones keep or lose the same sentences. An empty table gives an
-    empty result.
+    repeat an id lose their own sentences only, equal rows the same ones; a run that several rows of the least
+    id have stays in all of them. An empty table gives an empty result.
     """
     spans = stage(run_table(docs, id_col, text_col), "runs")
     # A run counts once per document here, so that the least id alone tells which occurrence is the first.
@@ -165,7 +194,7 @@ def cut_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .filter("times > 1").select("h1", "h2", "first"), "repeated",
     )
     later = once.join(repeated, ["h1", "h2"]).filter(F.col("id") != F.col("first")).select("id", "span")
-    # One list per document, no longer than the document itself.
+    # One list per id, no longer than the documents that have it.
     lists = later.union(spans.filter("again").select("id", "span")).groupBy("id").agg(F.collect_list("span").alias("spans"))
     lists = lists.withColumnRenamed("id", "cut_id")
 
