@@ -8,11 +8,11 @@ from gridprobe.catalog.registry import lit, nth, query, reader, rounded
 from gridprobe.catalog.signals import FRAMES, MOMENTS
 from gridprobe.functions import dims
 from gridprobe.functions import fixed_values as fv
-from gridprobe.operators import registry, shards
+from gridprobe.operators import permutation, registry, shards
 from gridprobe.operators.unnest import unnest
 from gridprobe.plans import embedding_job as job
 from gridprobe.session import scratch_path
-from gridprobe.sources import sinks, tables
+from gridprobe.sources import buckets, files, sinks, tables
 
 MODELS = list(fv.MODEL_LAYERS)
 CONCEPTS = list(fv.CONCEPT_LABELS)
@@ -108,17 +108,15 @@ def resumed_job(spark, sf):
 
 
 @query("K4 S6 E3", """
-SELECT label % 3 AS layer, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS id_sum FROM embeddings WHERE label % 3 = 1 GROUP BY ALL""")
+SELECT vec_id AS row_id,
+       md5(array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(x * 1e6) AS BIGINT) AS VARCHAR)), ',')) AS digest
+FROM embeddings WHERE label % 3 = 1""")
 def stored_layer(spark, sf):
-    """Vectors written under (dataset, model, layer) and read back for one layer."""
-    rows = reader(spark, sf)("embeddings").select(
-        F.lit("vectors").alias("dataset"), F.lit("abc").alias("model_hash"), (F.col("label") % 3).alias("layer"),
-        F.col("vec_id").alias("row_id"), "embedding",
-    )
+    """Vectors written under (dataset, model, layer) and read back for one layer. Every component counts."""
     path = scratch_path(spark, "store")
-    sinks.append_embeddings(rows, path)
+    sinks.append_embeddings(_stored(spark, sf), path)
     read = tables.embeddings(spark, path, "vectors", "abc", layer=1)
-    return read.groupBy("layer").agg(F.count("*").alias("n"), F.sum("row_id").alias("id_sum"))
+    return read.select("row_id", F.md5(F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1e6).cast("string")), ",")).alias("digest"))
 
 
 # Event types as status words: errors failed, purchases are done, everything else is in progress.
@@ -280,35 +278,35 @@ def checked_store(spark, sf):
 
 
 @query("E1 S6", """
-SELECT label % 3 AS layer, count(*) AS n,
-       round(sum(CAST(embedding[1] AS DOUBLE) * CASE WHEN label % 3 = 1 THEN -1 ELSE 1 END), 6) + 0.0 AS total FROM embeddings GROUP BY ALL""")
+SELECT label % 3 AS layer, vec_id AS row_id,
+       md5(array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(x * 1e6 * CASE WHEN label % 3 = 1 THEN -1 ELSE 1 END) AS BIGINT) AS VARCHAR)), ',')) AS digest
+FROM embeddings""")
 def replaced_layer(spark, sf):
-    """One layer of a store is rewritten; the others stay as they are."""
+    """One layer of a store is rewritten; the others stay as they are. Every component counts."""
     rows = _stored(spark, sf)
     path = scratch_path(spark, "store")
     sinks.append_embeddings(rows, path)
     negated = rows.filter("layer = 1").withColumn("embedding", F.transform("embedding", lambda x: -x))
     sinks.replace_embeddings(negated, path)
     stored = tables.embeddings(spark, path, "vectors", "abc")
-    total = F.sum(F.col("embedding")[0].cast("double"))
-    return stored.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), rounded(total).alias("total"))
+    digits = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1e6).cast("string"))
+    return stored.select("layer", "row_id", F.md5(F.array_join(digits, ",")).alias("digest"))
 
 
 @query("S4 K5 P21", """
 SELECT lang AS dataset, count(*) AS n_documents, max(n_chars) AS longest FROM documents GROUP BY lang""")
 def stored_configs(spark, sf):
-    """A configuration per dataset, made from its rows, stored under its checksum and read back."""
-    found = reader(spark, sf)("documents").groupBy("lang").agg(
+    """A configuration per dataset, made from its rows, stored under its checksum in one write and looked up in one join."""
+    found = reader(spark, sf)("documents").groupBy(F.col("lang").alias("dataset")).agg(
         F.count(F.lit(1)).alias("n_documents"), F.max("n_chars").alias("longest")
-    ).collect()
+    )
+    # The canonical form: keys in order, two spaces.
+    config = F.format_string('{\n  "longest": %d,\n  "n_documents": %d\n}', "longest", "n_documents")
     path = scratch_path(spark, "configs")
-    read = []
-    for row in found:
-        config = {"n_documents": row["n_documents"], "longest": row["longest"]}
-        checksum = sinks.save_model_config(spark, row["lang"], config, path)
-        back = tables.model_config(spark, path, row["lang"], checksum)
-        read.append((row["lang"], back["n_documents"], back["longest"]))
-    return spark.createDataFrame(read, "dataset string, n_documents long, longest long")
+    wanted = sinks.save_model_configs(found.select("dataset", config.alias("config")), path).select("dataset", "model_hash")
+    back = tables.model_configs(spark, path, wanted)
+    values = F.from_json("config", "n_documents long, longest long")
+    return back.select("dataset", values["n_documents"].alias("n_documents"), values["longest"].alias("longest"))
 
 
 @query("S2 K2 G1", """
@@ -326,3 +324,92 @@ def published_dataset(spark, sf):
     path = scratch_path(spark, "notes")
     sinks.publish(full, path)
     return tables.dataset_table(spark, "notes", path).select("row_id", "root_note_pitch_class")
+
+
+@query("S5 P19 F7", """
+SELECT 'vectors-' || CAST(label % 4 AS VARCHAR) AS dataset, 'abc' AS model_hash, count(*) AS n, 2 AS n_layers, 32 AS width, 'FLOAT' AS kind
+FROM embeddings GROUP BY label % 4""")
+def stored_shapes(spark, sf):
+    """Rows, layers and width of stored exports, read from the footers of their files."""
+    vectors = reader(spark, sf)("embeddings").withColumn("layer", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = vectors.select(
+        F.concat(F.lit("vectors-"), (F.col("label") % 4).cast("string")).alias("dataset"), F.lit("abc").alias("model_hash"), "layer",
+        F.col("vec_id").alias("row_id"), F.slice("embedding", 1 + 32 * F.col("layer"), F.lit(32)).alias("embedding"),
+    )
+    path = scratch_path(spark, "store")
+    sinks.append_embeddings(rows, path)
+    return files.store_shapes(spark, path).drop("bytes")
+
+
+_BLOCKS = """
+SELECT CAST(o_orderkey // 5000 AS BIGINT) AS block,
+       {}(string_agg(CAST(o_orderkey AS VARCHAR) || '|' || o_orderpriority || chr(10), '' ORDER BY o_orderkey)) AS checksum
+FROM orders GROUP BY ALL"""
+
+
+def _order_files(spark, sf, compression):
+    """The orders as text files, one per block of keys, in the order of the keys."""
+    lines = reader(spark, sf)("orders").select(
+        F.floor(F.col("o_orderkey") / 5000).alias("block"), "o_orderkey", F.concat_ws("|", "o_orderkey", "o_orderpriority").alias("value")
+    )
+    path = scratch_path(spark, "lines")
+    ordered = lines.repartition("block").sortWithinPartitions("block", "o_orderkey").select("block", "value")
+    ordered.write.option("compression", compression).partitionBy("block").text(path)
+    return path
+
+
+@query("P22", _BLOCKS.format("sha256"))
+def file_digests(spark, sf):
+    """Checksums of written files, read chunk by chunk."""
+    found = files.digests(spark, _order_files(spark, sf, "none"), names="part-*", chunk=4096)
+    return found.select(F.regexp_extract("path", "/block=([0-9]+)", 1).cast("long").alias("block"), "checksum")
+
+
+@query("P22", _BLOCKS.format("md5"))
+def unpacked_file_digests(spark, sf):
+    """The same of compressed files, of what they unpack to."""
+    found = files.digests(spark, _order_files(spark, sf, "gzip"), "md5", gunzip=True, names="part-*")
+    return found.select(F.regexp_extract("path", "/block=([0-9]+)", 1).cast("long").alias("block"), "checksum")
+
+
+_SIZE = "(SELECT count(*) FROM embeddings)"
+_BITS = "(SELECT greatest(1, CAST(ceil(length(ltrim(bin(greatest(count(*) - 1, 1)), '0')) / 2.0) AS INTEGER)) FROM embeddings)"
+
+
+@query("O4", f"""
+WITH RECURSIVE {permutation.permuted_sql('SELECT vec_id AS pos FROM embeddings', _SIZE, _BITS, 7)}
+SELECT pos AS vec_id, CAST(value // 64 AS BIGINT) AS step, CAST(value % 64 AS BIGINT) AS place FROM walk_out""")
+def permuted_batches(spark, sf):
+    """The batch of 64, and the place in it, that every row has in an epoch: arithmetic on dense ids, without a sort."""
+    rows = reader(spark, sf)("embeddings").select("vec_id")
+    slot = permutation.permuted(F.col("vec_id"), rows.count(), 7)
+    return rows.select("vec_id", F.floor(slot / 64).alias("step"), (slot % 64).alias("place"))
+
+
+@query("O4 S6 K2", f"""
+WITH RECURSIVE {permutation.permuted_sql('SELECT unnest(range(192, 256)) AS pos', _SIZE, _BITS, 7)}
+SELECT vec_id, label, md5(array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(x * 1e6) AS BIGINT) AS VARCHAR)), ',')) AS digest
+FROM embeddings JOIN walk_out ON vec_id = value""")
+def stored_batch(spark, sf):
+    """The fourth batch of an epoch, read from a bucketed table."""
+    path = scratch_path(spark, "bucketed")
+    buckets.publish(reader(spark, sf)("embeddings"), path, 16, "vec_id")
+    digits = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1e6).cast("string"))
+    return buckets.random_batch(spark, path, 64, 3, seed=7).select("vec_id", "label", F.md5(F.array_join(digits, ",")).alias("digest"))
+
+
+@query("J2 S6 M1 K2", """
+SELECT e.vec_id, lang, label, md5(array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(x * 1e6) AS BIGINT) AS VARCHAR)), ',')) AS digest
+FROM embeddings e JOIN documents ON doc_id = e.vec_id""")
+def bucketed_join(spark, sf):
+    """Labels and vectors stored in the same buckets, joined without a shuffle."""
+    read = reader(spark, sf)
+    stores = {"labels": read("documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vectors": read("embeddings")}
+    held = {}
+    for name, table in stores.items():
+        path = scratch_path(spark, name)
+        buckets.publish(table, path, 16, "vec_id")
+        held[name] = buckets.read(spark, path)
+    digits = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1e6).cast("string"))
+    both = buckets.joined(held["labels"], held["vectors"], "vec_id")
+    return both.select("vec_id", "lang", "label", F.md5(F.array_join(digits, ",")).alias("digest"))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridprobe.functions.hashing import canonical_json, config_checksum
+from gridprobe.functions.hashing import canonical_json, checksum, config_checksum
 
 
 def _fs(spark: SparkSession, path: str):
@@ -62,6 +62,15 @@ def ordered(df: DataFrame, row_id: str = "row_id", files: int | None = None) ->
     return spread.sortWithinPartitions(row_id)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a finished folder to a name that is still free."""
+    _, old, fs = _fs(spark, source)
+    _, new, _ = _fs(spark, target)
+    fs.mkdirs(new.getParent())
+    if exists(spark, target) or not fs.rename(old, new):
+        raise RuntimeError(f"could not move the finished table to {target}")
+
+
 def publish(
     df: DataFrame, path: str, row_id: str | None = "row_id", files: int | None = None,
     check: Callable[[DataFrame], None] | None = None,
@@ -88,11 +97,7 @@ def publish(
             df.write.parquet(f"{staging}/ordered")
         if check:
             check(spark.read.parquet(f"{staging}/ordered"))
-        _, source, fs = _fs(spark, f"{staging}/ordered")
-        hadoop, target, _ = _fs(spark, path)
-        fs.mkdirs(target.getParent())
-        if exists(spark, path) or not fs.rename(source, target):
-            raise RuntimeError(f"could not move the finished table to {path}")
+        move(spark, f"{staging}/ordered", path)
     finally:
         delete(spark, staging)
 
@@ -140,6 +145,13 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("append").parquet(path)
 
 
+def save_model_configs(configs: DataFrame, path: str) -> DataFrame:
+    """(dataset, model_hash, config): rows (dataset, config as canonical JSON) stored under their checksums, in one write."""
+    rows = configs.select("dataset", checksum(F.col("config")).alias("model_hash"), "config")
+    rows.write.mode("append").parquet(path)
+    return rows
+
+
 def save_model_config(spark: SparkSession, dataset: str, config: dict, path: str) -> str:
     """Store a model configuration under its checksum, which is returned."""
     checksum = config_checksum(config)

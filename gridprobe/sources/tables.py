@@ -58,6 +58,12 @@ def model_config(spark: SparkSession, path: str, dataset: str, model_hash: str)
     return json.loads(found["config"])
 
 
+def model_configs(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (dataset, model_hash) with the configurations stored under them, by one join; an unknown one is NULL."""
+    stored = spark.read.schema(schemas.MODEL_CONFIG).parquet(path).dropDuplicates(["dataset", "model_hash"])
+    return wanted.join(stored.select("dataset", "model_hash", "config"), ["dataset", "model_hash"], "left")
+
+
 def embeddings(
     spark: SparkSession, path: str, dataset: str, model_hash: str, layer: int | None = None,
     row_ids: DataFrame | None = None,
