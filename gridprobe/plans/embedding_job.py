@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridprobe.functions import naming, vectors
 from gridprobe.functions import fixed_values as fv
 from gridprobe.operators import guards, pooling, shards
+from gridprobe.plans import claims
 from gridprobe.session import pin
 from gridprobe.sources import sinks
 
@@ -152,7 +153,8 @@ def run_job(
 ) -> int:
     """Extract what is missing, append it to the store and log each shard. Returns the rows in the store.
 
-    Rows that are in the store are never made again, so any number of runs gives the same store.
+    Rows that are in the store are never made again, and a run leaves shards alone that another run has
+    claimed and not ended, so any number of runs, also at the same time, gives the same store.
     ``only_shards`` confines a run to some shards. With ``layered`` the extractor gives a matrix per
     sample, and each of its rows is stored under its layer. Samples shorter than ``minimum_seconds`` at
     ``rate`` are not extracted.
@@ -183,38 +185,49 @@ def run_job(
             F.lit(run).alias("run"),
         ), status_path)
 
-    before = stored()
-    # Pinned, because the rows are no longer missing once their vectors are written.
-    todo = pin(missing(wanted, before) if before is not None else wanted)
-    started = todo.select("dataset_shard").distinct()
-    tell = lambda status, message="": started.withColumns({"status": F.lit(status), "message": F.lit(message)})
-    log(tell(shards.IN_PROGRESS))
+    def work(held: claims.Claim, wanted: DataFrame) -> int:
+        before = stored()
+        # Pinned, because the rows are no longer missing once their vectors are written.
+        todo = pin(missing(wanted, before) if before is not None else wanted)
+        started = todo.select("dataset_shard").distinct()
+        tell = lambda status, message="": started.withColumns({"status": F.lit(status), "message": F.lit(message)})
+        log(tell(shards.IN_PROGRESS))
+        try:
+            chosen = signals_of(todo, signals)
+            if minimum_seconds is not None:
+                chosen = chosen.filter(F.size("samples") >= minimum_seconds * rate)
+            made = extract(chosen, load, layered=layered)
+            keys = [F.lit(dataset).alias("dataset"), F.lit(model_hash).alias("model_hash")]
+            if layered:
+                rows = pooling.layer_rows(made, "embedding", "row_id").select(*keys, "layer", "row_id", "embedding")
+            else:
+                rows = made.select(*keys, F.lit(layer).alias("layer"), "row_id", "embedding")
+            held.check()
+            sinks.append_embeddings(rows, store_path)
+        except Exception as problem:
+            log(tell(shards.FAILED, str(problem)))
+            raise
+        after = stored()
+        if after is None:
+            after = spark.createDataFrame([], "row_id long")
+        here = after.select("row_id").distinct().withColumn("there", F.lit(1))
+        counted = wanted.join(here, "row_id", "left").groupBy("dataset_shard").agg(
+            F.count(F.lit(1)).alias("n"), F.count("there").alias("n_there")
+        )
+        lacking = F.col("n") - F.col("n_there")
+        log(counted.select(
+            "dataset_shard", F.when(lacking > 0, shards.FAILED).otherwise(shards.DONE).alias("status"),
+            F.when(lacking > 0, F.concat(lacking.cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" samples have no vector")))
+            .otherwise("").alias("message"),
+        ))
+        return after.count()
+
+    place = f"{store_path.rstrip('/')}.claims/{dataset}/{model_hash}/{'layers' if layered else layer}"
+    held, free = claims.claim(wanted.select(F.col("dataset_shard").alias("shard")).distinct(), place, run)
     try:
-        chosen = signals_of(todo, signals)
-        if minimum_seconds is not None:
-            chosen = chosen.filter(F.size("samples") >= minimum_seconds * rate)
-        made = extract(chosen, load, layered=layered)
-        keys = [F.lit(dataset).alias("dataset"), F.lit(model_hash).alias("model_hash")]
-        if layered:
-            rows = pooling.layer_rows(made, "embedding", "row_id").select(*keys, "layer", "row_id", "embedding")
-        else:
-            rows = made.select(*keys, F.lit(layer).alias("layer"), "row_id", "embedding")
-        sinks.append_embeddings(rows, store_path)
-    except Exception as problem:
-        log(tell(shards.FAILED, str(problem)))
-        raise
-    after = stored()
-    here = after.select("row_id").distinct().withColumn("there", F.lit(1))
-    counted = wanted.join(here, "row_id", "left").groupBy("dataset_shard").agg(
-        F.count(F.lit(1)).alias("n"), F.count("there").alias("n_there")
-    )
-    lacking = F.col("n") - F.col("n_there")
-    log(counted.select(
-        "dataset_shard", F.when(lacking > 0, shards.FAILED).otherwise(shards.DONE).alias("status"),
-        F.when(lacking > 0, F.concat(lacking.cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" samples have no vector")))
-        .otherwise("").alias("message"),
-    ))
-    return after.count()
+        return work(held, wanted.join(free, F.col("dataset_shard") == F.col("shard"), "left_semi"))
+    finally:
+        held.close()
 
 
 def check_store(manifest: DataFrame, store: DataFrame, max_samples: int = fv.SAMPLES_PER_SHARD) -> None:

@@ -49,6 +49,28 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def create_from(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a complete file a name, if that name is free; of several who try at once one succeeds."""
+    hadoop, old, fs = _fs(spark, source)
+    _, new, _ = _fs(spark, target)
+    fs.mkdirs(new.getParent())
+    if fs.getScheme() != "file":
+        return fs.rename(old, new)
+    # A local rename would replace the target; a link to a name that is taken fails.
+    files, paths = spark._jvm.java.nio.file.Files, spark._jvm.java.nio.file.Paths
+    try:
+        files.createLink(paths.get(new.toUri().getPath(), _strings(spark)), paths.get(old.toUri().getPath(), _strings(spark)))
+    except Exception as problem:
+        if "FileAlreadyExists" in str(problem):
+            return False
+        raise
+    return True
+
+
+def _strings(spark: SparkSession):
+    return spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 0)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
@@ -63,7 +85,7 @@ def ordered(df: DataFrame, row_id: str = "row_id", files: int | None = None) ->
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:
-    """Rename a finished folder to a name that is still free."""
+    """Rename a finished file or folder to a name that is still free."""
     _, old, fs = _fs(spark, source)
     _, new, _ = _fs(spark, target)
     fs.mkdirs(new.getParent())
@@ -120,9 +142,23 @@ def append_embeddings(vectors: DataFrame, path: str) -> None:
     """Add vectors to a store, one folder per dataset, model and layer.
 
     Rebalancing brings a folder's rows together and splits them again where they are many, so files
-    have a sound size and a model with most of the rows still writes from many tasks.
+    have a sound size and a model with most of the rows still writes from many tasks. Files are made beside the
+    store and moved into it when they are complete, so that writers at the same time do not share a folder of
+    unfinished files, and readers never see one.
     """
-    _rebalanced(vectors).write.mode("append").partitionBy(*STORE_KEYS).parquet(path)
+    spark = vectors.sparkSession
+    staging = f"{path.rstrip('/')}.incoming-{uuid.uuid4().hex}"
+    try:
+        _rebalanced(vectors).write.partitionBy(*STORE_KEYS).parquet(staging)
+        _, root, fs = _fs(spark, staging)
+        # The move is a rename per file, as many as the rebalanced write made.
+        base, found = fs.makeQualified(root).toString(), fs.listFiles(root, True)
+        while found.hasNext():
+            name = found.next().getPath()
+            if name.getName()[0] not in "_.":
+                move(spark, name.toString(), f"{path.rstrip('/')}{name.toString()[len(base):]}")
+    finally:
+        delete(spark, staging)
 
 
 def _rebalanced(vectors: DataFrame) -> DataFrame:
