@@ -11,7 +11,7 @@ from gridprobe.functions.binding import let
 
 def argmax(values: Column) -> Column:
     """0-based position of the first maximum."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return let(values, lambda wide: (F.array_position(wide, F.array_max(wide)) - 1).cast("int"))
 
 
 def is_blank(values: Column) -> Column:

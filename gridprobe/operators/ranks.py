@@ -68,7 +68,7 @@ class _Stretch:
 
 def keys_at_ranks(
     df: DataFrame, key: str, tie: str, ranks: list[int] | Callable[[int], list[int]],
-    bounds: tuple[int, int] | None = None,
+    bounds: tuple[int, int] | None = None, computed: bool = False,
 ) -> tuple[int, dict[int, tuple]]:
     """The row count, and the (key, tie) pair at each 0-based rank of the order by (key, tie).
 
@@ -76,17 +76,20 @@ def keys_at_ranks(
     count. Ranks may be computed from the count; those at or beyond it have no entry.
 
     ``bounds`` are for a computed key that is never NULL and whose range is known, such as a hash. They
-    save the pass that looks for the range.
+    save the pass that looks for the range. ``computed`` says of a key without bounds that it is an expression
+    which should be evaluated once per row and pass, and is never NULL.
     """
     if isinstance(df.schema[key].dataType, (T.DoubleType, T.FloatType)):
-        coded = df.select(_sortable(F.col(key).cast("double")).alias(key), tie)
-        n, found = keys_at_ranks(coded, key, tie, ranks)
+        known = df.select(key, tie).filter(F.col(key).isNotNull())
+        coded = known.select(_sortable(F.col(key).cast("double")).alias(key), tie)
+        n, found = keys_at_ranks(coded, key, tie, ranks, computed=True)
         return n, {rank: (_unsorted(k), t) for rank, (k, t) in found.items()}
     k, t = F.col(key), F.col(tie)
-    computed = bounds is not None
     scope = df.select(key, tie)
-    if not computed:
+    if not (computed or bounds):
         scope = scope.filter(k.isNotNull())
+    computed = computed or bounds is not None
+    if bounds is None:
         n, low, high = scope.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
         wanted = ranks(n) if callable(ranks) else ranks
         open_ = [_Stretch(n, low, high, {r: r for r in wanted if r < n})]
