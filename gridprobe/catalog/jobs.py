@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from gridprobe.catalog.registry import lit, nth, query, reader, rounded
 from gridprobe.catalog.signals import FRAMES, MOMENTS
-from gridprobe.functions import dims
+from gridprobe.functions import dims, signal
 from gridprobe.functions import fixed_values as fv
 from gridprobe.operators import permutation, registry, shards
 from gridprobe.operators.unnest import unnest
 from gridprobe.plans import embedding_job as job
+from gridprobe.plans import publishing
 from gridprobe.session import scratch_path
 from gridprobe.sources import buckets, files, sinks, tables
+from gridprobe.sources.configs import config_faults
 
 MODELS = list(fv.MODEL_LAYERS)
 CONCEPTS = list(fv.CONCEPT_LABELS)
@@ -413,3 +417,53 @@ def bucketed_join(spark, sf):
     digits = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1e6).cast("string"))
     both = buckets.joined(held["labels"], held["vectors"], "vec_id")
     return both.select("vec_id", "lang", "label", F.md5(F.array_join(digits, ",")).alias("digest"))
+
+
+@query("F6 A1 X6 K1 X1", """
+WITH cut AS (SELECT 1 + vec_id % 64 AS n_samples, vec_id % 5 = 0 OR len(list_filter(embedding[1:1 + vec_id % 64], lambda x: x <> 0)) = 0 AS quiet FROM embeddings)
+SELECT count(*) AS n, count(*) FILTER (WHERE n_samples >= 16) AS n_kept, count(*) FILTER (WHERE n_samples < 16) AS n_rejected,
+       count(*) FILTER (WHERE n_samples >= 16 AND quiet) AS n_silent, count(*) FILTER (WHERE n_samples >= 16) AS n_stored FROM cut""")
+def published_counts(spark, sf):
+    """Signals of one sample and more, some muted, published without those under a second; counted as they are written."""
+    cut = F.slice("embedding", F.lit(1), (F.lit(1) + F.col("vec_id") % 64).cast("int"))
+    muted = F.when(F.col("vec_id") % 5 == 0, F.transform(cut, lambda x: F.lit(0.0).cast("float"))).otherwise(cut)
+    rows = reader(spark, sf)("embeddings").select(F.col("vec_id").alias("row_id"), muted.alias("samples"))
+    rows = rows.withColumn("is_silent", signal.is_silent(F.col("samples")))
+    path = scratch_path(spark, "signals")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        counts = publishing.publish_dataset(rows, path, publishing.long_enough(F.size("samples"), 16, 1.0))
+    stored = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_stored"))
+    return stored.select(*[F.lit(v).cast("long").alias(k) for k, v in counts.items()], "n_stored")
+
+
+# Texts of a configuration, there unless the order's key, or there if its customer's key, is divisible by the number.
+_USUAL = [
+    (2, ', "dataset": "chords"'), (3, ', "dataset_embeddings_label_column_name": "chord_type"'), (5, ', "model_hash": "abc"'),
+    (7, ', "num_outputs": 4'),
+]
+_SPECIAL = [(4, ', "early_stopping": false'), (3, ', "max_num_epochs": 0'), (7, ', "dropout": 0.5')]
+_CONFIG = " || ".join([
+    """'{"seed": ' || o_orderkey""",
+    *[f"CASE WHEN o_orderkey % {n} <> 0 THEN '{text}' ELSE '' END" for n, text in _USUAL],
+    *[f"CASE WHEN o_custkey % {n} = 0 THEN '{text}' ELSE '' END" for n, text in _SPECIAL], "'}'",
+])
+
+
+@query("E7", f"""
+WITH written AS (SELECT o_orderkey, {_CONFIG} AS config FROM orders),
+keyed AS (SELECT o_orderkey, config, json_keys(config) AS names FROM written)
+SELECT o_orderkey, array_to_string(
+    list_transform(list_filter({lit(list(fv.PROBE_REQUIRED))}, lambda x: NOT list_contains(names, x)), lambda x: x || ' is required')
+    || list_transform(list_filter(names, lambda x: NOT list_contains({lit(list(fv.PROBE_DEFAULTS))}, x)), lambda x: x || ' is no parameter of a probe')
+    || CASE WHEN config LIKE '%"early_stopping": false%' THEN ['one of early_stopping and max_num_epochs must end the training'] ELSE [] END, '; ') AS faults
+FROM keyed""")
+def faulty_configs(spark, sf):
+    """What is wrong with stored configurations of probes, one per order."""
+    config = F.concat(
+        F.lit('{"seed": '), F.col("o_orderkey").cast("string"),
+        *[F.when(F.col("o_orderkey") % n != 0, text).otherwise("") for n, text in _USUAL],
+        *[F.when(F.col("o_custkey") % n == 0, text).otherwise("") for n, text in _SPECIAL], F.lit("}"),
+    )
+    rows = reader(spark, sf)("orders").select("o_orderkey", config.alias("config"))
+    return rows.select("o_orderkey", F.array_join(config_faults(F.col("config")), "; ").alias("faults"))

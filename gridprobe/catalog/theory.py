@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridprobe.catalog.registry import (
     MODE_NAMES, MODES, SHARPS, csv, lit, nth, query, reader, tonic_sql, values,
@@ -11,6 +12,7 @@ from gridprobe.functions import dims, hashing, naming, pitch
 from gridprobe.functions import fixed_values as fv
 from gridprobe.operators import registry as exports
 from gridprobe.operators import shards, theory
+from gridprobe.plans.custom_dataset import process_rows_sql, table_function
 from gridprobe.sources import tables
 
 FLATS = ["C", "Db", "D", "Eb", "E", "E#", "Gb", "G", "Ab", "A", "Bb", "B"]
@@ -328,3 +330,56 @@ def elapsed_hours(spark, sf):
     now = events.agg(F.max("ts").alias("now")).scalar()
     hours = shards.elapsed_hours(F.col("ts"), now)
     return events.select("event_id", (F.round(hours, 6) + F.lit(0.0)).alias("hours"))
+
+
+# Progressions of a user's own: a mode the canned ones lack, and sevenths, as (degree, chord type).
+OWN_PROGRESSIONS = [
+    ("ionian", [(1, 5), (4, 5), (5, 7), (1, 5)]), ("aeolian", [(7, 5), (6, 5), (7, 5), (1, 7)]), ("dorian", [(1, 5), (7, 7), (2, 5), (3, 5)]),
+]
+_OWN = values("own", "own_ord, own_mode, degs, types", [
+    (i, mode, [d for d, _ in steps], [t for _, t in steps]) for i, (mode, steps) in enumerate(OWN_PROGRESSIONS)
+])
+
+
+def _fanned_out():
+    """A row processor of a user's own: one row per chord of a progression, with ids that count on through the table."""
+
+    def chord_rows(row, separator=" "):
+        row_id, record = row
+        steps = record["steps"]
+        label = "-".join(str(s["degree"]) if s["chord_type"] == 5 else f"{s['degree']}^{s['chord_type']}" for s in steps)
+        return [
+            (row_id * len(steps) + k, {
+                "key": record["key"], "progression": f"{record['mode']} {label}", "place": k,
+                "notes": separator.join(str(n) for n in record["chords"][k]),
+            })
+            for k in range(len(steps))
+        ]
+
+    def columns(given, separator=" "):
+        return StructType([given["key"]]).add("progression", "string").add("place", "integer").add("notes", "string")
+
+    return table_function(chord_rows, columns)
+
+
+@query("P13 G7", f"""
+WITH {MODES}, {_OWN}, keyed AS (
+  SELECT c_custkey, CAST(c_custkey % 12 AS INT) AS key, own_mode, degs, types, offs
+  FROM customer JOIN own ON own_ord = c_custkey // 12 % 3 JOIN modes ON mode = own_mode)
+SELECT c_custkey * 4 + c AS row_id, key,
+       own_mode || ' ' || array_to_string([degs[j] || CASE WHEN types[j] = 7 THEN '^7' ELSE '' END for j in range(1, 5)], '-') AS progression,
+       CAST(c AS INT) AS place,
+       array_to_string([{tonic_sql('key')} + offs[(degs[c + 1] - 1 + 2 * i) % 7 + 1] for i in range(CASE WHEN types[c + 1] = 7 THEN 4 ELSE 3 END)], ',') AS notes
+FROM keyed, range(4) r(c)""")
+def own_progressions(spark, sf):
+    """Progressions with sevenths and another mode, fanned out to chords by a user's row processor as a table function."""
+    df = reader(spark, sf)("customer").select(
+        F.col("c_custkey").alias("row_id"), (F.col("c_custkey") % 12).cast("int").alias("key"),
+        dims.pick_record([(m, [d for d, _ in s], [t for _, t in s]) for m, s in OWN_PROGRESSIONS], ("mode", "degrees", "types"),
+                         F.floor(F.col("c_custkey") / 12) % 3).alias("own"),
+    )
+    typed = F.transform(F.arrays_zip("own.degrees", "own.types"), lambda z: F.struct(
+        z["degrees"].cast("int").alias("degree"), z["types"].cast("int").alias("chord_type")))
+    df = df.select("row_id", "key", F.col("own.mode").alias("mode"), typed.alias("steps"))
+    df = df.withColumn("chords", theory.typed_progression_chords(F.col("key"), pitch.mode_offsets(F.col("mode")), F.col("steps")))
+    return process_rows_sql(df, _fanned_out(), separator=",")

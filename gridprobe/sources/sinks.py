@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gridprobe.functions.hashing import canonical_json, checksum, config_checksum
@@ -95,19 +95,29 @@ def move(spark: SparkSession, source: str, target: str) -> None:
 
 def publish(
     df: DataFrame, path: str, row_id: str | None = "row_id", files: int | None = None,
-    check: Callable[[DataFrame], None] | None = None,
-) -> None:
+    check: Callable[[DataFrame], None] | None = None, counts: Mapping[str, Column] | None = None,
+    where: Column | None = None,
+) -> dict[str, int]:
     """Write a table once.
 
     An existing target is an error. Files are built beside the target and renamed when they are
     complete; after a failure the staging folder is removed and no target appears. ``check`` sees the
     finished files before they are published and may raise.
+
+    ``counts`` are named aggregates that the first write observes as the rows pass, and that are returned; nothing
+    is read again for them. Rows for which ``where`` does not hold are counted with the others and not written.
     """
     spark = df.sparkSession
     if exists(spark, path):
         raise RuntimeError(f"a table exists already at {path}")
     # A name of its own, so that two publishers of one path do not mix their files.
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    seen = Observation()
+    if counts:
+        # The last step before the rows are written, so that a task which is run again counts once.
+        df = df.observe(seen, *[value.alias(name) for name, value in counts.items()])
+    if where is not None:
+        df = df.filter(where)
     try:
         if row_id:
             # A range shuffle samples its input before it reads it. It samples files here, so that what made
@@ -122,6 +132,7 @@ def publish(
         move(spark, f"{staging}/ordered", path)
     finally:
         delete(spark, staging)
+    return seen.get if counts else {}
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

@@ -11,6 +11,7 @@ from gridprobe.functions import dims
 from gridprobe.operators import grid, guards, shards
 from gridprobe.plans import datasets as ds
 from gridprobe.plans import embedding_job as job
+from gridprobe.plans import publishing
 from gridprobe.sources import configs, sinks, tables
 
 
@@ -267,3 +268,63 @@ def test_probe_config_of_a_sweep_row():
     tempos = configs.probe_config("tempos", "MFCC", "L", 0, hidden_layer_sizes=(), learning_rate=1e-4)
     assert tempos["num_outputs"] == 1 and tempos["hidden_layer_sizes"] == [] and tempos["learning_rate"] == 1e-4
     assert not configs.probe_config("intervals", "MFCC", "L", 0)["load_embeddings_in_memory"]
+
+
+@pytest.mark.parametrize("change", [
+    {}, {"dataset": ...}, {"bad_param": 1}, {"early_stopping": False}, {"early_stopping": False, "max_num_epochs": 3}, {"max_num_epochs": 0},
+    {"early_stopping": None, "model_hash": ..., "other": {"a": 1}}, {"early_stopping": 0, "max_num_epochs": 0},
+])
+def test_stored_configs_have_the_faults_of_given_ones(spark, change):
+    base = {"dataset_embeddings_label_column_name": "something", "dataset": "test", "num_outputs": 10, "model_hash": "xyz"}
+    given = {k: v for k, v in (base | change).items() if v is not ...}
+    row = spark.createDataFrame([(json.dumps(given),)], "config string").select(configs.config_faults(F.col("config")).alias("faults"))
+    assert row.first()["faults"] == configs.probe_faults(given)
+
+
+def test_text_that_is_no_config(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("[1]",), ("{",)], "config string")
+    assert [r[0] for r in rows.select(configs.config_faults(F.col("config"))).collect()] == [["is no JSON object"]] * 4
+
+
+def signals(spark, n=400):
+    return spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % 30).alias("n"), (F.col("id") % 5 == 0).alias("is_silent"))
+
+
+def test_counts_are_observed_on_the_write(spark, tmp_path):
+    """Every row is made once: an accumulator in the plan sees as many as there are."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    df = signals(spark)
+    with pytest.warns(UserWarning) as told:
+        counts = publishing.publish_dataset(
+            df.mapInArrow(through, df.schema), str(tmp_path / "t"), publishing.long_enough(F.col("n"), 10, 1.0)
+        )
+    kept = [i for i in range(400) if i % 30 >= 10]
+    assert counts == {"n": 400, "n_kept": len(kept), "n_rejected": 400 - len(kept), "n_silent": sum(i % 5 == 0 for i in kept)}
+    assert passed.value == 400
+    assert sorted(r["row_id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == kept
+    assert [str(w.message).split(" at ")[0] for w in told] == [f"{counts['n_silent']} of {len(kept)} samples are silent".split(" are")[0],
+                                                              f"{counts['n_rejected']} of 400 samples were rejected and are not"]
+
+
+def test_counts_of_sound_empty_and_null_rows(spark, tmp_path, recwarn):
+    sound = signals(spark).withColumn("is_silent", F.lit(None).cast("boolean"))
+    assert publishing.publish_dataset(sound, str(tmp_path / "a")) == {"n": 400, "n_kept": 400, "n_rejected": 0, "n_silent": 0}
+    assert publishing.publish_dataset(sound.limit(0), str(tmp_path / "b"))["n"] == 0
+    assert spark.read.parquet(str(tmp_path / "b")).columns == sound.columns
+    assert not [w for w in recwarn if issubclass(w.category, UserWarning)]
+    unknown = sound.withColumn("n", F.lit(None).cast("int"))
+    with pytest.warns(UserWarning, match="400 of 400 samples were rejected"):
+        assert publishing.publish_dataset(unknown, str(tmp_path / "c"), publishing.long_enough(F.col("n"), 10, 1.0))["n_rejected"] == 400
+
+
+def test_a_failing_publish_counts_nothing(spark, tmp_path):
+    df = signals(spark).withColumn("n", F.when(F.col("row_id") < 300, F.col("n")).otherwise(F.raise_error(F.lit("lost")).cast("long")))
+    with pytest.raises(Exception, match="lost"):
+        publishing.publish_dataset(df, str(tmp_path / "t"))
+    assert list(tmp_path.iterdir()) == []

@@ -172,6 +172,51 @@ def test_streamed_extraction_is_exactly_once(spark, tmp_path):
     assert rows.count() == rows.select("row_id").distinct().count() == 30
 
 
+def test_stream_state_is_bounded_and_old_samples_stay_single(spark, tmp_path):
+    """Ten deliveries, then all again to the same stream, then all to a stream that has lost its checkpoint."""
+    df = spark.range(200).select(F.col("id").alias("row_id"), F.array(*[(F.col("id") * i).cast("float") for i in (1, 2, 4, 8)]).alias("samples"))
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    load = job.moment_extractor(1)
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        query = incremental_extract.extract_stream(stream, load, out, str(tmp_path / checkpoint), remembered="0 seconds")
+        query.awaitTermination()
+        rows = spark.read.parquet(out)
+        assert rows.count() == rows.select("row_id").distinct().count() == 200
+        return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+    for i in range(10):
+        df.filter(F.col("row_id") % 10 == i).coalesce(1).write.mode("append").parquet(folder)
+    assert max(run("a")) <= 40  # two deliveries of the ten
+    df.coalesce(1).write.mode("append").parquet(folder)
+    run("a")
+    run("b")
+    assert spark.read.parquet(out).select("stream").distinct().count() == 1
+
+
+def test_replayed_batch_gives_the_same_rows(spark, tmp_path):
+    """A failure after a batch was written and before it was committed."""
+    df = spark.range(20).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("samples"))
+    folder, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    df.write.parquet(folder)
+    for _ in range(2):
+        stream = spark.readStream.schema(df.schema).parquet(folder)
+        incremental_extract.extract_stream(stream, job.moment_extractor(1), out, checkpoint).awaitTermination()
+        for commit in (tmp_path / "cp" / "commits").iterdir():
+            commit.unlink()
+    rows = spark.read.parquet(out)
+    assert rows.count() == rows.select("row_id").distinct().count() == 20
+
+
+def test_rows_without_an_id_are_left_out(spark, tmp_path):
+    df = spark.createDataFrame([(None, [1.0]), (1, [2.0]), (1, [2.0])], "row_id bigint, samples array<float>")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    incremental_extract.extract_stream(stream, job.moment_extractor(1), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert [r["row_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
 def test_metrics_sink(spark, tmp_path):
     wide = spark.createDataFrame([("u", "valid", 5, 0.5)], "uid string, split string, n bigint, accuracy double")
     sinks.append_metrics(sinks.metrics_long(wide, "uid", "split"), str(tmp_path / "m"))
