@@ -49,15 +49,17 @@ def validity(entries: DataFrame) -> DataFrame:
     )
 
 
-def _as_of(asked: DataFrame, intervals: DataFrame, last: object) -> DataFrame:
+def _as_of(asked: DataFrame, intervals: DataFrame, first: object, last: object) -> DataFrame:
     """Entries active at (pattern, day), an inner join on pattern and month with the day inside the interval.
 
-    Both sides are split by month, so one pattern meets no more rows at once than a month has days.
+    Both sides are split by month, so one pattern meets no more rows at once than a month has days. Of an interval only the
+    months from the ``first`` day asked about to the ``last`` are made, however far it reaches.
     """
-    until = F.coalesce(F.col("until"), F.date_add(F.lit(last).cast("date"), 1))
-    months = intervals.filter(F.col("since") <= F.lit(last).cast("date")).withColumn(
-        "month", F.explode(F.sequence(_month(F.col("since")), _month(until)))
-    )
+    first, last = F.lit(first).cast("date"), F.lit(last).cast("date")
+    held = intervals.filter((F.col("since") <= last) & (F.col("until").isNull() | (F.col("until") > first)))
+    months = held.withColumn("month", F.explode(F.sequence(
+        _month(F.greatest("since", first)), _month(F.least(F.col("until"), last))
+    )))
     found = asked.withColumn("asked_month", _month(F.col("day"))).join(
         months.withColumnRenamed("pattern", "listed"),
         (F.col("asked_pattern") == F.col("listed")) & (F.col("asked_month") == F.col("month"))
@@ -82,7 +84,7 @@ def judged(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url
     Verdicts depend on host, address and day alone. They are made once per distinct pair, so a host with a third of
     all captures asks once per day, and are joined back to the captures.
 
-    NULL or relative URLs and NULL days match nothing. Rows that repeat an id are judged alike. Other columns are ignored. An
+    NULL or relative URLs and NULL days match nothing. Days of entries may lie any time before or after all captures. Rows that repeat an id are judged alike. Other columns are ignored. An
     empty table on either side gives its plain result.
     """
     rows = captures.select(
@@ -90,16 +92,16 @@ def judged(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url
         F.col(day_col).cast("date").alias("day"),
     )
     rows = stage(rows, "captures")
-    last = rows.agg(F.max("day")).first()[0]
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
     intervals = stage(validity(entries), "validity")
     asked = rows.filter("day IS NOT NULL AND host <> ''")
     by_host = _as_of(
         asked.select("host", "day").distinct().withColumn("asked_pattern", F.explode(_suffixes(F.col("host")))),
-        intervals.filter("scope = 'host'"), last,
+        intervals.filter("scope = 'host'"), first, last,
     )
     hosts = stage(_strongest(by_host, F.size(F.split("listed", r"\.")), "host", "day"), "hosts")
     by_address = _as_of(
-        asked.select("address", "day").distinct().withColumn("asked_pattern", F.col("address")), intervals.filter("scope = 'url'"), last
+        asked.select("address", "day").distinct().withColumn("asked_pattern", F.col("address")), intervals.filter("scope = 'url'"), first, last
     )
     addresses = stage(_strongest(by_address, F.lit(EXACT), "address", "day"), "addresses")
     joined = (

@@ -81,3 +81,21 @@ def test_odd_captures(spark):
     none = urls.judged(captures, spark.createDataFrame([], ENTRIES)).collect()
     assert {r["verdict"] for r in none} == {"keep"} and len(none) == 6
     assert urls.judged(captures.filter("false"), spark.createDataFrame(entries, ENTRIES)).collect() == []
+
+
+def test_far_days(spark):
+    """Intervals from the first century and to the last make no more rows than the captures have months."""
+    import datetime as dt
+
+    captures = spark.createDataFrame([(d, f"http://{h}/x", day(d)) for d in (1, 40, 90) for h in ("a.org", "b.org", "c.org")], "page_id long, url string, fetched date")
+    entries = spark.createDataFrame([
+        ("L", "host", "a.org", "block", dt.date(1, 1, 1), "add"), ("L", "host", "a.org", "block", dt.date(9999, 12, 31), "remove"),
+        ("L", "host", "b.org", "block", dt.date(1, 1, 1), "add"), ("L", "host", "b.org", "block", day(40), "remove"),
+        ("L", "host", "c.org", "block", day(41), "add"), ("M", "host", "c.org", "allow", dt.date(9999, 12, 31), "add"),
+    ], ENTRIES)
+    got = {(r["pattern"] or "", r["page_id"], r["verdict"]) for r in urls.judged(captures, entries).collect()}
+    assert got == {("a.org", 1, "block"), ("a.org", 40, "block"), ("a.org", 90, "block"), ("b.org", 1, "block"), ("", 1, "keep"),
+                   ("", 40, "keep"), ("", 90, "keep"), ("c.org", 90, "block")}
+    asked = spark.createDataFrame([("a.org", day(1))], "asked_pattern string, day date")
+    made = urls._as_of(asked, urls.validity(entries), day(1), day(90))
+    assert made.count() == 1
