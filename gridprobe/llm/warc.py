@@ -256,7 +256,10 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
 
 def _commit(spark: SparkSession, manifest: DataFrame, folder: str) -> None:
-    """Gives the files their names and writes ``manifest.json``; may be repeated at any point."""
+    """Gives the files their names and writes ``manifest.json``; may be repeated at any point.
+
+    A file that has neither its temporary nor its last name is an error, and then there is no new manifest.
+    """
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, where = _filesystem(folder)
@@ -264,9 +267,13 @@ def _commit(spark: SparkSession, manifest: DataFrame, folder: str) -> None:
             for name, temporary in zip(batch.column("name").to_pylist(), batch.column("temporary").to_pylist()):
                 if fs.get_file_info(f"{where}/{temporary}").type != pa.fs.FileType.NotFound:
                     fs.move(f"{where}/{temporary}", f"{where}/{name}")
+                elif fs.get_file_info(f"{where}/{name}").type == pa.fs.FileType.NotFound:
+                    raise FileNotFoundError(f"{name} was written as {temporary}, and neither is there")
             yield batch.select(["name"])
 
     named = manifest.select("name", "temporary").mapInArrow(rename, "name string").count()
+    if named != manifest.count():
+        raise RuntimeError(f"{named} files were named, the manifest of {folder} lists others")
     fs, where = _filesystem(folder)
     fs.create_dir(where, recursive=True)
     lines = manifest.drop("temporary").orderBy("name").toLocalIterator()
@@ -274,7 +281,6 @@ def _commit(spark: SparkSession, manifest: DataFrame, folder: str) -> None:
         for row in lines:
             sink.write((json.dumps(row.asDict(), sort_keys=True) + "\n").encode())
     fs.move(f"{where}/_manifest.tmp", f"{where}/manifest.json")
-    assert named == manifest.count()
 
 
 # --- reader -----------------------------------------------------------------------------------

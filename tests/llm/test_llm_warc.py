@@ -65,6 +65,16 @@ def test_commit_may_be_repeated(spark, pages, tmp_path):
     assert len(warc.read(spark, str(tmp_path / "a"), manifest).collect()) == 300
 
 
+def test_a_lost_file_is_no_commit(spark, pages, tmp_path):
+    manifest = warc.write(pages, str(tmp_path / "a"))
+    name = sorted(f for f in os.listdir(tmp_path / "a") if f.endswith(".gz"))[0]
+    (tmp_path / "a" / name).unlink()
+    (tmp_path / "a" / "manifest.json").unlink()
+    with pytest.raises(Exception, match="neither is there"):
+        warc._commit(spark, manifest, str(tmp_path / "a"))
+    assert "manifest.json" not in os.listdir(tmp_path / "a")
+
+
 def test_damage_is_noticed(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
     manifest = warc.write(pages, str(tmp_path / "a"))
