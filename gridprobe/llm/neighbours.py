@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -332,6 +333,23 @@ def least_recall(links: list[tuple[int, int]]) -> float:
     return min((sum(g) / len(g) for g in groups.values()), default=1.0)
 
 
+def _searched(distinct: DataFrame, width: int, threshold: float, k: int) -> DataFrame:
+    """(rep, links, component_id) of distinct vectors of one length, of which there is at least one."""
+    n, graph = distinct.count(), None
+    for widening in range(WIDENINGS + 1):
+        k_now = k << widening
+        graph = descended(distinct, n, width, k_now, ORDERS << widening, widening, graph)
+        degrees, parts = _whole_lists(graph, distinct, k_now, threshold)
+        if _audit(distinct, degrees, n, threshold) >= RECALL:
+            break
+    else:
+        degrees, parts = _all_pairs(distinct, threshold)
+    own = distinct.select("rep", "copies")
+    return own.join(degrees, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component_id")
+    )
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                     threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
     """(vec_id, n_links, component_id, kept): which vectors have a cosine of ``threshold`` or more.
@@ -343,30 +361,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are NULL, empty, zero, or hold NULL or non-finite components link with nothing. Equal vectors
     link with each other. Rows with equal ids are separate vectors, each in the component of its own vector. A NULL id links
-    with nothing. An empty table gives an empty result. Other columns are ignored. All vectors must have one
-    length.
+    with nothing. An empty table gives an empty result. Other columns are ignored. Vectors of different lengths have no
+    cosine and do not link: each length is searched by itself, one after the other.
     """
     members, distinct = unit_vectors(vectors, id_col, vector_col)
-    n = distinct.count()
-    degrees = parts = None
-    if n:
-        width = len(distinct.select("vec").first()[0])
-        graph = None
-        for widening in range(WIDENINGS + 1):
-            k_now = k << widening
-            graph = descended(distinct, n, width, k_now, ORDERS << widening, widening, graph)
-            degrees, parts = _whole_lists(graph, distinct, k_now, threshold)
-            if _audit(distinct, degrees, n, threshold) >= RECALL:
-                break
-        else:
-            degrees, parts = _all_pairs(distinct, threshold)
-    own = distinct.select("rep", "copies")
-    if degrees is None:
-        named = own.select("rep", F.lit(0).cast("long").alias("links"), F.col("rep").alias("component_id"))
+    lengths = [r["width"] for r in distinct.select(F.size("vec").alias("width")).distinct().orderBy("width").collect()]
+    searched = [_searched(distinct if len(lengths) == 1 else stage(distinct.filter(F.size("vec") == width), "vectors"), width, threshold, k) for width in lengths]
+    if searched:
+        named = reduce(DataFrame.union, searched)
     else:
-        named = own.join(degrees, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component_id")
-        )
+        named = distinct.select("rep", F.lit(0).cast("long").alias("links"), F.col("rep").alias("component_id"))
     linked = members.join(named, "rep").select("id", F.col("links").alias("n_links"), "component_id")
     ids = vectors.select(F.col(id_col).cast("long").alias("id"))
     lone = ids.join(linked.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -83,6 +83,22 @@ def test_odd_vectors(spark):
     assert sorted((r["vec_id"] or -1, r["n_links"]) for r in again) == [(-1, 0), (3, 0), (5, 1), (5, 1)]
 
 
+def test_lengths_do_not_link(spark):
+    """A length of its own for three rows, for one, and for the rest, in which a prefix would link."""
+    rng = np.random.default_rng(8)
+    long, short = rng.normal(size=(40, 9)), rng.normal(size=(3, 5))
+    long[10:25] = long[10] + 0.02 * rng.normal(size=(15, 9))
+    short[1] = short[0]
+    x = [*[list(map(float, np.float32(v))) for v in (*long, *short)], [1.0], [2.0, 3.0, 4.0]]
+    ids = list(range(len(x)))
+    want = {}
+    for width in {len(v) for v in x}:
+        of = [i for i in ids if len(x[i]) == width]
+        want |= plain(of, [x[i] for i in of])
+    rows = neighbours.near_duplicates(frame(spark, ids, x), k=5).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows} == want and want[41] == (1, 40)
+
+
 def test_no_vectors(spark):
     assert neighbours.near_duplicates(frame(spark, [], [])).collect() == []
     assert [tuple(r) for r in neighbours.near_duplicates(frame(spark, [4], [None])).collect()] == [(4, 0, 4, True)]
