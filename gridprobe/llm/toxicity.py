@@ -31,10 +31,15 @@ LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "+": "t", "(": "c", "|": "il", "*": "aeiou",
 }
-WRITTEN = {"sign": -1.5, "unread": -7.0, "noise": -2.5, "repeat": -1.0, "spaced": -0.2, "apart": -1.5}
-# Signs around a word that are no part of its spelling.
+WRITTEN = {
+    "sign": -1.5, "unread": -7.0, "edge": -0.5, "noise": -2.5, "repeat": -1.0, "doubled": -4.6, "spaced": -0.2, "apart": -1.5,
+}
+# Signs around a word that are mostly no part of its spelling; those that never are.
 _EDGES = ".,;:?\"'()[]{}<>-–—_%&*#!|~`^/\\="
-_THRICE = re.compile(r"(.)\1\1")
+_OUTSIDE = "".join(c for c in _EDGES if c not in LEET)
+# Signs that punctuation does not put before a word, and behind one.
+_NOT_BEFORE, _NOT_BEHIND = "!", "("
+_TWICE = re.compile(r"(.)\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
@@ -95,52 +100,72 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Per place what may have been meant: letters with the log-probability of writing them as seen.
 
-    A sign stands for one of its letters or for nothing; one written three times or more is noise. A letter written three
-    times or more was meant once or twice. A space between single characters was meant or not.
+    A sign stands for one of its letters or for nothing; one written three times or more is noise. At the ends of
+    a token standing for nothing is likelier, as that is where punctuation is. A letter written twice was meant
+    twice or, less likely, once; one written three times or more was meant once or twice. A space between single
+    characters was meant or not.
     """
+    first, last = len(token) - len(token.lstrip(_EDGES)), len(token.rstrip(_EDGES))
     places, at = [], 0
     while at < len(token):
         c, run = token[at], 1
         while at + run < len(token) and token[at + run] == c:
             run += 1
+        edge = (at < first and c not in _NOT_BEFORE) or (at >= last and c not in _NOT_BEHIND)
         at += run
         if c == " ":
             places.append([(" ", WRITTEN["apart"]), ("", WRITTEN["spaced"])])
         elif c.isalpha():
-            if run < 3:
-                places.append([(c * run, 0.0)])
+            if run == 1:
+                places.append([(c, 0.0)])
+            elif run == 2:
+                places.append([(c * 2, 0.0), (c, WRITTEN["doubled"])])
             else:
                 places.append([(c, WRITTEN["repeat"]), (c * 2, WRITTEN["repeat"])])
         else:
             letters = LEET.get(c, "") if run < 3 else ""
-            meant = [("", WRITTEN["unread" if letters else "noise"])]
-            places.append(meant + [(letter * run, WRITTEN["sign"]) for letter in letters])
+            meant = [("", WRITTEN["edge" if edge else "unread" if letters else "noise"])]
+            meant += [(letter * run, WRITTEN["sign"]) for letter in letters]
+            if run == 2:
+                meant += [(letter, WRITTEN["sign"] + WRITTEN["doubled"]) for letter in letters]
+            places.append(meant)
     return places
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest text behind a token (Viterbi over its lattice under the character model)."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest text behind a token (Viterbi over its lattice under the character model).
+
+    States point back to the one they came from, so time and memory are linear in the token. Of equally likely
+    texts it is the one whose path was found first.
+    """
+    cost_of = model.item
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for alternatives in [*lattice(token), [(" ", 0.0)]]:
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, back) in best.items():
             for letters, cost in alternatives:
                 total, x, y = score + cost, a, b
                 for letter in letters:
                     z = _SYMBOL.get(letter, 0 if letter == " " else OTHER)
-                    total, x, y = total + float(model[x, y, z]), y, z
-                if (x, y) not in following or total > following[x, y][0]:
-                    following[x, y] = (total, text + letters)
+                    total, x, y = total + cost_of(x, y, z), y, z
+                held = following.get((x, y))
+                if held is None or total > held[0]:
+                    following[x, y] = (total, (back, letters) if letters else back)
         best = following
-    return max(best.values())[1].strip()
+    parts, back = [], max(best.values(), key=lambda state: state[0])[1]
+    while back is not None:
+        back, letters = back
+        parts.append(letters)
+    return "".join(reversed(parts)).strip()
 
 
 def meant(token: str, model: np.ndarray) -> str:
-    """What a lower-case token stands for. Plain letters have a lattice with one path."""
-    core = token.strip(_EDGES)
-    if core.isalpha() and not _THRICE.search(core):
+    """What a lower-case token stands for. Letters none of which is written twice have a lattice with one path;
+    signs that only stand around words mean nothing by themselves."""
+    core = token.strip(_OUTSIDE)
+    if core.isalpha() and not _TWICE.search(core):
         return core
-    return decode(core, model) if core else ""
+    return decode(core, model) if core.strip(_EDGES) else ""
 
 
 def features(word: str) -> list[str]:
@@ -287,7 +312,8 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     from the words so restored. Ids enter only the fold: ``held_out`` rows, fold 0 of ``FOLDS``, are never
     learned from; their texts count in the character model, which knows no labels.
 
-    NULL and empty texts score as texts without evidence. Repeated rows score alike. A NULL id is held out.
+    NULL and empty texts score as texts without evidence. A token of any length is decoded whole, in time linear in
+    it. Repeated rows score alike. A NULL id is held out.
     Labels of other ids, NULL labels, and extra columns are ignored. An empty table gives an empty result.
     """
     scorer = fit(docs, labels, id_col, text_col, label_col)

@@ -1,6 +1,7 @@
 """The decoder against all paths of the lattice; held-out accuracy; odd inputs."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -25,7 +26,7 @@ def best_of_all(token, model):
     return max(score(path) for path in itertools.product(*toxicity.lattice(token)))
 
 
-@pytest.mark.parametrize("token", ["1d10t", "st*p1d", "m0r0n", "i d i o t", "stuuuupid", "@", "4.0", "a-b", "$$x$$$"])
+@pytest.mark.parametrize("token", ["1d10t", "st*p1d", "m0r0n", "i d i o t", "stuuuupid", "@", "4.0", "a-b", "$$x$$$", "!diot", "idi00t", "(m00r*n)!", "idioot!"])
 def test_viterbi_finds_the_best_path(model, token):
     decoded = toxicity.decode(token, model)
     paths = itertools.product(*toxicity.lattice(token))
@@ -46,6 +47,30 @@ def test_disguises_are_read(model):
     assert toxicity.meant("(m0r0n),", model) == "moron" and toxicity.meant("cat.", model) == "cat"
 
 
+def test_signs_at_the_ends_and_doubled_letters_are_read(model):
+    for token in ("!diot", "!d!0t!", "idioot", "iddiot", "(idiot)", "*idiot*", "idi00t"):
+        assert toxicity.meant(token, model) == "idiot"
+    assert toxicity.meant("stuupid", model) == "stupid" and toxicity.meant("mat!", model) == "mat"
+
+
+def test_words_of_the_corpus_keep_their_double_letters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.character_model(docs)
+    tokens = {w for r in docs.select("text").collect() for w in (r["text"] or "").lower().split()}
+    doubled = sorted(w for w in tokens if w.isalpha() and toxicity._TWICE.search(w) and not toxicity.re.search(r"(.)\1\1", w))
+    kept = [w for w in doubled if toxicity.meant(w, model) == w]
+    assert len(kept) >= 0.9 * len(doubled)
+    for token, word in (("!diot", "idiot"), ("idioot", "idiot"), ("stuupid", "stupid"), ("(m0ron", "moron")):
+        assert toxicity.meant(token, model) == word
+
+
+def test_long_tokens_cost_time_in_proportion(model):
+    token = "data:image/png;base64," + "".join(chr(97 + i * i % 26) + str(i % 10) + "ss+" for i in range(200_000))
+    started = time.perf_counter()
+    assert toxicity.decode(token, model)
+    assert time.perf_counter() - started < 30
+
+
 def test_symbols_and_counts():
     assert toxicity.symbols("aß!\U0001F600語").tolist() == [1, 27, 0, 0, toxicity.OTHER]
     counts = toxicity.trigram_counts(["ab ab"]).reshape((toxicity.SYMBOLS,) * 3)
