@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridprobe.llm.common import hash_share, release, stage
@@ -22,14 +22,17 @@ AHEAD = 3
 # Descent ends when a round changes less than this part of the lists.
 STILL = 0.01
 ROUNDS = 8
-# Vectors the recall is audited on, and what it must reach before the search is over.
-AUDITED = 256
-# The same outside saturated components.
-AUDITED_OPEN = 2_048
+# Vectors the recall is audited on: in saturated components; outside these with links; without links, but with a
+# neighbour not far below the threshold; and the rest. What the recall must reach before the search is over.
+AUDITED = {"dense": 256, "linked": 1_024, "close": 512, "far": 512}
+CLOSE = 0.1
 RECALL = 0.98
+# Vectors of about equally many links judge a search by themselves if at least so many were drawn.
+AUDITED_GROUP = 16
 WIDENINGS = 4
-# Rows of a block when members of a component are compared.
+# Rows of a block when members of a component are compared, and tasks that a group is looked up in.
 BLOCK = 1_024
+SPREAD = 16
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
@@ -121,35 +124,43 @@ def local_joins(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """New edges between the neighbours of every vector, where they beat the worst entry of one of the two lists.
 
     A vector's list is its ``k`` best among those it points to and those that point to it, so no list, and no
-    group of this join, has more than ``k`` members.
+    group of this join, has more than ``k`` members. ``graph`` marks edges that are ``fresh`` since the round
+    before; a pair of which neither is fresh was compared then, and lists without a fresh edge stay where they are.
     """
     worst = graph.groupBy("src").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("held")).select(
         F.col("src").alias("rep"), F.when(F.col("held") < k, -2.0).otherwise(F.col("low")).alias("low")
     )
     known = vectors.join(worst, "rep", "left").select("rep", "vec", F.coalesce("low", F.lit(-2.0)).alias("low"))
-    both = graph.union(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
-    lists = nearest(both, k).union(graph.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(1.0).alias("sim")))
-    told = lists.join(known, lists["dst"] == known["rep"]).select(F.col("src").alias("hub"), "rep", "low", "vec")
+    both = graph.union(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim", "fresh"))
+    order = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
+    listed = (
+        both.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.max("fresh").alias("fresh"))
+        .withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k)
+        .withColumn("any", F.max("fresh").over(Window.partitionBy("src"))).filter("any")
+    )
+    itself = listed.filter("at = 1").select("src", F.col("src").alias("dst"), F.lit(False).alias("fresh"))
+    lists = listed.select("src", "dst", "fresh").union(itself)
+    told = lists.join(known, lists["dst"] == known["rep"]).select(F.col("src").alias("hub"), "rep", "low", "fresh", "vec")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: tuple | None = None
         for batch in batches:
-            now = tuple(batch.column(c).to_numpy() for c in ("hub", "rep", "low")) + (_matrix(batch.column("vec")),)
+            now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("hub", "rep", "low", "fresh")) + (_matrix(batch.column("vec")),)
             if not len(now[0]):
                 continue
-            hub, rep, low, x = now if tail is None else tuple(np.concatenate(p) for p in zip(tail, now))
+            hub, rep, low, fresh, x = now if tail is None else tuple(np.concatenate(p) for p in zip(tail, now))
             ends = np.flatnonzero(hub[1:] != hub[:-1]) + 1
             whole = int(ends[-1]) if len(ends) else 0
-            yield from pairs(rep[:whole], low[:whole], x[:whole], [0, *ends.tolist()])
-            tail = hub[whole:], rep[whole:], low[whole:], x[whole:]
+            yield from pairs(rep[:whole], low[:whole], fresh[:whole], x[:whole], [0, *ends.tolist()])
+            tail = hub[whole:], rep[whole:], low[whole:], fresh[whole:], x[whole:]
         if tail is not None:
             yield from pairs(*tail[1:], [0, len(tail[0])])
 
-    def pairs(rep, low, x, ends) -> Iterator[pa.RecordBatch]:
+    def pairs(rep, low, fresh, x, ends) -> Iterator[pa.RecordBatch]:
         found = []
         for a, b in zip(ends, ends[1:]):
             sim = x[a:b] @ x[a:b].T
-            better = (sim > low[a:b, None]) | (sim > low[None, a:b])
+            better = ((sim > low[a:b, None]) | (sim > low[None, a:b])) & (fresh[a:b, None] | fresh[None, a:b])
             i, j = np.nonzero(np.triu(better, 1))
             found.append((rep[a + i], rep[a + j], sim[i, j]))
         if found:
@@ -161,12 +172,14 @@ def local_joins(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 def descended(vectors: DataFrame, n: int, width: int, k: int, orders: int, seed: int, known: DataFrame | None) -> DataFrame:
     """A graph of ``k`` neighbours per vector, refined until it is nearly still."""
     start = first_graph(vectors, n, width, orders, seed)
-    graph = stage(nearest(start if known is None else start.union(known), k), "graph")
+    first = nearest(start if known is None else start.union(known.select("src", "dst", "sim")), k)
+    graph = stage(first.withColumn("fresh", F.lit(True)), "graph")
     for _ in range(ROUNDS):
         found = local_joins(graph, vectors, k)
-        following = stage(nearest(graph.union(found), k), "graph")
-        changed = following.join(graph, ["src", "dst"], "left_anti").count()
-        size = following.count()
+        following = nearest(graph.select("src", "dst", "sim").union(found), k)
+        before = graph.select("src", "dst", F.lit(False).alias("seen"))
+        following = stage(following.join(before, ["src", "dst"], "left").select("src", "dst", "sim", F.col("seen").isNull().alias("fresh")), "graph")
+        changed, size = following.agg(F.count_if("fresh"), F.count(F.lit(1))).first()
         release(graph)
         graph = following
         if changed <= STILL * size:
@@ -174,6 +187,10 @@ def descended(vectors: DataFrame, n: int, width: int, k: int, orders: int, seed:
     return graph
 
 
+def _spread() -> Column:
+    return F.pmod(F.xxhash64(F.lit("spread"), "rep"), F.lit(SPREAD)).cast("int")
+
+
 def _replicated(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both tables once per block pair (one, two) of their group; ``ours`` tells the left ones."""
     sizes = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("ones")).join(
@@ -182,8 +199,11 @@ def _replicated(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     columns = [*keys, "one", "two", "ours", "rep", "part", "sparse", "copies", "vec"]
-    ours = left.join(sizes, keys).withColumn("one", place("ones")).withColumn("two", upto("twos")).withColumn("ours", F.lit(True))
-    theirs = right.join(sizes, keys).withColumn("two", place("twos")).withColumn("one", upto("ones")).withColumn("ours", F.lit(False))
+    # Sizes are a row per group, so they go to several tasks each instead of all vectors of a group to one.
+    sizes = sizes.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    left, right, keyed = left.withColumn("spread", _spread()), right.withColumn("spread", _spread()), [*keys, "spread"]
+    ours = left.join(sizes, keyed).withColumn("one", place("ones")).withColumn("two", upto("twos")).withColumn("ours", F.lit(True))
+    theirs = right.join(sizes, keyed).withColumn("two", place("twos")).withColumn("one", upto("ones")).withColumn("ours", F.lit(False))
     return ours.select(*columns).union(theirs.select(*columns))
 
 
@@ -270,7 +290,9 @@ def _whole_lists(graph: DataFrame, vectors: DataFrame, k: int, threshold: float)
     balls = radius.join(centre, "part").select("part", (~F.col("sparse")).alias("dense"), "radius", F.col("centre").alias("vec"))
     asked = stage(_near_parts(stage(balls, "balls"), threshold), "asked")
     left = member.filter("NOT sparse").withColumn("ask", F.col("part"))
-    found = _compared(_replicated(left, asked.join(member, "part"), ["ask"]), ["ask"], threshold)
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    wanted = asked.withColumn("spread", spread).join(member.withColumn("spread", _spread()), ["part", "spread"]).drop("spread")
+    found = _compared(_replicated(left, wanted, ["ask"]), ["ask"], threshold)
     kept = degree.join(parts, F.col("u") == F.col("node")).join(full, "component", "left_anti").select(F.col("u").alias("rep"), "links")
     dense = member.select("rep", (~F.col("sparse")).alias("dense"))
     links = found.filter("u IS NULL").select("rep", "links").union(kept).groupBy("rep").agg(F.sum("links").alias("links"))
@@ -290,23 +312,32 @@ def _all_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     return stage(links.withColumn("dense", F.lit(True)), "degrees"), stage(parts, "parts")
 
 
-def _audit(vectors: DataFrame, degrees: DataFrame, n: int, threshold: float) -> float:
-    """The part of links found per linked vector, on samples compared with all rows in blocks: the least mean
-    over all vectors asked and over those of about equally many links.
+def _audit(vectors: DataFrame, degrees: DataFrame, graph: DataFrame, threshold: float) -> float:
+    """The part of links found per linked vector, on samples compared with all rows in blocks: the least of
+    ``least_recall`` inside and outside saturated components.
 
-    Vectors outside saturated components, where links may be missed, and those inside are sampled apart, so
-    that a large group does not decide. Vectors without links say nothing.
+    Those with links, those without but with a close neighbour, and the rest are drawn apart (``AUDITED``), each
+    counting for as many as it was drawn from; so linked vectors are in the audit however rare they are, all of them
+    if they are few, and vectors whose links were all missed count as what they stand for. 1.0 says that none of the
+    vectors drawn has a link.
     """
-    known = vectors.join(degrees, "rep", "left").select(
-        "rep", "vec", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("dense", F.lit(False)).alias("dense"), F.xxhash64(F.lit("audit"), "rep").alias("mark")
+    close = graph.filter(F.col("sim") < threshold).groupBy(F.col("src").alias("rep")).agg(F.max("sim").alias("close"))
+    kind = (
+        F.when(F.col("dense"), "dense").when(F.col("links") > 0, "linked")
+        .when(F.col("close") >= threshold - CLOSE, "close").otherwise("far").alias("kind")
+    )
+    known = stage(
+        vectors.select("rep").join(degrees, "rep", "left").join(close, "rep", "left")
+        .select("rep", F.coalesce("links", F.lit(0)).alias("links"), kind, F.xxhash64(F.lit("audit"), "rep").alias("mark")), "kinds",
     )
-    asked = []
-    for where, size in (("dense", AUDITED), ("NOT dense", AUDITED_OPEN)):
-        rows = known.filter(where)
-        share = 2 * size / max(rows.count(), 1)
-        asked += rows.filter(hash_share(F.col("rep")) < share).orderBy("mark").limit(size).collect()
-    if not asked:
-        return 1.0
+    sizes = {r["kind"]: r["count"] for r in known.groupBy("kind").count().collect()}
+    drawn = [
+        known.filter((F.col("kind") == name) & (hash_share(F.col("rep")) < 2 * AUDITED[name] / size)).orderBy("mark").limit(AUDITED[name])
+        for name, size in sorted(sizes.items())
+    ]
+    # As many rows as AUDITED says, whatever the table.
+    asked = vectors.join(F.broadcast(reduce(DataFrame.union, drawn)), "rep").select("rep", "vec", "links", "kind").collect()
+    release(known)
     ids, x = np.array([r["rep"] for r in asked]), np.array([r["vec"] for r in asked])
     shared = vectors.sparkSession.sparkContext.broadcast((ids, x))
 
@@ -320,17 +351,21 @@ def _audit(vectors: DataFrame, degrees: DataFrame, n: int, threshold: float) ->
         yield pa.record_batch({"rep": pa.array(ids), "links": pa.array(total)})
 
     true = {r["rep"]: r["true"] for r in vectors.mapInArrow(compare, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("true")).collect()}
-    return least_recall([(r["links"], true[r["rep"]]) for r in asked])
+    times = {name: size / max(sum(r["kind"] == name for r in asked), 1) for name, size in sizes.items()}
+    told = [(r["kind"] == "dense", r["links"], true[r["rep"]], times[r["kind"]]) for r in asked]
+    return min(least_recall([t[1:] for t in told if t[0] == dense]) for dense in (True, False))
 
 
-def least_recall(links: list[tuple[int, int]]) -> float:
-    """Of (found, true) per vector: the least mean of found / true, over all and by the power of two of true."""
-    groups: dict[int, list[float]] = {}
-    for found, true in links:
+def least_recall(links: list[tuple]) -> float:
+    """Of (found, true, vectors it stands for, 1 if left out) per vector: the least mean of found / true, over all and
+    by the power of two of true, if ``AUDITED_GROUP`` vectors or more have it."""
+    groups: dict[int, list[tuple[float, float]]] = {}
+    for found, true, *times in links:
         if true:
             for group in (0, int(true).bit_length()):
-                groups.setdefault(group, []).append(min(found, true) / true)
-    return min((sum(g) / len(g) for g in groups.values()), default=1.0)
+                groups.setdefault(group, []).append((min(found, true) / true, times[0] if times else 1.0))
+    means = [sum(r * t for r, t in g) / sum(t for _, t in g) for name, g in groups.items() if name == 0 or len(g) >= AUDITED_GROUP]
+    return min(means, default=1.0)
 
 
 def _searched(distinct: DataFrame, width: int, threshold: float, k: int) -> DataFrame:
@@ -340,7 +375,7 @@ def _searched(distinct: DataFrame, width: int, threshold: float, k: int) -> Data
         k_now = k << widening
         graph = descended(distinct, n, width, k_now, ORDERS << widening, widening, graph)
         degrees, parts = _whole_lists(graph, distinct, k_now, threshold)
-        if _audit(distinct, degrees, n, threshold) >= RECALL:
+        if _audit(distinct, degrees, graph, threshold) >= RECALL:
             break
     else:
         degrees, parts = _all_pairs(distinct, threshold)
@@ -356,8 +391,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     NN-descent over distinct vectors: neighbours of neighbours are compared and every vector keeps its ``k``
     best until the lists are still; saturated lists are enlarged (see ``_whole_lists``); then the recall of links
-    per linked vector is audited on samples against all rows, and as long as it is below ``RECALL`` the search
-    goes on with more orders and longer lists. Where the last widening falls short, all pairs are compared. Only pairs whose cosine, in double precision, reaches the threshold count.
+    per linked vector is audited on samples, in which linked vectors are whatever their share, against all rows, and
+    as long as it is below ``RECALL`` the search goes on with more orders and longer lists. Where the last widening falls short, all pairs are compared. Only pairs whose cosine, in double precision, reaches the threshold count.
 
     Vectors that are NULL, empty, zero, or hold NULL or non-finite components link with nothing. Equal vectors
     link with each other. Rows with equal ids are separate vectors, each in the component of its own vector. A NULL id links

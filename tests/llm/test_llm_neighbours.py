@@ -60,6 +60,43 @@ def test_audit_counts_vectors_not_links():
     assert neighbours.least_recall([(0, 0)]) == 1.0
 
 
+def test_few_vectors_do_not_judge_by_themselves():
+    many = [(1, 1)] * 200
+    assert neighbours.least_recall([*many, (15, 16)]) > 0.99
+    assert neighbours.least_recall([*many, *[(15, 16)] * neighbours.AUDITED_GROUP]) == 15 / 16
+    assert neighbours.least_recall([(1, 1, 1.0)] * 30 + [(0, 1, 10.0)]) == 30 / 40
+
+
+def test_audit_draws_rare_linked_vectors(spark, monkeypatch):
+    """Three pairs among 600 vectors; the search has one of them, has seen one just below, and none of the third."""
+    monkeypatch.setattr(neighbours, "AUDITED", {"dense": 8, "linked": 8, "close": 8, "far": 600})
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 24))
+    x[1], x[3], x[5] = x[0], x[2], x[4]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "rep long, vec array<double>, copies long")
+    degrees = spark.createDataFrame([(0, 1, False), (1, 1, False)], "rep long, links long, dense boolean")
+    graph = spark.createDataFrame([(2, 9, 0.9), (3, 9, 0.9), (4, 9, 0.1)], "src long, dst long, sim double")
+    assert abs(neighbours._audit(vectors, degrees, graph, 0.95) - 1 / 3) < 1e-9
+    found = spark.createDataFrame([(i, 1, False) for i in range(6)], "rep long, links long, dense boolean")
+    assert neighbours._audit(vectors, found, graph, 0.95) == 1.0
+
+
+def test_rounds_compare_only_pairs_with_a_fresh_edge(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(4, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "rep long, vec array<double>, copies long")
+
+    def pairs(*fresh):
+        edges = [(0, i, float(x[0] @ x[i]), f) for i, f in enumerate(fresh, 1)]
+        found = neighbours.local_joins(spark.createDataFrame(edges, "src long, dst long, sim double, fresh boolean"), vectors, 5)
+        return {(r["src"], r["dst"]) for r in found.collect() if r["src"] < r["dst"] and r["src"] > 0}
+
+    assert pairs(True, True, True) == {(1, 2), (1, 3), (2, 3)}
+    assert pairs(True, False, False) == {(1, 2), (1, 3)} and pairs(False, False, False) == set()
+
+
 def test_short_recall_is_finished_exactly(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     monkeypatch.setattr(neighbours, "WIDENINGS", 0)
