@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridprobe.functions.binding import let
 from gridprobe.llm.common import hash_share, release, stage
 from gridprobe.llm.components import connected_components
 
@@ -49,9 +50,9 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[Data
         & (largest > 0) & F.col("id").isNotNull()
     )
     # Divided by the largest component first, so that no square overflows or vanishes.
-    usable_rows = rows.filter(usable).withColumn("raw", F.transform("raw", lambda x: x / largest))
+    usable_rows = rows.filter(usable).withColumn("raw", let(largest, lambda top: F.transform("raw", lambda x: x / top)))
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
-    scaled = usable_rows.select("id", F.transform("raw", lambda x: x / norm).alias("vec"))
+    scaled = usable_rows.select("id", let(norm, lambda size: F.transform("raw", lambda x: x / size)).alias("vec"))
     marked = stage(scaled, "unit")
     distinct = stage(marked.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
     members = stage(marked.join(distinct, "vec").select("id", "rep"), "members")
