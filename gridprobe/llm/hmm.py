@@ -29,8 +29,9 @@ SHAPES = 1_024
 END = b""
 # Tokens whose chains are run at once.
 CHAINS = 1 << 19
-# Training cuts texts into windows of so many tokens.
-WINDOW = 256
+# Training cuts texts into windows of so many tokens, and runs the chain over so many more on either side of each.
+WINDOW = 512
+CONTEXT = 128
 
 
 @dataclass
@@ -182,20 +183,53 @@ class Chain:
         return [self.start, self.move, self.emit]
 
 
-def _windows(seqs: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences cut into windows, as one table [time, window], longest first, with their lengths."""
-    pieces = [s[a : a + window] for s in seqs for a in range(0, len(s), window)]
-    pieces.sort(key=len, reverse=True)
-    length = np.array([len(p) for p in pieces])
-    table = np.zeros((length[0], len(pieces)), np.int16)
-    for i, p in enumerate(pieces):
-        table[: len(p), i] = p
-    return table, length
+@dataclass
+class Windows:
+    """Windows with their context as one table [time, window], longest first. Tokens from ``since`` to before
+    ``until`` are the window's own; ``begins`` tells windows at the start of a text."""
+
+    table: np.ndarray
+    length: np.ndarray
+    since: np.ndarray
+    until: np.ndarray
+
+    @property
+    def begins(self) -> np.ndarray:
+        return self.since == 0
+
+    @staticmethod
+    def of(seqs: list[np.ndarray]) -> Windows:
+        pieces = []
+        for s in seqs:
+            for a in range(0, len(s), WINDOW):
+                low = max(a - CONTEXT, 0)
+                pieces.append((s[low : a + WINDOW + CONTEXT], a - low, min(a + WINDOW, len(s)) - low))
+        pieces.sort(key=lambda piece: len(piece[0]), reverse=True)
+        length, since, until = (np.array(v) for v in zip(*((len(p), a, b) for p, a, b in pieces)))
+        table = np.zeros((length[0], len(pieces)), np.int16)
+        for i, (p, _, _) in enumerate(pieces):
+            table[: len(p), i] = p
+        return Windows(table, length, since, until)
+
+    def own(self, t: int, k: int) -> np.ndarray | None:
+        """Which of the first ``k`` windows have the token at ``t`` as their own; None for all."""
+        inside = (self.since[:k] <= t) & (t < self.until[:k])
+        return None if inside.all() else inside
+
+
+def settled(move: np.ndarray) -> np.ndarray:
+    """The shares of states that moves leave as they are."""
+    return np.full(len(move), 1 / len(move)) @ np.linalg.matrix_power(move, 1 << 12)
 
 
 def expected_counts(chain: Chain, seqs: list[np.ndarray]) -> np.ndarray:
-    """One Baum-Welch step's expected starts, moves and emissions, with the log10 probability of the windows."""
-    table, length = _windows(seqs, WINDOW)
+    """One Baum-Welch step's expected starts, moves and emissions, with the log10 probability of the texts.
+
+    Texts of up to ``WINDOW`` tokens are run whole. Windows of longer ones read ``CONTEXT`` tokens on either side, of
+    which only the state at their borders is kept: moves across borders count, and starts count where texts start.
+    """
+    windows = Windows.of(seqs)
+    table, length, begins = windows.table, windows.length, windows.begins
     steps, states = len(table), len(chain.start)
     active = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")
     # States are rows, so that every step works along long rows; single precision is ample for expected counts.
@@ -203,12 +237,15 @@ def expected_counts(chain: Chain, seqs: list[np.ndarray]) -> np.ndarray:
     emit = np.ascontiguousarray(chain.emit.T, np.float32)
     seen = [np.take(emit, table[t, :k], axis=1) for t, k in enumerate(active)]
     turn = np.ascontiguousarray(move.T)
-    fore, shrink = [], []
+    first = np.where(begins, chain.start[:, None], settled(chain.move)[:, None]).astype(np.float32)
+    fore, shrink, reached = [], [], 0.0
     for t, k in enumerate(active):
-        a = (turn @ fore[-1][:, :k] if t else chain.start.astype(np.float32)[:, None]) * seen[t]
+        a = (turn @ fore[-1][:, :k] if t else first) * seen[t]
         shrink.append(1 / a.sum(axis=0))
         a *= shrink[-1]
         fore.append(a)
+        own = windows.own(t, k)
+        reached -= float(np.log10(shrink[-1] if own is None else shrink[-1][own], dtype=np.float64).sum())
     moves = np.zeros((states, states))
     back = np.ones((states, active[-1]), np.float32)
     gammas = [None] * steps
@@ -216,17 +253,18 @@ def expected_counts(chain: Chain, seqs: list[np.ndarray]) -> np.ndarray:
         k = active[t]
         if back.shape[1] < k:
             back = np.hstack([back, np.ones((states, k - back.shape[1]), np.float32)])
-        gammas[t] = fore[t] * back
+        own = windows.own(t, k)
+        gammas[t] = fore[t] * back if own is None else fore[t] * back * own
         if t:
             ahead = seen[t] * back
             ahead *= shrink[t]
-            moves += fore[t - 1][:, :k] @ ahead.T
+            moves += fore[t - 1][:, :k] @ (ahead if own is None else ahead * own).T
             back = move @ ahead
+    starts = gammas[0][:, begins].sum(axis=1)
     order = np.concatenate([table[t, :k] for t, k in enumerate(active)])
     gamma = np.concatenate(gammas, axis=1)
     emits = np.stack([np.bincount(order, gamma[s], minlength=emit.shape[1]) for s in range(states)], axis=1)
-    reached = -sum(float(np.log10(s, dtype=np.float64).sum()) for s in shrink)
-    return np.concatenate((gammas[0].sum(axis=1), (moves * chain.move).ravel(), emits.ravel(), [reached]))
+    return np.concatenate((starts, (moves * chain.move).ravel(), emits.ravel(), [reached]))
 
 
 def sequence_scores(chain: Chain, seqs: list[np.ndarray]) -> np.ndarray:

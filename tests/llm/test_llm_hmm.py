@@ -55,6 +55,36 @@ def test_windows_and_lots_lose_nothing(monkeypatch):
     assert got[2 + 4 : -1].sum() == pytest.approx(sum(map(len, seqs)))
 
 
+def whole_counts(chain, seq):
+    """Starts, moves, emissions and log10 probability by a plain forward-backward over the whole sequence."""
+    n, k = len(seq), len(chain.start)
+    fore, back, shrink = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
+    for t in range(n):
+        fore[t] = (fore[t - 1] @ chain.move if t else chain.start) * chain.emit[seq[t]]
+        shrink[t] = fore[t].sum()
+        fore[t] /= shrink[t]
+    for t in range(n - 2, -1, -1):
+        back[t] = chain.move @ (chain.emit[seq[t + 1]] * back[t + 1]) / shrink[t + 1]
+    moves, emits = np.zeros((k, k)), np.zeros(chain.emit.shape)
+    for t in range(n):
+        emits[seq[t]] += fore[t] * back[t]
+        if t:
+            moves += np.outer(fore[t - 1], chain.emit[seq[t]] * back[t]) * chain.move / shrink[t]
+    return np.concatenate((fore[0] * back[0], moves.ravel(), emits.ravel(), [np.log10(shrink).sum()]))
+
+
+def test_windows_count_as_the_whole_text():
+    rng = np.random.default_rng(3)
+    chain = hmm.Chain.initial(rng.dirichlet(np.ones(12)), 4)
+    chain.start = np.array([0.97, 0.01, 0.01, 0.01])
+    seqs = [rng.integers(0, 12, n).astype(np.int16) for n in (1000, 5, 512, 513, 2600, 1025, 1)]
+    wanted = sum(whole_counts(chain, s) for s in seqs)
+    got = hmm.expected_counts(chain, seqs)
+    assert np.allclose(got, wanted, rtol=2e-4, atol=2e-3)
+    # Starts are those of the texts, and every text but its first token is reached by a move.
+    assert got[:4].sum() == pytest.approx(len(seqs)) and got[4:20].sum() == pytest.approx(sum(map(len, seqs)) - len(seqs), rel=1e-5)
+
+
 def check_base(docs, rows):
     counts = Counter()
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
