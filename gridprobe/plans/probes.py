@@ -9,8 +9,9 @@ with mini-batches, where all of them act; its probes are evaluated and saved by
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import count
 from pathlib import PurePosixPath
@@ -39,6 +40,8 @@ from gridprobe.sources.configs import ProbeConfig
 
 # Passes over the training rows where a configuration names none.
 ITERATIONS = 100
+# Components of vectors that one task of a fit goes through in a pass: 32 MB as doubles.
+TASK_CELLS = 1 << 22
 _LOADERS = {
     "LogisticRegressionModel": LogisticRegressionModel,
     "MultilayerPerceptronClassificationModel": MultilayerPerceptronClassificationModel,
@@ -52,7 +55,8 @@ def assemble(
 ) -> DataFrame:
     """(row_id, y, embedding, split): encoded labels with their split, joined to their vectors.
 
-    The split is made on the narrow label table, and only then are vectors joined. Regression on a
+    The split is made on the narrow label table, and only then are vectors joined. Both sides have a row per
+    id and grow together, so neither is broadcast, which would send it through the driver. Regression on a
     label range is split by extrapolation, everything else by shuffle.
     """
     narrow = table.select(F.col(row_id).alias("row_id"), F.col(label).alias("label"))
@@ -67,7 +71,7 @@ def assemble(
     else:
         raise ValueError(f"Unsupported output type: {output_type}")
     return divided.join(
-        embeddings.select(F.col(row_id).alias("row_id"), F.col(embedding).alias("embedding")), "row_id"
+        embeddings.select(F.col(row_id).alias("row_id"), F.col(embedding).alias("embedding")).hint("merge"), "row_id"
     ).select("row_id", F.col("y").cast("double").alias("y"), "embedding", "split")
 
 
@@ -99,12 +103,33 @@ class Probe:
         return scored.withColumn("logits", logits).drop("features", "rawPrediction", "probability")
 
 
+@contextmanager
+def packed(rows: DataFrame, embedding: str = "embedding") -> Iterator[DataFrame]:
+    """The rows persisted, in as many tasks as there are cores, and more only where vectors fill them.
+
+    A solver passes over its rows a hundred times, and every task of a pass reports to the driver. The shuffle
+    behind the rows may have cut them into hundreds of small partitions; what is kept is read by fewer
+    tasks, without being moved.
+    """
+    shared = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cells = shared.agg(F.coalesce(F.sum(F.size(embedding)), F.lit(0))).first()[0]
+        yield shared.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-cells // TASK_CELLS)))
+    finally:
+        shared.unpersist()
+
+
 def fit(train: DataFrame, config: ProbeConfig, output_type: str, iterations: int | None = None) -> Probe:
     """Fit on the training rows (y, embedding); the scaler is fitted once, on the same rows.
 
     ``max_num_epochs`` of the configuration bounds the solver's passes unless ``iterations`` does; the solver
     ends earlier when it has converged.
     """
+    with packed(train.select("y", "embedding")) as kept:
+        return _fit(kept, config, output_type, iterations)
+
+
+def _fit(train: DataFrame, config: ProbeConfig, output_type: str, iterations: int | None = None) -> Probe:
     iterations = iterations or config["max_num_epochs"] or ITERATIONS
     means = deviations = None
     if config["data_standardization"]:
@@ -141,17 +166,16 @@ def fit_with_early_stopping(
     iterations. Training ends when ``early_stopping_boredom`` rounds in turn brought nothing better, or
     after ``max_rounds``, by default as many as ``max_num_epochs`` has room for. A NaN metric is an error. Also returns the log, one record per round.
     """
-    means = deviations = None
-    if config["data_standardization"]:
-        stats = scaling.dimension_stats(train, "embedding").first()
-        means, deviations = list(stats["means"]), list(stats["deviations"])
-    probe = Probe(config, None, means, deviations)
-    train = probe.features(train).select("y", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    valid = valid.persist(StorageLevel.MEMORY_AND_DISK)
-    metric = config["early_stopping_metric"]
-    sign, metric = (-1, metric[1:]) if metric.startswith("-") else (1, metric)
-    try:
-        width = len(means) if means else valid.select(F.size("embedding")).first()[0]
+    sign, metric = 1, config["early_stopping_metric"]
+    if metric.startswith("-"):
+        sign, metric = -1, metric[1:]
+    with packed(train.select("y", "embedding")) as kept, packed(valid.select("y", "embedding")) as held:
+        means = deviations = None
+        if config["data_standardization"]:
+            stats = scaling.dimension_stats(kept, "embedding").first()
+            means, deviations = list(stats["means"]), list(stats["deviations"])
+        featured = Probe(config, None, means, deviations).features(kept).select("y", "features")
+        width = len(means) if means else held.select(F.size("embedding")).first()[0]
         learner = MultilayerPerceptronClassifier(
             labelCol="y", layers=[width, *config["hidden_layer_sizes"], config["num_outputs"]], seed=config["seed"],
             maxIter=config["early_stopping_eval_frequency"],
@@ -163,18 +187,15 @@ def fit_with_early_stopping(
         for step in count():
             if boredom >= config["early_stopping_boredom"] or step == max_rounds:
                 break
-            model = learner.fit(train)
+            model = learner.fit(featured)
             learner.setInitialWeights(model.weights)
-            score = sign * evaluate(Probe(config, model, means, deviations), valid).first()[metric]
+            score = sign * evaluate(Probe(config, model, means, deviations), held).first()[metric]
             if math.isnan(score):
                 raise ValueError(f"{metric} is NaN in round {step}")
             boredom = 0 if best is None or score > best[0] else boredom + 1
             if boredom == 0:
                 best = (score, model)
             log.append({"step": step, "score": score, "best_score": best[0], "boredom": boredom})
-    finally:
-        train.unpersist()
-        valid.unpersist()
     return Probe(config, best[1], means, deviations), log
 
 
@@ -198,25 +219,22 @@ def sweep(
 ) -> DataFrame:
     """Fit and evaluate many configurations of one (concept, model, layer) over one feature table.
 
-    The table is persisted once and shared. Each fit is a Spark job over all executors; a few run at
+    The table is packed once and shared. Each fit is a Spark job over all executors; a few run at
     a time so that small fits do not leave the cluster idle. Metrics are a handful of rows per
     configuration: (uid, split, metric, value).
     """
     spark = rows.sparkSession
-    shared = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with packed(rows) as shared:
         train = shared.filter(F.col("split") == "train")
 
         def one(config: ProbeConfig) -> list[tuple]:
-            probe = fit(train, config, output_type, iterations)
+            probe = _fit(train, config, output_type, iterations)
             wide = evaluate(probe, shared, "split")
             long = sinks.metrics_long(wide, "split").collect()
             return [(config.uid(), r["split"], r["metric"], r["value"]) for r in long]
 
         with ThreadPoolExecutor(parallelism) as pool:
             done = list(pool.map(inheritable_thread_target(spark)(one), list(configs)))
-    finally:
-        shared.unpersist()
     flat = [row for part in done for row in part]
     return spark.createDataFrame(flat, "uid string, split string, metric string, value double")
 

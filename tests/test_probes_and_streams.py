@@ -102,6 +102,31 @@ def test_sweep_skips_missing_exports_and_ranks_layers(spark, classes):
     assert best.count() == 1
 
 
+def test_vectors_and_labels_do_not_pass_through_the_driver(spark):
+    df = spark.range(30).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("label"), F.array(F.col("id").cast("float")).alias("embedding"))
+    joined = probes.assemble(df, df, "label", "multiclass")
+    # What is broadcast is the list of classes.
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and joined.count() == 30
+
+
+def test_passes_of_a_fit_have_no_more_tasks_than_cores(spark, classes):
+    """A hundred passes over many small partitions sent the driver a report per partition and pass."""
+    context, scattered = spark.sparkContext, classes.repartition(64, "row_id")
+    expected = {r["split"]: float(r["count"]) for r in classes.groupBy("split").count().collect()}
+    context.setJobGroup("packed", "fits of a sweep")
+    try:
+        done = probes.sweep(scattered, [config(3), config(3, l2_weight_decay=1e-3)], "multiclass", iterations=8).collect()
+        probes.fit(train(scattered), config(3, hidden_layer_sizes=[4]), "multiclass", 8)
+    finally:
+        context.setJobGroup("", "")
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("packed") for s in tracker.getJobInfo(j).stageIds}
+    tasks = [info.numTasks for info in map(tracker.getStageInfo, stages) if info and info.numCompletedTasks]
+    assert len(tasks) > 20 and sum(n >= 64 for n in tasks) <= 4, sorted(tasks)
+    assert [r["value"] for r in done if r["metric"] == "n" and r["split"] == "train"] == [expected["train"]] * 2
+
+
 def test_whole_sweep(spark, tmp_path):
     """Two layers of one model: the second layer holds the labels, the first is noise."""
     from gridprobe.plans.sweep import run_sweep
