@@ -144,16 +144,18 @@ FROM messages WINDOW w AS (PARTITION BY c_custkey ORDER BY c, side, n)""")
 def chord_messages(spark, sf):
     df = reader(spark, sf)("customer").select(
         "c_custkey", (F.col("c_nationkey") % 12).cast("int").alias("root"),
-        dims.pick(MODE_NAMES, F.col("c_custkey") % 11).alias("mode"),
-    )
-    degrees = F.array(*[F.lit(d) for d in (1, 2, 3, 4)])
-    df = df.withColumn(
-        "chords", theory.progression_chords(F.col("root"), pitch.mode_offsets(F.col("mode")), degrees)
+        dims.pick(MODE_NAMES, F.col("c_custkey") % 11).alias("mode"), (F.col("c_custkey") % 2 + 2).alias("apart"),
     )
-    apart = F.col("c_custkey") % 2 + 2
-    events = F.transform("chords", lambda c, i: sequences.event(i * apart, i * apart + 2, c))
-    df = df.withColumn("events", events).withColumn("messages", sequences.note_messages(F.col("events")))
-    return sequences.explode_messages(df, "messages", "c_custkey")
+
+    def build(keys):
+        degrees = F.array(*[F.lit(d) for d in (1, 2, 3, 4)])
+        chords = theory.progression_chords(F.col("root"), pitch.mode_offsets(F.col("mode")), degrees)
+        apart = F.col("apart")
+        events = F.transform("chords", lambda c, i: sequences.event(i * apart, i * apart + 2, c))
+        made = keys.withColumn("chords", chords).withColumn("events", events)
+        return made.withColumn("messages", sequences.note_messages(F.col("events")))
+
+    return sequences.explode_shared_messages(df, build, ["root", "mode", "apart"], "c_custkey")
 
 
 def click_settings(spark, sf, table, key):

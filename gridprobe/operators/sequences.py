@@ -1,12 +1,15 @@
 """Note events and messages.
 
-A sample's events are an array in its row, in playing order. Every operator here is row-local: a
-message looks at its neighbour through the array index, so no window and no shuffle is needed, and a
-sample's events are as many as its row already holds.
+A sample's events are an array in its row, in playing order. Every operator here is row-local, but for
+``explode_shared_messages``: a message looks at its neighbour through the array index, so no window and no
+shuffle is needed, and a sample's events are as many as its row already holds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,15 +162,22 @@ def sample_count(seconds: Column) -> Column:
 def explode_messages(df: DataFrame, messages: str, *keep: str) -> DataFrame:
     """One row per message with its place and absolute tick."""
     starts = running_offsets(F.transform(F.col(messages), lambda m: m["delta"].cast("bigint")))
-    # The tick of a message includes its own delta.
-    timed = F.transform(
-        F.arrays_zip(F.col(messages).alias("m"), starts.alias("at")),
-        lambda z: F.struct(
-            z["m"]["kind"].alias("kind"), z["m"]["note"].alias("note"), z["m"]["velocity"].alias("velocity"),
-            z["m"]["delta"].alias("delta"), (z["at"] + z["m"]["delta"]).alias("tick"),
-        ),
-    )
-    return unnest(df, timed, *keep, index="seq", value="m").select(*keep, "seq", "m.*")
+    rows = unnest(df, F.arrays_zip(F.col(messages).alias("m"), starts.alias("at")), *keep, index="seq", value="z")
+    # The tick of a message includes its own delta. It is added on rows, where the code is compiled.
+    return rows.select(*keep, "seq", "z.m.*", (F.col("z.at") + F.col("z.m.delta")).alias("tick"))
+
+
+def explode_shared_messages(df: DataFrame, build: Callable[[DataFrame], DataFrame], by: list[str], *keep: str) -> DataFrame:
+    """Like ``explode_messages`` for a large table whose messages depend on the short columns ``by`` alone.
+
+    ``build`` adds ``messages`` to a table of these columns. A track is built once per distinct value of them,
+    and rows look theirs up in a broadcast table, where NULL meets NULL. The values must be few by the music,
+    as twelve roots and eleven modes are, whatever the number of rows.
+    """
+    tracks = explode_messages(build(df.select(*by).distinct()), "messages", *by)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    rows = df.select(*dict.fromkeys([*keep, *by])).join(F.broadcast(tracks.withColumnsRenamed({c: f"_{c}" for c in by})), same)
+    return rows.select(*keep, "seq", "kind", "note", "velocity", "delta", "tick")
 
 
 def explode_events(df: DataFrame, events: str, *keep: str) -> DataFrame:

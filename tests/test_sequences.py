@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gridprobe.catalog import QUERIES
 from gridprobe.functions import fixed_values as fv
 from gridprobe.functions import pitch
 from gridprobe.operators import grid, sequences
@@ -90,6 +91,28 @@ def test_explode_messages_accumulates_ticks(spark):
     assert [r["tick"] for r in rows] == [0, 960, 960, 1440]
 
 
+def test_shared_messages_equal_those_built_per_row(spark):
+    df = spark.range(40).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("gap"), (F.col("id") % 2).alias("low"), F.lit("x").alias("kind"))
+
+    def build(keys):
+        start, note = F.coalesce("gap", F.lit(0)), (F.col("low") + 60).cast("int")
+        events = F.array(sequences.event(start, start + 1, F.array(note)), sequences.event(start + 2, start + 3, F.array(note, note + 4)))
+        return keys.withColumn("messages", sequences.note_messages(events))
+
+    shared = sequences.explode_shared_messages(df, build, ["gap", "low"], "id")
+    per_row = sequences.explode_messages(build(df), "messages", "id")
+    assert shared.schema == per_row.schema
+    got, wanted = ([tuple(r) for r in d.orderBy("id", "seq").collect()] for d in (shared, per_row))
+    assert got == wanted and len({r[0] for r in got}) == 40
+
+
+def test_chord_tracks_are_built_once_per_key(spark, sf):
+    """Built per customer, a track cost 170 microseconds."""
+    plan = QUERIES["chord_messages"].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("BroadcastHashJoin") < plan.index("BroadcastExchange") < plan.index("Generate")
+    assert "HashAggregate" in plan[plan.index("Generate"):]
+
+
 def test_track_header(spark):
     header = one(spark, sequences.track_header(*[F.lit(v) for v in ("Piano", 4, 4, 120, 0, 2)]))
     assert header["tempo"] == 500_000 and header["ticks_per_beat"] == fv.TICKS_PER_BEAT
