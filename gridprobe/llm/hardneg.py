@@ -15,6 +15,13 @@ from gridprobe.llm.common import release, stage
 BLOCK = 4_096
 GROUP = 512
 STRIP = 8
+# Components in the blocks that a task keeps at once, and groups that it compares with them.
+HELD = 1 << 22
+LOT = 64
+# Such comparisons per core at least, where there are as many pairs.
+TILES = 4
+# Rows of a block that go through its lists together.
+ROWS = 128
 # Thresholds of the searches, from round to round: parts of the anchor's squared norm for positives, of the
 # positive's score for negatives. Whatever is not full after the last of them takes every row that may count.
 POSITIVE_LEVELS = (0.8, 0.6, 0.45, 0.3, 0.15, None)
@@ -85,35 +92,53 @@ class _Block:
         """
         own = _suffix_norms(q)
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)) + own[:, 0] * self.norms[:, 0].max(initial=0))
-        bar = (least - slack)[:, None]
+        bar = least - slack
         with np.errstate(divide="ignore", invalid="ignore"):
-            per_norm = np.where(own[:, 0] > 0, bar[:, 0] / own[:, 0], np.where(bar[:, 0] <= 0, -np.inf, np.inf))
+            per_norm = np.where(own[:, 0] > 0, bar / own[:, 0], np.where(bar <= 0, -np.inf, np.inf))
         floor = per_norm.min(initial=np.inf)
         # A row whose whole norm is below the floor is in no list.
         rows = rows[self.norms[rows, 0] >= floor]
+        named = [listed[: np.searchsorted(-self.norms[listed, s], -floor, side="right")] for s, listed in enumerate(self.lists)]
+        # Rows go through the lists in lots whose scores stay in a core's cache, and scores lie row by row.
+        own, turned = np.ascontiguousarray(own.T), np.ascontiguousarray(q.T)
+        found = [self._lot(q, turned, own, least, bar, named, rows[i : i + ROWS]) for i in range(0, len(rows), ROWS)]
+        if not found:
+            return np.zeros(0, np.int64), rows, np.zeros(0)
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def _lot(self, q: np.ndarray, turned: np.ndarray, own: np.ndarray, least: np.ndarray, bar: np.ndarray, lists: list,
+             rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``reaching`` gives for some rows; ``turned`` and ``own`` have a column per anchor."""
         place = np.full(len(self.ids), -1)
         place[rows] = np.arange(len(rows))
-        score, done = np.zeros((len(q), len(rows))), np.zeros(len(rows), np.int64)
+        score, done = np.zeros((len(rows), len(q))), np.zeros(len(rows), np.int64)
         open_pairs = np.ones(score.shape, bool)
-        for s, listed in enumerate(self.lists):
+        for s, named in enumerate(lists):
             if not len(rows):
                 break
-            named = listed[: np.searchsorted(-self.norms[listed, s], -floor, side="right")]
             at = place[named]
-            named, at = named[at >= 0], at[at >= 0]
-            if not len(named):
+            at = at[at >= 0]
+            if not len(at):
                 break
             part = slice(s * STRIP, (s + 1) * STRIP)
-            score[:, at] += q[:, part] @ self.x[named, part].T
-            done[at] = s + 1
-            open_pairs = score + own[:, done] * self.norms[rows, done] >= bar
-            alive = open_pairs.any(axis=0)
+            if len(at) == len(rows):
+                score += self.x[rows, part] @ turned[part]
+                done[:] = s + 1
+                bound = np.multiply.outer(self.norms[rows, s + 1], own[s + 1])
+            else:
+                score[at] += self.x[rows[at], part] @ turned[part]
+                done[at] = s + 1
+                bound = own[done]
+                bound *= self.norms[rows, done][:, None]
+            bound += score
+            open_pairs = bound >= bar
+            alive = open_pairs.any(axis=1)
             if not alive.all():
                 place[rows] = -1
-                rows, score, done, open_pairs = rows[alive], score[:, alive], done[alive], open_pairs[:, alive]
+                rows, score, done, open_pairs = rows[alive], score[alive], done[alive], open_pairs[alive]
                 place[rows] = np.arange(len(rows))
-        a, r = np.nonzero(open_pairs)
-        total = score[a, r]
+        r, a = np.nonzero(open_pairs)
+        total = score[r, a]
         for s in np.unique(done[r]).tolist():
             rest = np.flatnonzero(done[r] == s) if s < len(self.lists) else ()
             for lot in (rest[i : i + 65_536] for i in range(0, len(rest), 65_536)):
@@ -162,11 +187,13 @@ def _negatives(block: _Block, group: dict, level: float | None, k: int, low: int
         yield group["rows"][a[best]], np.full(len(best), place, np.int32), block.ids[r[best]], score[best]
 
 
-def _searched(asks: DataFrame, blocks: DataFrame, salts: int, waiting: int, k: int, find) -> DataFrame:
+def _searched(asks: DataFrame, blocks: DataFrame, salts: int, held: int, waiting: int, k: int, find) -> DataFrame:
     """(row, place, rank, id, score): the ``k`` best that ``find`` gives for the anchors in ``asks``, over all blocks.
 
-    Anchors go to each block of their dimension in groups. A task holds one block and one group at a time, and
-    returns at most ``k`` rows per anchor and place for each pair.
+    Pairs of a group of anchors and a block are dealt out as tiles: at most ``held`` blocks by at most ``LOT`` groups,
+    and less where that leaves cores without a tile. A task keeps the blocks of its tile, lets the groups pass one by
+    one, and returns at most ``k`` rows per anchor and place. Groups are copied per tile, so this is no join: a planner
+    takes their size from before the copying, and would send every copy through the driver.
     """
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -174,37 +201,50 @@ def _searched(asks: DataFrame, blocks: DataFrame, salts: int, waiting: int, k: i
         blobs = [table.column("row").to_numpy(), table.column("id").to_numpy(), table.column("label").to_numpy(),
                  table.column("vec").combine_chunks().flatten().to_numpy(),
                  np.array(table.column("windows").to_pylist(), np.float64)]
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([width], pa.int32())]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([width], pa.int32())]
                         + [pa.array([np.ascontiguousarray(b).tobytes()], pa.binary()) for b in blobs],
-                        names=["dim", "width", "g_rows", "g_ids", "g_labels", "g_vectors", "g_windows"])
+                        names=["dim", "group", "width", "g_rows", "g_ids", "g_labels", "g_vectors", "g_windows"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, block = None, None
+        dim, own = None, []
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                if held != (row["dim"], row["salt"]):
-                    held, block = (row["dim"], row["salt"]), _Block(row)
+                if dim != row["dim"]:
+                    dim, own = row["dim"], []
+                if row["width"] is None:
+                    own.append(_Block(row))
+                    continue
                 group = {c: np.frombuffer(row[f"g_{c}"], np.int64) for c in ("rows", "ids", "labels")}
                 n = len(group["rows"])
-                group["vectors"] = np.frombuffer(row["g_vectors"]).reshape(n, row["dim"])
+                group["vectors"] = np.frombuffer(row["g_vectors"]).reshape(n, dim)
                 group["windows"] = np.frombuffer(row["g_windows"]).reshape(n, row["width"])
-                parts = list(zip(*find(block, group)))
+                parts = [part for block in own for part in find(block, group)]
                 if parts:
-                    rows, place, ids, score = map(np.concatenate, parts)
-                    yield pa.record_batch({"row": pa.array(rows), "place": pa.array(place), "id": pa.array(ids),
-                                           "score": pa.array(score.astype(np.int64))})
+                    rows, place, ids, score = map(np.concatenate, zip(*parts))
+                    best = _best(np.unique(rows, return_inverse=True)[1] * row["width"] + place, ids, score, k)
+                    yield pa.record_batch({"row": pa.array(rows[best]), "place": pa.array(place[best]), "id": pa.array(ids[best]),
+                                           "score": pa.array(score[best].astype(np.int64))})
 
     groups = -(-waiting // GROUP)
     packed = asks.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups))).groupBy("dim", "group").applyInArrow(
-        pack, "dim int, width int, g_rows binary, g_ids binary, g_labels binary, g_vectors binary, g_windows binary"
+        pack, "dim int, group long, width int, g_rows binary, g_ids binary, g_labels binary, g_vectors binary, g_windows binary"
     )
-    spread = packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    found = spread.join(blocks, ["dim", "salt"]).mapInArrow(work, "row long, place int, id long, score long")
+    wanted = TILES * asks.sparkSession.sparkContext.defaultParallelism
+    shares = max(-(-salts // held), min(salts, wanted))
+    lots = max(-(-groups // LOT), min(groups, -(-wanted // shares)))
+    each = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    share, lot = F.pmod(F.col("salt"), F.lit(shares)), F.pmod(F.col("group"), F.lit(lots))
+    tiles = blocks.withColumn("tile", F.explode(F.transform(each(lots), lambda i: (share * lots + i).cast("int")))).unionByName(
+        packed.withColumn("tile", F.explode(F.transform(each(shares), lambda i: (i * lots + lot).cast("int")))), allowMissingColumns=True
+    )
+    # A block has no width, and comes before the groups of its dimension.
+    dealt = tiles.repartitionById(shares * lots, "tile").sortWithinPartitions("dim", F.col("width").asc_nulls_first())
+    found = dealt.mapInArrow(work, "row long, place int, id long, score long")
     by_score = Window.partitionBy("row", "place").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select("row", "place", "rank", "id", "score")
 
 
-def _filled(asks: DataFrame, blocks: DataFrame, salts: int, k: int, levels: tuple, find) -> DataFrame:
+def _filled(asks: DataFrame, blocks: DataFrame, salts: int, held: int, k: int, levels: tuple, find) -> DataFrame:
     """(row, place, rank, id, score) of all anchors: the threshold falls from level to level, and only places
     that have fewer than ``k`` rows are asked again. A row above a threshold beats all below it, so a place that
     is full is final."""
@@ -213,7 +253,7 @@ def _filled(asks: DataFrame, blocks: DataFrame, salts: int, k: int, levels: tupl
         waiting = asks.count()
         if not waiting:
             break
-        found = stage(_searched(asks, blocks, salts, waiting, k, lambda b, g, level=level: find(b, g, level)), "found")
+        found = stage(_searched(asks, blocks, salts, held, waiting, k, lambda b, g, level=level: find(b, g, level)), "found")
         full = found.groupBy("row", "place").agg(F.count(F.lit(1)).alias("n"))
         full = full if level is None else full.filter(F.col("n") >= k)
         final = found.join(full.select("row", "place"), ["row", "place"], "left_semi")
@@ -252,22 +292,23 @@ def mined(points: DataFrame, anchor: Column, id_col: str = "vec_id", label_col:
     rows = rows.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vec")))
     rows = stage(rows.select(F.monotonically_increasing_id().alias("row"), F.size("vec").alias("dim"), "*"), "points")
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    n, longest = rows.agg(F.count(F.lit(1)), F.max(square)).first()
+    n, longest, widest = rows.agg(F.count(F.lit(1)), F.max(square), F.max("dim")).first()
     if (longest or 0.0) >= EXACT:
         raise ValueError(f"a squared norm is {longest:g}; scores are exact below {EXACT:g} only")
     salts = max(1, -(-n // BLOCK))
+    held = max(1, HELD // (BLOCK * max(1, widest or 0)))
     blocks = index(rows, salts)
     # The score of the anchor itself stands for its one window while positives are looked for.
     anchors = stage(rows.filter("anchor").select("row", "id", "label", "dim", "vec", F.array(F.lit(0.0)).alias("windows")), "asks")
     empty = rows.sparkSession.createDataFrame([], "row long, place int, rank int, id long, score long")
-    near = _filled(anchors, blocks, salts, positives, POSITIVE_LEVELS, lambda b, g, level: _positives(b, g, level, positives)) or empty
+    near = _filled(anchors, blocks, salts, held, positives, POSITIVE_LEVELS, lambda b, g, level: _positives(b, g, level, positives)) or empty
     near = stage(near.select("row", (F.col("rank") - 1).alias("place"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     # All anchors have as many places; those without a positive are closed from the start.
     at = F.map_from_entries(F.collect_list(F.struct("place", F.col("positive_score").cast("double"))))
     windows = F.transform(F.sequence(F.lit(0), F.lit(positives - 1)), lambda i: F.element_at("at", i))
     known = near.groupBy("row").agg(at.alias("at")).select("row", windows.alias("windows"))
     asks = stage(rows.filter("anchor").select("row", "id", "label", "dim", "vec").join(known, "row"), "asks")
-    hard = _filled(asks, blocks, salts, negatives, NEGATIVE_LEVELS, lambda b, g, level: _negatives(b, g, level, negatives, low, high)) or empty
+    hard = _filled(asks, blocks, salts, held, negatives, NEGATIVE_LEVELS, lambda b, g, level: _negatives(b, g, level, negatives, low, high)) or empty
     named = rows.filter("anchor").select("row", F.col("id").alias("anchor_id"))
     return (
         hard.select("row", "place", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))

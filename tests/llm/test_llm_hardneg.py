@@ -101,3 +101,31 @@ def test_index_finds_all_above_any_threshold(share):
     a, r, score = block.reaching(q, least, np.arange(0, 300, 2))
     wanted = q @ x[::2].T
     assert sorted(zip(a, r, score)) == [(i, 2 * j, wanted[i, j]) for i, j in np.argwhere(wanted >= least[:, None])]
+
+
+def test_copies_of_anchors_are_not_broadcast(spark, small_blocks, monkeypatch):
+    """Groups go to every block; no plan sends these copies through the driver, whatever size it takes them for."""
+    plans, staged = [], hardneg.stage
+
+    def spy(df, label):
+        if label == "found":
+            df.collect()
+            plans.append(df._jdf.queryExecution().toString())
+        return staged(df, label)
+
+    monkeypatch.setattr(hardneg, "stage", spy)
+    rng = np.random.default_rng(11)
+    rows = [(i, i % 3, rng.integers(-50, 50, 12).astype(float).tolist()) for i in range(200)]
+    assert ran(spark, rows) == plain(rows, lambda i: i % 5 == 0)
+    assert plans and not any("Broadcast" in plan for plan in plans)
+
+
+def test_tiles_of_several_blocks_and_lots(spark, small_blocks, monkeypatch):
+    """Tasks that keep several blocks and meet several groups return the best of all blocks, for each length of vectors."""
+    monkeypatch.setattr(hardneg, "HELD", 40 * 9 * 3)
+    monkeypatch.setattr(hardneg, "LOT", 2)
+    monkeypatch.setattr(hardneg, "TILES", 0)
+    monkeypatch.setattr(hardneg, "ROWS", 16)
+    rng = np.random.default_rng(13)
+    rows = [(i, i % 4, rng.integers(-60, 60, 9 if i % 3 else 5).astype(float).tolist()) for i in range(400)]
+    assert ran(spark, rows, 2) == plain(rows, lambda i: i % 2 == 0)
