@@ -12,6 +12,9 @@ from gridprobe.llm.common import stage
 
 # Keys with at least 1 / HOT of all rows are joined by broadcast: at most HOT of them.
 HOT = 1_000
+# Tables that grow with the rows are joined by merging. A planner takes their size from their files, and from before they
+# are repeated for every prefix, and would send them through the driver.
+MERGED = "merge"
 
 
 def text_filters(text: Column) -> dict[str, Column]:
@@ -39,7 +42,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     # What is hot leaves the rows before the others are shuffled.
     marked = rows.join(F.broadcast(hot), "digest", "left")
     often = marked.filter(F.col("id") > F.col("first")).drop("first")
-    seldom = marked.filter("first IS NULL").drop("first").join(rest, "digest").filter(F.col("id") > F.col("first")).drop("first")
+    seldom = marked.filter("first IS NULL").drop("first").join(rest.hint(MERGED), "digest").filter(F.col("id") > F.col("first")).drop("first")
     return often.union(seldom.select(*often.columns))
 
 
@@ -63,7 +66,7 @@ def failing_ids(docs: DataFrame, labels: DataFrame, part: str = "source", id_col
         "tested",
     )
     rows = stage(
-        tested.join(marks, "id", "left").fillna(0, ["good", "toxic"]), "rows"
+        tested.join(marks.hint(MERGED), "id", "left").fillna(0, ["good", "toxic"]), "rows"
     )
     keys = ["row", "part", "good", "toxic"]
     fails = {f: stage(rows.filter(f).select(*keys), f"fails-{f}") for f in "ABCD"}
@@ -90,11 +93,11 @@ def prefix_relations(rows: DataFrame, fails: dict[str, DataFrame]) -> dict[str,
     own = F.col("own")
     blocked = every.select(
         "row", F.explode(F.filter(sets, lambda s: s.bitwiseAND(own) != 0)).alias("prefix")
-    )
+    ).hint(MERGED)
     at_step = every.select(
         "*", F.explode(F.filter(sets, lambda s: s.bitwiseAND(own) == 0)).alias("prefix")
     )
-    failing = every.select("row")
+    failing = every.select("row").hint(MERGED)
     at_risk = rows.join(failing, "row", "left_semi").select("*", F.explode(sets).alias("prefix"))
     on = ["prefix", "row"]
     return {

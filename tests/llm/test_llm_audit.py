@@ -88,5 +88,24 @@ def test_hot_texts_and_others(spark):
         audit.HOT = before
 
 
+def test_what_grows_with_the_rows_is_not_broadcast(spark, monkeypatch):
+    """Small files give many rows once they are repeated for every prefix, so no size is taken from them."""
+    plan = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString())[1]
+    plans, staged = {}, audit.stage
+
+    def spy(df, label):
+        plans[label] = plan(df)
+        return staged(df, label)
+
+    monkeypatch.setattr(audit, "stage", spy)
+    docs = odd_documents(spark)
+    rows, fails = audit.failing_ids(docs, labels(spark, [(i, i % 2, 0) for i in range(20)]))
+    plans |= {name: plan(df) for name, df in audit.prefix_relations(rows, fails).items()}
+    assert {"rows", "fails-E", "clean", "survivors", "removed", "redundant"} <= set(plans)
+    # Texts that many rows share, at most HOT, are the one table that is broadcast.
+    assert {name for name, text in plans.items() if "Broadcast" in text} == {"fails-E"}
+    assert "SortMergeJoin" in plans["fails-E"]
+
+
 def test_no_documents(spark):
     assert audit.audited(no_documents(spark), labels(spark, [])).collect() == []
